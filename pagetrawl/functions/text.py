@@ -59,7 +59,7 @@ def first_or_default(matches: Column, default: str = UNKNOWN) -> Column:
 def page_count(text: Column, per_page: int = 100) -> Column:
     """Number of result pages from a text such as ``1 – 100 of 1,234``."""
     total = count_value(F.substring_index(text, "of", -1))
-    return F.ceil(total / F.lit(per_page)).cast("int")
+    return F.ceil(total / F.lit(per_page)).try_cast("int")
 
 
 def stamp(at=None) -> Column:

@@ -27,6 +27,7 @@ from pagetrawl.operators.select import (
     first_match,
     node_attrs,
     node_texts,
+    select_below,
     select_nodes,
     select_within,
     subtree,
@@ -64,7 +65,7 @@ def facets(parsed: DataFrame, words=STYLE_WORDS, keep: tuple = ()) -> DataFrame:
     blocks = []
     for facet, block_id in FACET_IDS.items():
         anchors = select_nodes("nodes", anywhere("div", id=block_id), child("ul"), child("li"), child("a"))
-        items = F.transform(anchors, lambda a: _facet_item(subtree("nodes", a)))
+        items = F.transform(anchors, _facet_item)
         if facet == "style":
             items = F.filter(items, lambda i: i["reject"].isNotNull() | has_keyword(i["name"], words))
         blocks.append(F.struct(F.lit(facet).alias("facet"), items.alias("items")))
@@ -82,10 +83,10 @@ def facets(parsed: DataFrame, words=STYLE_WORDS, keep: tuple = ()) -> DataFrame:
     )
 
 
-def _facet_item(tree: Column) -> Column:
-    count = first_match(node_texts(select_within(tree, anywhere("small"))))
-    name = first_match(node_texts(select_within(tree, anywhere("span", class_="facet_name"))))
-    has_link = F.map_contains_key(F.get(tree, F.lit(0))["attrs"], F.lit("href"))
+def _facet_item(anchor: Column) -> Column:
+    count = first_match(node_texts(select_below("nodes", anchor, anywhere("small"))))
+    name = first_match(node_texts(select_below("nodes", anchor, anywhere("span", class_="facet_name"))))
+    has_link = F.map_contains_key(anchor["attrs"], F.lit("href"))
     reject = F.when(count.isNull(), "count").when(name.isNull(), "name").when(~has_link, "href")
     return F.struct(
         strip(name).alias("name"),
@@ -112,29 +113,32 @@ def facet_lists(items: DataFrame, by: tuple = ()) -> DataFrame:
     )
 
 
-def cards(parsed: DataFrame, keep: tuple = ("url", "page_index"), base: str = BASE_URL) -> DataFrame:
+def cards(
+    parsed: DataFrame, keep: tuple = ("url", "page_index"), base: str = BASE_URL, outer: bool = False
+) -> DataFrame:
     """Result cards, one row each, in page order.
 
     ``reject`` names the required field a card lacks and is null for good
-    cards; required are id, artist, title and link.
+    cards; required are id, artist, title and link. With ``outer`` a page without
+    cards keeps a row, whose ``pos`` is null.
     """
     roots = select_nodes("nodes", anywhere("div", class_=CARDS_CLASS), child("div"))
     trees = F.transform(roots, lambda r: subtree("nodes", r))
-    per_card = parsed.select(*keep, F.posexplode(trees).alias("pos", "tree"))
+    explode = F.posexplode_outer if outer else F.posexplode
+    per_card = parsed.select(*keep, explode(trees).alias("pos", "tree"))
 
-    tree = F.col("tree")
     body = anywhere("div", class_="card_body")
     info = (body, child("p", class_="card_info"))
-    artist = select_within(tree, body, child("h4"), child("span"), child("a"))
-    title = select_within(tree, body, child("h4"), child("a", class_=TITLE_CLASS))
-    optional = {"label": select_within(tree, *info, child("a"))}
+    artist = select_within("tree", body, child("h4"), child("span"), child("a"))
+    title = select_within("tree", body, child("h4"), child("a", class_=TITLE_CLASS))
+    optional = {"label": select_within("tree", *info, child("a"))}
     for name, class_ in OPTIONAL_CLASSES.items():
-        optional[name] = select_within(tree, *info, child("span", class_=class_))
+        optional[name] = select_within("tree", *info, child("span", class_=class_))
 
     found = per_card.select(
         *keep,
         "pos",
-        F.get(tree, F.lit(0))["attrs"]["data-object-id"].alias("obj_id"),
+        F.get("tree", F.lit(0))["attrs"]["data-object-id"].alias("obj_id"),
         artist.alias("artist"),
         title.alias("title"),
         *[first_or_default(node_texts(nodes)).alias(name) for name, nodes in optional.items()],
@@ -187,16 +191,16 @@ def track_titles(stop_at_gap: bool = True, null_position: str | None = None) ->
     text to print for it.
     """
     rows = select_nodes("nodes", anywhere("div", id="page_content"), anywhere("table"), anywhere("tr"))
-    read = F.transform(rows, lambda r, i: _track(subtree("nodes", r), i, null_position))
+    read = F.transform(rows, lambda r, i: _track(r, i, null_position))
     if stop_at_gap:
         gap = F.array_position(F.transform(read, lambda t: t.isNull()), F.lit(True)).cast("int")
         return F.when(gap > 0, F.slice(read, F.lit(1), gap - 1)).otherwise(read)
     return F.filter(read, lambda t: t.isNotNull())
 
 
-def _track(tree: Column, index: Column, null_position: str | None) -> Column:
-    position = select_within(tree, anywhere("td", class_="tracklist_track_pos"))
-    title = select_within(tree, anywhere("td"), anywhere("span", class_="tracklist_track_title"))
+def _track(row: Column, index: Column, null_position: str | None) -> Column:
+    position = select_below("nodes", row, anywhere("td", class_="tracklist_track_pos"))
+    title = select_below("nodes", row, anywhere("td"), anywhere("span", class_="tracklist_track_title"))
     lead = first_match(node_texts(position))
     if null_position is not None:
         lead = F.when(F.size(position) > 0, F.coalesce(lead, F.lit(null_position)))
