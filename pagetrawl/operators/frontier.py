@@ -83,7 +83,7 @@ def newest_captures(pages: DataFrame, latest: tuple = ("page_id",)) -> DataFrame
     """
     status = F.col("status") if "status" in pages.columns else F.lit(200)
     captures = pages.select(
-        url_key(F.col("url")).alias("url_key"), F.struct(*latest, "page_id", status.alias("status")).alias("c")
+        url_key(F.col("url")).alias("url_key"), F.struct(F.struct(*latest), "page_id", status.alias("status")).alias("c")
     )
     newest = captures.groupBy("url_key").agg(F.max("c").alias("c"))
     return newest.select("url_key", "c.page_id", "c.status")

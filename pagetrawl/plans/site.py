@@ -1,10 +1,10 @@
-"""A site rendered from the order tables, to run the stages on.
+"""A site rendered from the documents table, to run the stages on.
 
-Orders are the releases. Spark renders, from whole tables, the facet page of
-each year, the search pages of each (country, format, year, style), and a page
-per release, and the stages must read back what the tables say. Some cards
-lack the artist, some an optional field; some releases have no cover; some
-track rows have no title.
+Documents are the releases and their lines the tracks. Spark renders the facet
+page of each year, the search pages of each (country, format, year, style) and
+a page per release, whole texts included, and the stages must read back what
+the table says. Some cards lack the artist or an optional field, some releases
+have no cover, and some rows of a track table have no title.
 """
 
 from __future__ import annotations
@@ -46,23 +46,24 @@ def optional(html: Column) -> Column:
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order: what its card and its page show."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    places = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    owned = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return owned.join(places, owned.c_nationkey == places.n_nationkey).select(
-        F.col("o_orderkey").alias("key"),
-        F.col("r_name").alias("country"),
-        F.col("o_orderstatus").alias("format"),
-        F.year("o_orderdate").alias("year"),
-        F.col("c_mktsegment").alias("style"),
-        F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("artist"),
-        markup("{} & {}", F.col("o_orderpriority"), F.col("o_orderkey")).alias("title"),
-        F.col("n_name").alias("label"),
-        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("catalog_number"),
-        (F.col("o_orderpriority") == "1-URGENT").alias("blank_country"),
-        markup("/order/master/{}", F.col("o_orderkey")).alias("href"),
+    """One row per document: what its card and its page show."""
+    n = F.col("n_chars")
+    lines = F.split("text", "\n")
+    format_ = F.when(n < 1000, "short").when(n < 2000, "medium").otherwise("long")
+    style = F.when(n % 3 == 0, "Euro House").when(n % 3 == 1, "Ambient").otherwise("Hard & Core")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("key"),
+        F.col("lang").alias("country"),
+        format_.alias("format"),
+        (2000 + n % 2).cast("int").alias("year"),
+        style.alias("style"),
+        F.when(n % 10 != 0, F.col("source")).alias("artist"),
+        F.get(lines, F.lit(0)).alias("title"),
+        markup("{} & {}", F.col("source"), F.col("lang")).alias("label"),
+        F.when(n % 4 != 0, n).alias("catalog_number"),
+        (n % 5 == 0).alias("blank_country"),
+        F.when(n % 7 != 0, F.col("doc_id")).alias("cover"),
+        lines.alias("lines"),
     )
 
 
@@ -98,7 +99,7 @@ def listing_pages(spark: SparkSession, sf_dir: str, base: str = BASE_URL) -> Dat
     card = F.concat(
         markup('<div data-object-id="{}"><div class="card_body"><h4>', F.col("key")),
         optional(markup("<span><a>{}</a></span>", escape(F.col("artist")))),
-        markup(f'<a class="{TITLE_CLASS}" href="{{}}">{{}}</a></h4>', F.col("href"), escape(F.col("title"))),
+        markup(f'<a class="{TITLE_CLASS}" href="/release/{{}}">{{}}</a></h4>', F.col("key"), escape(F.col("title"))),
         markup('<p class="card_info"><a>{}</a>', escape(F.col("label"))),
         optional(markup('<span class="card_release_catalog_number">{}</span>', F.col("catalog_number"))),
         markup('<span class="card_release_format">{}</span>', F.col("format")),
@@ -126,30 +127,26 @@ def listing_pages(spark: SparkSession, sf_dir: str, base: str = BASE_URL) -> Dat
 
 
 def release_pages(spark: SparkSession, sf_dir: str, base: str = BASE_URL) -> DataFrame:
-    """A page per order with line items: cover and track table."""
-    items = table(spark, sf_dir, "lineitem")
-    position = F.when(
-        F.col("l_tax") > 0,
-        markup('<td class="tracklist_track_pos">{}{}</td>', F.col("l_returnflag"), F.col("l_linenumber")),
-    )
-    title = markup('<td><span class="tracklist_track_title">Part {}</span></td>', F.col("l_partkey"))
-    row = markup(
-        "<tr>{}{}", optional(position), F.when(F.col("l_discount") > 0, title).otherwise(F.lit("<td>heading</td>"))
-    )
-    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax", "l_discount", "l_returnflag")
-    tracks = items.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(*order, row.alias("row")))).alias("tracks"),
-        F.min("l_quantity").alias("least"),
-    )
-    cover = F.when(F.col("least") > 1, markup('<meta property="og:image" content="https://img.example.com/R-{}.jpeg">', F.col("l_orderkey")))
+    """A page per document: its cover, and its lines as the rows of a track table."""
+
+    def row(line, i):
+        position = markup('<td class="tracklist_track_pos">A{}</td>', i + 1)
+        title = markup('<td><span class="tracklist_track_title">{}</span>', escape(line))
+        return F.concat(
+            F.lit("<tr>"),
+            F.when((i + 1) % 3 != 0, position).otherwise(F.lit("")),
+            F.when(F.length(line) % 9 != 0, title).otherwise(F.lit("<td>heading")),
+        )
+
+    cover = markup('<meta property="og:image" content="https://img.example.com/R-{}.jpeg">', F.col("cover"))
     html = F.concat(
         optional(cover),
         F.lit('<div id="page_content"><table>'),
-        F.array_join(F.col("tracks.row"), "\n"),
+        F.array_join(F.transform("lines", row), "\n"),
         F.lit("</table></div>"),
     )
-    return tracks.select(
-        (F.col("l_orderkey") * 2 + 1).alias("page_id"),
-        markup(base + "/order/master/{}", F.col("l_orderkey")).alias("url"),
+    return releases(spark, sf_dir).select(
+        (F.col("key") * 2 + 1).alias("page_id"),
+        markup(base + "/release/{}", F.col("key")).alias("url"),
         html.alias("html"),
     )

@@ -36,7 +36,7 @@ from pagetrawl.operators.frontier import (
 )
 from pagetrawl.operators.html import html_nodes
 from pagetrawl.operators.upsert import Upsert
-from pagetrawl.schemas import DETAIL_FIELDS, INDEX_FIELDS
+from pagetrawl.schemas import DETAIL_FIELDS, INDEX_FIELDS, SEED_TASK
 from pagetrawl.session import scratch_path, settle
 from pagetrawl.sources.catalogue import read_catalogue, write_catalogue
 from pagetrawl.sources.tasks import append_batch, read_tasks
