@@ -29,8 +29,6 @@ from pagetrawl.operators.select import (
     node_texts,
     select_below,
     select_nodes,
-    select_within,
-    subtree,
 )
 
 # Ids of the three facet blocks on a search page.
@@ -113,54 +111,62 @@ def facet_lists(items: DataFrame, by: tuple = ()) -> DataFrame:
     )
 
 
-def cards(
-    parsed: DataFrame, keep: tuple = ("url", "page_index"), base: str = BASE_URL, outer: bool = False
-) -> DataFrame:
-    """Result cards, one row each, in page order.
-
-    ``reject`` names the required field a card lacks and is null for good
-    cards; required are id, artist, title and link. With ``outer`` a page without
-    cards keeps a row, whose ``pos`` is null.
-    """
+def card_items() -> Column:
+    """Result cards of a parsed page as an array: per field the texts of its nodes."""
     roots = select_nodes("nodes", anywhere("div", class_=CARDS_CLASS), child("div"))
-    trees = F.transform(roots, lambda r: subtree("nodes", r))
-    explode = F.posexplode_outer if outer else F.posexplode
-    per_card = parsed.select(*keep, explode(trees).alias("pos", "tree"))
-
     body = anywhere("div", class_="card_body")
     info = (body, child("p", class_="card_info"))
-    artist = select_within("tree", body, child("h4"), child("span"), child("a"))
-    title = select_within("tree", body, child("h4"), child("a", class_=TITLE_CLASS))
-    optional = {"label": select_within("tree", *info, child("a"))}
-    for name, class_ in OPTIONAL_CLASSES.items():
-        optional[name] = select_within("tree", *info, child("span", class_=class_))
 
-    found = per_card.select(
-        *keep,
-        "pos",
-        F.get("tree", F.lit(0))["attrs"]["data-object-id"].alias("obj_id"),
-        artist.alias("artist"),
-        title.alias("title"),
-        *[first_or_default(node_texts(nodes)).alias(name) for name, nodes in optional.items()],
-    )
+    def card(root):
+        below = lambda *steps: select_below("nodes", root, *steps)
+        title = F.transform(
+            below(body, child("h4"), child("a", class_=TITLE_CLASS)),
+            lambda n: F.struct(n["text"].alias("text"), n["attrs"]["href"].alias("href")),
+        )
+        return F.struct(
+            root["attrs"]["data-object-id"].alias("obj_id"),
+            node_texts(below(body, child("h4"), child("span"), child("a"))).alias("artist"),
+            title.alias("title"),
+            node_texts(below(*info, child("a"))).alias("label"),
+            *[node_texts(below(*info, child("span", class_=c))).alias(n) for n, c in OPTIONAL_CLASSES.items()],
+        )
+
+    return F.transform(roots, card)
+
+
+def card_rows(pages: DataFrame, items: str | Column, keep: tuple, base: str = BASE_URL, outer: bool = False) -> DataFrame:
+    """One row per card of :func:`card_items`, in page order.
+
+    ``reject`` names the required field a card lacks and is null for good
+    cards; required are id, artist, title and link. With ``outer`` a page
+    without cards keeps a row, whose ``pos`` is null.
+    """
+    explode = F.posexplode_outer if outer else F.posexplode
+    found = pages.select(*keep, explode(items).alias("pos", "card")).select(*keep, "pos", "card.*")
     reject = (
         F.when(F.col("obj_id").isNull(), "obj_id")
         .when(F.size("artist") == 0, "artist")
         .when(F.size("title") == 0, "title")
     )
+    first_title = first_match(F.col("title"))
     return found.select(
         *keep,
         "pos",
         "obj_id",
-        first_match(node_texts(F.col("artist"))).alias("artist"),
-        first_match(node_texts(F.col("title"))).alias("title"),
-        first_match(node_attrs(F.col("title"), "href")).alias("href"),
-        url_join(base, first_match(node_attrs(F.col("title"), "href"))).alias("detail_url"),
-        *optional,
+        first_match(F.col("artist")).alias("artist"),
+        first_title["text"].alias("title"),
+        first_title["href"].alias("href"),
+        url_join(base, first_title["href"]).alias("detail_url"),
+        *[first_or_default(F.col(n)).alias(n) for n in ("label", *OPTIONAL_CLASSES)],
         reject.alias("reject"),
     )
 
 
+def cards(parsed: DataFrame, keep: tuple = ("url",), base: str = BASE_URL) -> DataFrame:
+    """Result cards of parsed pages, one row each (see :func:`card_rows`)."""
+    return card_rows(parsed, card_items(), keep, base)
+
+
 def pagination_text() -> Column:
     """Text of the first pagination element of a parsed page."""
     return first_match(node_texts(select_nodes("nodes", anywhere("strong", class_="pagination_total"))))
@@ -215,16 +221,25 @@ def tracklist(parsed: DataFrame, keep: tuple = ("page_id",), **options) -> DataF
     return parsed.select(*keep, track_titles(**options).alias("title_list"))
 
 
+def gallery_href() -> Column:
+    """Link of a parsed page to its image gallery, as written; null if none."""
+    link = anywhere("a", contains={"class": "thumbnail_link", "href": "images"})
+    return first_match(node_attrs(select_nodes("nodes", link), "href"))
+
+
 def gallery_link(parsed: DataFrame, keep: tuple = ("page_id",), base: str = BASE_URL) -> DataFrame:
     """Absolute link to a release's image gallery, null when the page has none."""
-    link = anywhere("a", contains={"class": "thumbnail_link", "href": "images"})
-    href = first_match(node_attrs(select_nodes("nodes", link), "href"))
-    return parsed.select(*keep, href.alias("href")).select(
-        *keep, F.when(F.col("href").isNotNull(), url_join(base, F.col("href"))).alias("gallery_url")
-    )
+    found = parsed.select(*keep, gallery_href().alias("href"))
+    url = F.when(F.col("href").isNotNull(), url_join(base, F.col("href")))
+    return found.select(*keep, url.alias("gallery_url"))
+
+
+def image_links() -> Column:
+    """Image links of a gallery page, in document order."""
+    images = select_nodes("nodes", anywhere("div", id="view_images"), child("p"), anywhere("img"))
+    return node_attrs(images, "src")
 
 
 def gallery_images(parsed: DataFrame, keep: tuple = ("page_id",)) -> DataFrame:
     """Image links of gallery pages, one row each."""
-    images = select_nodes("nodes", anywhere("div", id="view_images"), child("p"), anywhere("img"))
-    return parsed.select(*keep, F.posexplode(node_attrs(images, "src")).alias("pos", "img_url"))
+    return parsed.select(*keep, F.posexplode(image_links()).alias("pos", "img_url"))

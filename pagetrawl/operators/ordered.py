@@ -53,7 +53,7 @@ def take_while(
     return kept.select("*", n).drop("_g", "_before", "_stop")
 
 
-def assemble_list(rows: DataFrame, part: tuple, text: Column, n: str = "n", chunk: int = 10_000) -> DataFrame:
+def assemble_list(rows: DataFrame, part: tuple, text: Column, n: str = "n", chunk: int = 1_000) -> DataFrame:
     """The texts of a group as lists, in the order of ``n`` (from 1).
 
     A list longer than ``chunk`` goes on in the next row (``list_no``), so no

@@ -39,24 +39,24 @@ def anywhere(tag: str, contains: dict | None = None, **equals) -> Step:
     return Step(tag, True, {k.rstrip("_"): v for k, v in equals.items()}, contains or {})
 
 
-def _matches(nodes: Column, base: Column, node: Column, steps: tuple[Step, ...], top: Column) -> Column:
+def _matches(nodes: Column, node: Column, steps: tuple[Step, ...], top: Column) -> Column:
     """Whether ``node`` is selected by ``steps`` below the element ``top``."""
     *before, step = steps
     ok = step.accepts(node)
     if not before:
         return ok & (node["id"] > top if step.deep else node["parent"] == top)
-    look_up = lambda i: F.get(nodes, i - base)  # null outside the slice: no match
+    look_up = lambda i: F.get(nodes, i)  # null above the root: no match
     if step.deep:
-        above = F.exists(node["anc"], lambda a: _matches(nodes, base, look_up(a), tuple(before), top))
+        above = F.exists(node["anc"], lambda a: _matches(nodes, look_up(a), tuple(before), top))
     else:
-        above = _matches(nodes, base, look_up(node["parent"]), tuple(before), top)
+        above = _matches(nodes, look_up(node["parent"]), tuple(before), top)
     return ok & F.coalesce(above, F.lit(False))
 
 
 def select_nodes(nodes, *steps: Step) -> Column:
     """Elements of a whole page selected by ``steps``, in document order."""
     nodes = F.col(nodes) if isinstance(nodes, str) else nodes
-    return F.filter(nodes, lambda n: _matches(nodes, F.lit(0), n, steps, F.lit(-1)))
+    return F.filter(nodes, lambda n: _matches(nodes, n, steps, F.lit(-1)))
 
 
 def select_below(nodes, node: Column, *steps: Step) -> Column:
@@ -67,20 +67,7 @@ def select_below(nodes, node: Column, *steps: Step) -> Column:
     """
     nodes = F.col(nodes) if isinstance(nodes, str) else nodes
     below = F.slice(nodes, node["id"] + 2, node["last"] - node["id"])
-    return F.filter(below, lambda n: _matches(nodes, F.lit(0), n, steps, node["id"]))
-
-
-def subtree(nodes, node: Column) -> Column:
-    """The element and all below it: a slice, as ids are in document order."""
-    nodes = F.col(nodes) if isinstance(nodes, str) else nodes
-    return F.slice(nodes, node["id"] + 1, node["last"] - node["id"] + 1)
-
-
-def select_within(tree: str, *steps: Step) -> Column:
-    """Elements below the first one of the column ``tree`` (see :func:`subtree`)."""
-    nodes = F.col(tree)
-    top = F.get(nodes, F.lit(0))["id"]
-    return F.filter(nodes, lambda n: _matches(nodes, top, n, steps, top))
+    return F.filter(below, lambda n: _matches(nodes, n, steps, node["id"]))
 
 
 def node_texts(selected: Column) -> Column:

@@ -236,6 +236,10 @@ ORACLE = {
         from firsts where artist is not null group by all)""",
     "detail_rows": f"""with {RELEASES}, {TRACKS} select cast(key as varchar) as obj_id, cover_url, titles, '{AT}' as crawler_time
       from titles where cover_url is not null""",
+    "cover_rows": f"""select cast(doc_id as varchar) as obj_id, 'https://img.example.com/R-' || doc_id || '.jpeg' as cover_url,
+      md5('data:image/jpg;base64,' || to_base64(encode(text))) as digest, '{AT}' as detail_time
+      from documents where n_chars % 7 <> 0""",
+    "gallery_store": "select 'R-' || doc_id as name, md5(text) as digest from documents where n_chars % 7 <> 0",
     "crawl_catalogue": f"""with {RELEASES}, {SEEDS}, {TRACKS}, firsts as (
         select distinct country, format, year, style from listed l where page = 1 and artist is not null
           and exists (select 1 from seeds s where s.country = l.country and s.format = l.format and s.year = l.year

@@ -542,7 +542,7 @@ def tracklist_past_gaps(spark, d):
 def _index(spark, d):
     pages = site.listing_pages(spark, d)
     captures = settle(frontier.newest_captures(pages), "captures")
-    facts = settle(stages.listing_facts(pages, per_page=site.PER_PAGE), "facts")
+    facts = settle(stages.page_facts(pages), "facts")
     seeds = dedup.dedup_first(stages.seed_stage(site.facet_pages(spark, d), YEARS), ("page",))
     return stages.index_stage(settle(seeds, "seeds"), captures, facts, AT, per_page=site.PER_PAGE)
 
@@ -567,18 +567,49 @@ def detail_rows(spark, d):
     pages = site.release_pages(spark, d)
     tasks = site.releases(spark, d).select(site.markup("/release/{}", F.col("key")).alias("url"))
     tasks = tasks.withColumn("fp", fn.fingerprint("url"))
-    facts = settle(stages.detail_facts(pages), "facts")
+    facts = settle(stages.page_facts(pages), "facts")
     done = stages.detail_stage(tasks, frontier.newest_captures(pages), facts, AT)
     return done.rows.select("obj_id", "cover_url", F.array_join("title_list", "\n").alias("titles"), "crawler_time")
 
 
+def _covers(spark, d):
+    """Cover images of the releases: their texts as bytes, at the cover's URL."""
+    docs = _table(spark, d, "documents").where("n_chars % 7 <> 0")
+    return docs.select(
+        site.markup("https://img.example.com/R-{}.jpeg", F.col("doc_id")).alias("url"), F.encode("text", "utf-8").alias("content")
+    )
+
+
+def cover_rows(spark, d):
+    """Detail rows together with the cover image as a data URI."""
+    pages = site.release_pages(spark, d)
+    tasks = site.releases(spark, d).select(site.markup("/release/{}", F.col("key")).alias("url"))
+    tasks = tasks.withColumn("fp", fn.fingerprint("url"))
+    facts = settle(stages.page_facts(pages), "facts")
+    done = stages.detail_stage(tasks, frontier.newest_captures(pages), facts, AT, images=_covers(spark, d))
+    docs = stages.CATALOGUE.latest_fields(done.rows, "cover")
+    return docs.select("obj_id", "cover_url", F.md5("base64url").alias("digest"), "detail_time")
+
+
+def gallery_store(spark, d):
+    """Image store filled from the galleries of all releases."""
+    galleries, releases = site.gallery_pages(spark, d), site.release_pages(spark, d)
+    pages = releases.unionByName(galleries)
+    facts = settle(stages.page_facts(pages), "facts")
+    found = stages.gallery_stage(frontier.newest_captures(pages), facts, _covers(spark, d))
+    path = scratch_path(spark, "gallery")
+    images.write_missing_images(found, path, "img_url")
+    stored = spark.read.schema(images.IMAGE).parquet(path)
+    return stored.select("name", F.md5("content").alias("digest"))
+
+
 def crawl_catalogue(spark, d):
     """All stages: seed, index rounds, detail, upsert."""
     pages = site.listing_pages(spark, d).unionByName(site.release_pages(spark, d))
     docs = stages.crawl(
         site.facet_pages(spark, d), pages, YEARS, per_page=site.PER_PAGE, at=AT
     )
-    return docs.withColumn("title_list", F.array_join("title_list", "\n"))
+    return docs.drop("base64url").withColumn("title_list", F.array_join("title_list", "\n"))
 
 
 QUERIES = {
@@ -592,6 +623,6 @@ QUERIES = {
         frontier_product, page_expansion, union_tasks, ok_pages, fetch_join, frontier_rounds, retry_ledger,
         task_roundtrip, write_missing, stream_dedup, stream_upsert, stream_commit, site_facets, seed_tasks,
         pagination, pages_with_more, site_cards, site_covers, tracklist, tracklist_past_gaps, index_rows,
-        index_rejects, index_outcomes, follow_up_tasks, detail_rows, crawl_catalogue,
+        index_rejects, index_outcomes, follow_up_tasks, detail_rows, cover_rows, gallery_store, crawl_catalogue,
     )
 }

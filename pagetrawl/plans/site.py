@@ -144,9 +144,21 @@ def release_pages(spark: SparkSession, sf_dir: str, base: str = BASE_URL) -> Dat
         F.lit('<div id="page_content"><table>'),
         F.array_join(F.transform("lines", row), "\n"),
         F.lit("</table></div>"),
+        markup('<a class="thumbnail_link" href="/release/{}/images">more</a>', F.col("key")),
     )
     return releases(spark, sf_dir).select(
         (F.col("key") * 2 + 1).alias("page_id"),
         markup(base + "/release/{}", F.col("key")).alias("url"),
         html.alias("html"),
     )
+
+
+def gallery_pages(spark: SparkSession, sf_dir: str, base: str = BASE_URL) -> DataFrame:
+    """The image gallery of every release, which shows its cover twice."""
+    image = markup('<p><img src="https://img.example.com/R-{}.jpeg"></p>', F.col("cover"))
+    html = F.concat(F.lit('<div id="view_images">'), optional(image), optional(image), F.lit("</div>"))
+    return releases(spark, sf_dir).select(
+        (-F.col("key") - 1).alias("page_id"),
+        markup(base + "/release/{}/images", F.col("key")).alias("url"),
+        html.alias("html"),
+    )

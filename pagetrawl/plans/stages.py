@@ -1,7 +1,7 @@
 """The three stages as DataFrame plans.
 
 A page is parsed where it is read and shrinks to the few fields a stage wants
-(``*_facts``); only those rows meet the tasks, so HTML is never shuffled. No
+(``page_facts``); only those rows meet the tasks, so HTML is never shuffled. No
 stage collects anything or stops for a bad page: what cannot be used leaves as
 a reject or as the outcome of an attempt, with the reason.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pagetrawl.functions import (
     STYLE_WORDS,
     fingerprint,
+    image_data_uri,
+    image_name,
     last_path_segment,
     page_count,
     search_url,
@@ -24,7 +26,17 @@ from pagetrawl.functions import (
 )
 from pagetrawl.functions.urls import BASE_URL
 from pagetrawl.operators.dedup import dedup_first, split_valid, unseen
-from pagetrawl.operators.extract import cards, cover_url, facet_lists, facets, pagination_text, track_titles
+from pagetrawl.operators.extract import (
+    card_items,
+    card_rows,
+    cover_url,
+    facet_lists,
+    facets,
+    gallery_href,
+    image_links,
+    pagination_text,
+    track_titles,
+)
 from pagetrawl.operators.frontier import (
     fetch_join,
     follow_up_pages,
@@ -48,9 +60,14 @@ CATALOGUE = Upsert(
     types=(
         "obj_id string, artist string, title string, detail_url string, label string, catalog_number string, "
         "format string, year string, country string, url string, page_index int, cover_url string, "
-        "title_list array<string>, crawler_time string, index_time string, detail_time string"
+        "title_list array<string>, base64url string, crawler_time string, index_time string, detail_time string"
     ),
-    carried={"index": (*INDEX_FIELDS, "index_time"), "detail": (*DETAIL_FIELDS, "detail_time")},
+    carried={
+        "index": (*INDEX_FIELDS, "index_time"),
+        "detail": (*DETAIL_FIELDS, "detail_time"),
+        # details stored together with the cover image
+        "cover": (*DETAIL_FIELDS, "detail_time", "base64url"),
+    },
 )
 
 
@@ -71,20 +88,31 @@ def seed_stage(pages: DataFrame, years: list[int], words=STYLE_WORDS, by: tuple
     return frontier_product(lists, years, by).withColumn("fp", task_fingerprint())
 
 
-def listing_facts(pages: DataFrame, base: str = BASE_URL, per_page: int = 100) -> DataFrame:
-    """What search pages say: one row per card, with the page's number of ``pages``.
+def page_facts(pages: DataFrame) -> DataFrame:
+    """Everything the stages read from a page, one row per page, in one parse.
 
-    A page without cards keeps one row, whose ``pos`` is null.
+    A narrow step from archive to facts: settle it once and let all stages
+    and rounds read from it. Columns that a stage does not use are not read.
     """
     parsed = html_nodes(pages.select("page_id", "html"))
-    counted = parsed.withColumn("pages", page_count(pagination_text(), per_page))
-    return cards(counted, keep=("page_id", "pages"), base=base, outer=True)
+    return parsed.select(
+        "page_id",
+        pagination_text().alias("pagination"),
+        card_items().alias("cards"),
+        cover_url().alias("cover_url"),
+        track_titles().alias("title_list"),
+        gallery_href().alias("gallery_href"),
+        image_links().alias("image_links"),
+    )
 
 
-def detail_facts(pages: DataFrame) -> DataFrame:
-    """What release pages say: cover and titles, one row per page."""
-    parsed = html_nodes(pages.select("page_id", "html"))
-    return parsed.select("page_id", cover_url().alias("cover_url"), track_titles().alias("title_list"))
+def listing_facts(facts: DataFrame, base: str = BASE_URL, per_page: int = 100) -> DataFrame:
+    """What search pages say: one row per card, with the page's number of ``pages``.
+
+    A page without cards keeps one row, whose ``pos`` is null.
+    """
+    counted = facts.withColumn("pages", page_count(F.col("pagination"), per_page))
+    return card_rows(counted, "cards", ("page_id", "pages"), base, outer=True)
 
 
 def _fetch_error() -> Column:
@@ -98,11 +126,11 @@ def index_stage(
     """Search tasks to index rows, detail tasks and follow-up pages.
 
     ``captures`` is :func:`newest_captures` of the archive, ``facts`` its
-    :func:`listing_facts`.
+    :func:`page_facts`.
     """
     fetched = fetch_join(tasks.withColumn("url", search_url(base=base, per_page=per_page)), captures)
     fetched = settle(fetched.withColumnsRenamed({c: f"task_{c}" for c in ("country", "format", "year", "style")}), "fetched")
-    hits = settle(with_content(fetched, facts), "hits")
+    hits = settle(with_content(fetched, listing_facts(facts, base, per_page)), "hits")
     valid, rejects = split_valid(hits.where("pos is not null"))
 
     time = stamp(at)
@@ -120,12 +148,31 @@ def index_stage(
     return Fetched(rows, rejects.select("url", "pos", "obj_id", "reject"), outcomes, follow_ups, details)
 
 
-def detail_stage(tasks: DataFrame, captures: DataFrame, facts: DataFrame, at=None, base: str = BASE_URL) -> Fetched:
-    """Detail tasks to catalogue rows; a page without a cover is rejected whole."""
+def detail_stage(
+    tasks: DataFrame,
+    captures: DataFrame,
+    facts: DataFrame,
+    at=None,
+    base: str = BASE_URL,
+    images: DataFrame | None = None,
+) -> Fetched:
+    """Detail tasks to catalogue rows; a page without a cover is rejected whole.
+
+    With ``images`` (``url, content``, one per URL) the rows also carry the
+    cover as ``base64url``, and a page whose cover is not among them is
+    rejected. Store such rows as source ``cover``, others as ``detail``.
+    """
     located = tasks.withColumn("url", url_join(base, F.col("url")))
     fetched = settle(fetch_join(located, captures), "fetched")
-    read = facts.withColumn("reject", F.when(F.col("cover_url").isNull(), "cover_url"))
-    told = settle(with_content(fetched, read), "hits")
+    read = facts.select("page_id", "cover_url", "title_list")
+    told = with_content(fetched, read).withColumn("reject", F.when(F.col("cover_url").isNull(), "no cover"))
+    extra = []
+    if images is not None:
+        coded = images.select(F.col("url").alias("cover_url"), image_data_uri(F.col("content")).alias("base64url"))
+        told = told.join(coded, "cover_url", "left")
+        told = told.withColumn("reject", F.coalesce("reject", F.when(F.col("base64url").isNull(), "no image")))
+        extra = ["base64url"]
+    told = settle(told, "hits")
     valid, rejects = split_valid(told)
 
     time = stamp(at)
@@ -133,17 +180,31 @@ def detail_stage(tasks: DataFrame, captures: DataFrame, facts: DataFrame, at=Non
         last_path_segment(F.col("url")).alias("obj_id"),
         "cover_url",
         "title_list",
+        *extra,
         time.alias("crawler_time"),
         time.alias("detail_time"),
         F.lit(None).cast("int").alias("page_index"),
         F.lit(0).alias("pos"),
     )
-    refused = rejects.select("fp", F.lit("no cover").alias("refused"))
+    refused = rejects.select("fp", F.col("reject").alias("refused"))
     outcomes = fetched.join(refused, "fp", "left").withColumn("error", F.coalesce(_fetch_error(), F.col("refused")))
     outcomes = outcomes.select("fp", F.col("error").isNull().alias("ok"), "error")
     return Fetched(rows, rejects.select("url", "reject"), outcomes)
 
 
+def gallery_stage(captures: DataFrame, facts: DataFrame, images: DataFrame, base: str = BASE_URL) -> DataFrame:
+    """Images of the galleries that pages link to, for the image store.
+
+    Page to gallery page to image (``images`` has ``url, content``), each step
+    a join on distinct keys; rows ``name, content, img_url``.
+    """
+    links = facts.where("gallery_href is not null").select(url_join(base, F.col("gallery_href")).alias("url"))
+    shown = with_content(fetch_join(links.distinct(), captures), facts.select("page_id", "image_links"))
+    wanted = shown.select(F.explode("image_links").alias("img_url")).distinct()
+    found = images.join(wanted, images.url == wanted.img_url)
+    return found.select(image_name(F.col("img_url")).alias("name"), "content", "img_url")
+
+
 def crawl(
     seed_pages: DataFrame,
     pages: DataFrame,
@@ -163,17 +224,16 @@ def crawl(
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "crawl")
-    store, queues = f"{path}/catalogue", f"{path}/queues"
+    index_store, detail_store, queues = f"{path}/index", f"{path}/detail", f"{path}/queues"
     captures = settle(newest_captures(pages), "captures", f"{path}/captures")
-    listing = settle(listing_facts(pages, base, per_page), "listing", f"{path}/listing")
-    details = settle(detail_facts(pages), "details", f"{path}/details")
+    facts = settle(page_facts(pages), "facts", f"{path}/facts")
 
     seeds = seed_stage(seed_pages, years, words)
     frontier = settle(dedup_first(seeds, ("page",)), "round", f"{path}/round-0")
     seen = frontier.select("fp")
     for n in range(max_rounds):
-        done = index_stage(frontier, captures, listing, at, base, per_page)
-        write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, "index"), store, n)
+        done = index_stage(frontier, captures, facts, at, base, per_page)
+        write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, "index"), index_store, n)
         append_batch(done.details, queues, "detail", n)
         append_batch(done.outcomes, queues, "outcomes", n)
         fresh = unseen(dedup_first(done.tasks, ("page",)), seen)
@@ -183,7 +243,7 @@ def crawl(
         seen = seen.unionByName(frontier.select("fp"))
 
     queued = read_tasks(spark, queues, "detail", "url string, fp string")
-    done = detail_stage(dedup_first(queued, ("url",)), captures, details, at, base)
-    write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, "detail"), store, n + 1)
-    append_batch(done.outcomes, queues, "outcomes", n + 1)
-    return read_catalogue(CATALOGUE, spark, store)
+    done = detail_stage(dedup_first(queued, ("url",)), captures, facts, at, base)
+    write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, "detail"), detail_store, 0)
+    append_batch(done.outcomes, queues, "outcomes", 0, "detail")
+    return read_catalogue(CATALOGUE, spark, index_store, detail_store)

@@ -25,4 +25,5 @@ INDEX_FIELDS = (
 )
 DETAIL_FIELDS = ("cover_url", "title_list", "crawler_time")
 IMAGE = "name string, content binary"
+IMAGE_SOURCE = "url string, content binary"
 OUTCOME = "fp string, attempt int, ok boolean, error string"

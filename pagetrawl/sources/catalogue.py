@@ -4,8 +4,9 @@ A batch adds only its own rows (``batch=N``), so the cost of an upsert does not
 grow with the catalogue; a batch that is written again replaces itself.
 ``compact`` folds the log into a snapshot (``v=N`` covers batches up to N).
 Readers take the newest complete snapshot and the complete batches after it.
-There is one writer per path. Keep the path together with the checkpoint of
-the stream that writes it: batch numbers start over with a fresh checkpoint.
+Each writer has a path of its own and a reader may merge several. Keep the path
+together with the checkpoint of the stream that writes it: batch numbers start
+over with a fresh checkpoint.
 """
 
 from __future__ import annotations
@@ -28,21 +29,25 @@ def write_catalogue(spec: Upsert, state: DataFrame, path: str, batch: int) -> No
     spec.merge(state).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def catalogue_state(spec: Upsert, spark: SparkSession, path: str) -> DataFrame:
-    """The merged rows of everything written so far."""
-    snapshots = complete_parts(spark, path, "v=")
-    base = snapshots[-1:]
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """The folders that make up what one writer has stored."""
+    base = complete_parts(spark, path, "v=")[-1:]
     batches = [n for n in complete_parts(spark, path, "batch=") if not base or n > base[0]]
-    parts = [f"{path}/v={n}" for n in base] + [f"{path}/batch={n}" for n in batches]
+    return [f"{path}/v={n}" for n in base] + [f"{path}/batch={n}" for n in batches]
+
+
+def catalogue_state(spec: Upsert, spark: SparkSession, *paths: str) -> DataFrame:
+    """The merged rows of everything written so far, by one writer or several."""
+    parts = [part for path in paths for part in _parts(spark, path)]
     if not parts:
         return spark.createDataFrame([], spec.schema)
     state = spark.read.schema(spec.schema).parquet(*parts)
-    return spec.merge(state) if batches else state
+    return state if len(parts) == 1 else spec.merge(state)
 
 
-def read_catalogue(spec: Upsert, spark: SparkSession, path: str) -> DataFrame:
+def read_catalogue(spec: Upsert, spark: SparkSession, *paths: str) -> DataFrame:
     """The catalogue: one row per key, every field as last written."""
-    return spec.documents(catalogue_state(spec, spark, path))
+    return spec.documents(catalogue_state(spec, spark, *paths))
 
 
 def compact(spec: Upsert, spark: SparkSession, path: str) -> None:

@@ -9,23 +9,23 @@ def queue_path(path: str, queue: str) -> str:
     return f"{path.rstrip('/')}/queue={queue}"
 
 
-def append_tasks(tasks: DataFrame, path: str, queue: str, checkpoint: str | None = None):
+def append_tasks(tasks: DataFrame, path: str, queue: str, checkpoint: str | None = None, writer: str = "stream"):
     """Append tasks to a queue, which is made when absent.
 
     A streaming frame needs a ``checkpoint``; the started query is returned
     and ends when all input that was there has been appended.
     """
-    target = queue_path(path, queue)
     if not tasks.isStreaming:
-        tasks.write.mode("append").parquet(target)
+        tasks.write.mode("append").parquet(queue_path(path, queue))
         return None
-    writer = tasks.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-    return writer.option("checkpointLocation", checkpoint).start(target)
+    step = lambda batch, number: append_batch(batch, path, queue, number, writer)
+    start = tasks.writeStream.foreachBatch(step).trigger(availableNow=True)
+    return start.option("checkpointLocation", checkpoint).start()
 
 
-def append_batch(tasks: DataFrame, path: str, queue: str, batch: int) -> None:
+def append_batch(tasks: DataFrame, path: str, queue: str, batch: int, writer: str = "batch") -> None:
     """Append the tasks of one micro-batch; a repeated batch replaces itself."""
-    tasks.write.mode("overwrite").parquet(f"{queue_path(path, queue)}/batch={batch}")
+    tasks.write.mode("overwrite").parquet(f"{queue_path(path, queue)}/{writer}={batch}")
 
 
 def read_tasks(spark: SparkSession, path: str, queue: str, schema: str, streaming: bool = False, max_files: int = 1000):

@@ -85,7 +85,7 @@ def test_empty_facet_block_is_no_error(parse):
 
 def test_cards(parse):
     parsed = parse(LISTING_PAGE).withColumn("url", F.lit("u")).withColumn("page_index", F.lit(1))
-    found = cards(parsed, base="https://b.example")
+    found = cards(parsed, ("url", "page_index"), base="https://b.example")
     good = found.where("reject is null").drop("pos", "reject", "href")
     assert [r.asDict() for r in good.collect()] == [
         {
