@@ -134,15 +134,13 @@ def card_items() -> Column:
     return F.transform(roots, card)
 
 
-def card_rows(pages: DataFrame, items: str | Column, keep: tuple, base: str = BASE_URL, outer: bool = False) -> DataFrame:
+def card_rows(pages: DataFrame, items: str | Column, keep: tuple, base: str = BASE_URL) -> DataFrame:
     """One row per card of :func:`card_items`, in page order.
 
     ``reject`` names the required field a card lacks and is null for good
-    cards; required are id, artist, title and link. With ``outer`` a page
-    without cards keeps a row, whose ``pos`` is null.
+    cards; required are id, artist, title and link.
     """
-    explode = F.posexplode_outer if outer else F.posexplode
-    found = pages.select(*keep, explode(items).alias("pos", "card")).select(*keep, "pos", "card.*")
+    found = pages.select(*keep, F.posexplode(items).alias("pos", "card")).select(*keep, "pos", "card.*")
     reject = (
         F.when(F.col("obj_id").isNull(), "obj_id")
         .when(F.size("artist") == 0, "artist")
@@ -162,6 +160,11 @@ def card_rows(pages: DataFrame, items: str | Column, keep: tuple, base: str = BA
     )
 
 
+def usable_card(card: Column) -> Column:
+    """Whether a card of :func:`card_items` has all required fields."""
+    return card["obj_id"].isNotNull() & (F.size(card["artist"]) > 0) & (F.size(card["title"]) > 0)
+
+
 def cards(parsed: DataFrame, keep: tuple = ("url",), base: str = BASE_URL) -> DataFrame:
     """Result cards of parsed pages, one row each (see :func:`card_rows`)."""
     return card_rows(parsed, card_items(), keep, base)

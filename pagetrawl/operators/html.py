@@ -8,13 +8,18 @@ the row: no element is shuffled, and no join looks for parents.
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# the parser travels with the plan: workers need no copy of this package
+register_pickle_by_value(sys.modules[__name__])
+
 NODE = T.StructType(
     [
         T.StructField("id", T.IntegerType(), False),

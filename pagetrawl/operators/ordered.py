@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 65_536
+# a bucket spans 2 ** BITS values of the order column
+BITS = 16
 
 
-def _with_offsets(rows: DataFrame, part: tuple, order: str, width: int, holds: Column) -> DataFrame:
+def _with_offsets(rows: DataFrame, part: tuple, order: str, bits: int, holds: Column) -> DataFrame:
     """Adds ``_g`` (group and bucket), rows ``_before`` it in the group, and where to ``_stop``."""
     # one struct as key: null groups stay groups, and join and rank share a partitioning
-    marked = rows.withColumn("_g", F.struct(*part, F.floor(F.col(order) / F.lit(width)).alias("_bucket")))
+    marked = rows.withColumn("_g", F.struct(*part, F.shiftright(order, bits).alias("_bucket")))
     gap = F.when(~F.coalesce(holds, F.lit(False)), F.col(order))
     counted = marked.groupBy("_g").agg(F.count("*").alias("_n"), F.min(gap).alias("_gap"))
     group = [F.col(f"_g.{c}") for c in part]
@@ -30,23 +31,23 @@ def _with_offsets(rows: DataFrame, part: tuple, order: str, width: int, holds: C
     return marked.join(offsets, "_g")
 
 
-def enumerate_rows(rows: DataFrame, part: tuple, order: str, start: int = 1, width: int = WIDTH) -> DataFrame:
+def enumerate_rows(rows: DataFrame, part: tuple, order: str, start: int = 1, bits: int = BITS) -> DataFrame:
     """Position ``n`` of each row in its group, from ``start``.
 
     ``order`` is an integer column, unique within a group.
     """
-    return take_while(rows, part, order, F.lit(True), start, width)
+    return take_while(rows, part, order, F.lit(True), start, bits)
 
 
 def take_while(
-    rows: DataFrame, part: tuple, order: str, holds: Column, start: int = 1, width: int = WIDTH
+    rows: DataFrame, part: tuple, order: str, holds: Column, start: int = 1, bits: int = BITS
 ) -> DataFrame:
     """Rows of each group before the first one where ``holds`` is not true.
 
     ``n`` is a row's position in the group. ``order`` is an integer column,
     unique within a group.
     """
-    joined = _with_offsets(rows, part, order, width, holds)
+    joined = _with_offsets(rows, part, order, bits, holds)
     kept = joined.where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))
     rank = F.row_number().over(Window.partitionBy("_g").orderBy(order))
     n = (rank + F.col("_before") + F.lit(start - 1)).alias("n")

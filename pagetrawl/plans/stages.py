@@ -36,6 +36,7 @@ from pagetrawl.operators.extract import (
     image_links,
     pagination_text,
     track_titles,
+    usable_card,
 )
 from pagetrawl.operators.frontier import (
     fetch_join,
@@ -106,15 +107,6 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
 
 
-def listing_facts(facts: DataFrame, base: str = BASE_URL, per_page: int = 100) -> DataFrame:
-    """What search pages say: one row per card, with the page's number of ``pages``.
-
-    A page without cards keeps one row, whose ``pos`` is null.
-    """
-    counted = facts.withColumn("pages", page_count(F.col("pagination"), per_page))
-    return card_rows(counted, "cards", ("page_id", "pages"), base, outer=True)
-
-
 def _fetch_error() -> Column:
     told = F.concat(F.lit("status "), F.col("status").cast("string"))
     return F.when(F.col("result") != "ok", F.coalesce(told, F.lit("no page")))
@@ -128,10 +120,9 @@ def index_stage(
     ``captures`` is :func:`newest_captures` of the archive, ``facts`` its
     :func:`page_facts`.
     """
-    fetched = fetch_join(tasks.withColumn("url", search_url(base=base, per_page=per_page)), captures)
-    fetched = settle(fetched.withColumnsRenamed({c: f"task_{c}" for c in ("country", "format", "year", "style")}), "fetched")
-    hits = settle(with_content(fetched, listing_facts(facts, base, per_page)), "hits")
-    valid, rejects = split_valid(hits.where("pos is not null"))
+    fetched = settle(fetch_join(tasks.withColumn("url", search_url(base=base, per_page=per_page)), captures), "fetched")
+    pages = settle(with_content(fetched, facts.select("page_id", "pagination", "cards")), "read")
+    valid, rejects = split_valid(card_rows(pages, "cards", ("url", "page"), base))
 
     time = stamp(at)
     rows = valid.withColumns({"page_index": F.col("page"), "crawler_time": time, "index_time": time})
@@ -139,11 +130,9 @@ def index_stage(
     details = valid.select(F.col("href").alias("url"), fingerprint("href").alias("fp")).distinct()
 
     # every page of a search names the same total, so its first page speaks for all
-    found = valid.where("page = 1").groupBy("fp").agg(
-        F.max("pages").alias("pages"),
-        *[F.first(f"task_{c}").alias(c) for c in ("country", "format", "year", "style")],
-    )
-    follow_ups = task_project(follow_up_pages(found)).withColumn("fp", task_fingerprint())
+    has_more = (F.col("page") == 1) & F.exists("cards", usable_card)
+    counted = pages.where(has_more).withColumn("pages", page_count(F.col("pagination"), per_page))
+    follow_ups = task_project(follow_up_pages(counted)).withColumn("fp", task_fingerprint())
     outcomes = fetched.select("fp", (F.col("result") == "ok").alias("ok"), _fetch_error().alias("error"))
     return Fetched(rows, rejects.select("url", "pos", "obj_id", "reject"), outcomes, follow_ups, details)
 
@@ -200,7 +189,8 @@ def gallery_stage(captures: DataFrame, facts: DataFrame, images: DataFrame, base
     """
     links = facts.where("gallery_href is not null").select(url_join(base, F.col("gallery_href")).alias("url"))
     shown = with_content(fetch_join(links.distinct(), captures), facts.select("page_id", "image_links"))
-    wanted = shown.select(F.explode("image_links").alias("img_url")).distinct()
+    # settled, so that the size a broadcast is decided by is the real one
+    wanted = settle(shown.select(F.explode("image_links").alias("img_url")).distinct(), "wanted")
     found = images.join(wanted, images.url == wanted.img_url)
     return found.select(image_name(F.col("img_url")).alias("name"), "content", "img_url")
 

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # pages are wide rows: few per Arrow batch
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # call-site capture doubles the time to build the long selector expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),

@@ -1,11 +1,14 @@
 import pytest
+from pyspark import SparkConf
 
 from pagetrawl.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8)
+def spark(tmp_path_factory):
+    # a setting of the machine goes first
+    named = SparkConf().get("spark.checkpoint.dir") or str(tmp_path_factory.mktemp("checkpoints"))
+    session = local_session(8, **{"spark.checkpoint.dir": named})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
