@@ -113,6 +113,9 @@ class _Tree(HTMLParser):
                 break
         return None
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def handle_starttag(self, tag, attrs):
         if tag in ENDS:
             depth = self._depth_of(*ENDS[tag])

@@ -17,7 +17,8 @@ LINKS = """links as (
   from (select page_id, url, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) as l from pages))"""
 
 TARGET = "regexp_extract(url, '^[a-z]+://[^/?#]+') || href"
-DECODED = "replace(replace({}, '&quot;', '\"'), '&amp;', '&')"
+# a page cut off inside an entity leaves it without its semicolon
+DECODED = "regexp_replace(regexp_replace({}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 
 # the rendered site: releases, their place in the search pages, and the search URL
 RELEASES = f"""rel as (

@@ -15,7 +15,7 @@ from pagetrawl.operators import dedup, extract, frontier, ordered, retry, upsert
 from pagetrawl.operators.html import html_nodes, node_rows
 from pagetrawl.operators.select import anywhere, child, node_attrs, node_texts, select_nodes
 from pagetrawl.plans import site, stages
-from pagetrawl.session import scratch_path, settle
+from pagetrawl.session import scratch_path, settle, spread
 from pagetrawl.sources import catalogue, images, pages as page_source, tasks as task_source
 from pagetrawl.streaming import streams
 
@@ -98,8 +98,12 @@ def image_uri(spark, d):
 # --- node trees and selectors
 
 
+def _tree(pages, key="page_id"):
+    return html_nodes(spread(pages.select(key, "html"), key))
+
+
 def _parsed(spark, d):
-    return html_nodes(_pages(spark, d).select("page_id", "html"))
+    return _tree(_pages(spark, d))
 
 
 def node_table(spark, d):
@@ -152,7 +156,7 @@ def _gallery_pages(spark, d):
         F.array_join(shown, "<br>"),
         F.lit("</p></div>"),
     )
-    return html_nodes(_pages(spark, d).select("page_id", "url", F.concat("html", more).alias("html")))
+    return _tree(_pages(spark, d).select("page_id", F.concat("html", more).alias("html")))
 
 
 def gallery_link(spark, d):
@@ -399,7 +403,7 @@ def _edges(spark, d):
     )
     edges = None
     for rows, src, dst in pairs:
-        one = rows.select(src.alias("src"), dst.alias("dst")).distinct()
+        one = rows.select(src.alias("src"), dst.alias("dst"))
         edges = one if edges is None else edges.unionByName(one)
     return edges
 
@@ -499,7 +503,7 @@ def stream_commit(spark, d):
 
 
 def site_facets(spark, d):
-    parsed = html_nodes(site.facet_pages(spark, d).select("page_id", "html"))
+    parsed = _tree(site.facet_pages(spark, d))
     found = extract.facets(parsed, keep=("page_id",)).where("reject is null")
     return found.select("page_id", "facet", "name", "url_name", "count", "count_n")
 
@@ -509,32 +513,32 @@ def seed_tasks(spark, d):
 
 
 def pagination(spark, d):
-    parsed = html_nodes(site.listing_pages(spark, d).select("url", "html"))
+    parsed = _tree(site.listing_pages(spark, d), "url")
     return extract.pagination(parsed, ("url",), site.PER_PAGE)
 
 
 def pages_with_more(spark, d):
     """Search pages that hold at least one usable card."""
-    facts = extract.cards(html_nodes(site.listing_pages(spark, d).select("url", "html")), keep=("url",))
+    facts = extract.cards(_tree(site.listing_pages(spark, d), "url"), keep=("url",))
     return facts.where("reject is null").select("url").distinct()
 
 
 def site_cards(spark, d):
-    parsed = html_nodes(site.listing_pages(spark, d).select("url", "html"))
+    parsed = _tree(site.listing_pages(spark, d), "url")
     return extract.cards(parsed, keep=("url",))
 
 
 def site_covers(spark, d):
-    return extract.cover(html_nodes(site.release_pages(spark, d).select("url", "html")), ("url",))
+    return extract.cover(_tree(site.release_pages(spark, d), "url"), ("url",))
 
 
 def tracklist(spark, d):
-    parsed = html_nodes(site.release_pages(spark, d).select("url", "html"))
+    parsed = _tree(site.release_pages(spark, d), "url")
     return extract.tracklist(parsed, ("url",)).select("url", F.array_join("title_list", "\n").alias("titles"))
 
 
 def tracklist_past_gaps(spark, d):
-    parsed = html_nodes(site.release_pages(spark, d).select("url", "html"))
+    parsed = _tree(site.release_pages(spark, d), "url")
     found = extract.tracklist(parsed, ("url",), stop_at_gap=False)
     return found.select("url", F.array_join("title_list", "\n").alias("titles"))
 

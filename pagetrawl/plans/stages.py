@@ -50,7 +50,7 @@ from pagetrawl.operators.frontier import (
 from pagetrawl.operators.html import html_nodes
 from pagetrawl.operators.upsert import Upsert
 from pagetrawl.schemas import DETAIL_FIELDS, INDEX_FIELDS, SEED_TASK
-from pagetrawl.session import scratch_path, settle
+from pagetrawl.session import scratch_path, settle, spread
 from pagetrawl.sources.catalogue import read_catalogue, write_catalogue
 from pagetrawl.sources.tasks import append_batch, read_tasks
 
@@ -95,7 +95,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     A narrow step from archive to facts: settle it once and let all stages
     and rounds read from it. Columns that a stage does not use are not read.
     """
-    parsed = html_nodes(pages.select("page_id", "html"))
+    parsed = html_nodes(spread(pages.select("page_id", "html"), "page_id"))
     return parsed.select(
         "page_id",
         pagination_text().alias("pagination"),

@@ -62,3 +62,23 @@ def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     path = path or scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` on all cores, for work that costs far more than moving its rows.
+
+    An input of fewer splits than there are cores is repartitioned by
+    ``key``, which should be unique; at most one split per core is moved.
+    Larger inputs have enough splits and stay where they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * split else df
+
+
+def _bytes(setting: str) -> int:
+    units = {"b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+    text = setting.lower().removesuffix("b") or "0"
+    return int(text[:-1]) << units[text[-1]] if text[-1] in units else int(text)

@@ -35,13 +35,21 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize(
-    "name", ["page_links", "node_links", "gallery_images", "tracklist", "cards_with_reject", "image_uri", "url_tail"]
-)
+@pytest.mark.parametrize("name", ["page_links", "cards_with_reject", "image_uri", "url_tail"])
 def test_page_work_is_narrow(spark, name):
     assert "Exchange" not in plan(QUERIES[name](spark, SF))
 
 
+@pytest.mark.parametrize("name", ["node_links", "gallery_images", "tracklist", "site_covers"])
+def test_parsing_is_narrow_on_large_inputs(spark, name):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # then these tables are large
+    try:
+        assert "Exchange" not in plan(QUERIES[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "Exchange" in plan(QUERIES[name](spark, SF))  # small ones are spread over the cores
+
+
 @pytest.mark.parametrize("name", ["frontier_product", "unseen", "fetch_join", "take_while", "latest_fields", "merge_sources"])
 def test_no_products(spark, name):
     found = plan(QUERIES[name](spark, SF))
