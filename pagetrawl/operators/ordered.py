@@ -11,8 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# a bucket spans 2 ** BITS values of the order column
+# a bucket spans 2 ** BITS values of the order column; suits dense numbers
 BITS = 16
+MAX_BUCKETS = 1 << 20
+
+
+def order_bits(rows: DataFrame, order: str) -> int:
+    """Bucket size for an order column of far-apart numbers, such as hashed ids.
+
+    One pass over the column finds its span, and buckets are made wide enough
+    that no group has more than ``MAX_BUCKETS`` of them.
+    """
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    return max(BITS, ((high or 0) - (low or 0)).bit_length() - MAX_BUCKETS.bit_length() + 1)
 
 
 def _with_offsets(rows: DataFrame, part: tuple, order: str, bits: int, holds: Column) -> DataFrame:

@@ -9,17 +9,35 @@ batch that is repeated after a failure replaces what it wrote.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagetrawl.functions import fingerprint
 from pagetrawl.functions.urls import BASE_URL
 from pagetrawl.operators.frontier import task_fingerprint
+from pagetrawl.operators.retry import ATTEMPTS, retry_ledger
 from pagetrawl.plans.stages import CATALOGUE, Fetched, detail_stage, index_stage
-from pagetrawl.schemas import DETAIL_TASK, SEED_TASK
+from pagetrawl.schemas import DETAIL_TASK, OUTCOME, SEED_TASK
+from pagetrawl.session import settle
 from pagetrawl.sources.catalogue import read_catalogue, write_catalogue
-from pagetrawl.sources.tasks import append_batch, read_tasks
+from pagetrawl.sources.tasks import append_batch, append_tasks, read_tasks
 from pagetrawl.streaming.streams import commit_after_success
 
-SEARCH_QUEUE, DETAIL_QUEUE, OUTCOME_QUEUE = "search", "detail", "outcomes"
+# queue and fingerprint of each stage's tasks
+STAGES = {
+    "index": ("search", SEED_TASK, task_fingerprint),
+    "detail": ("detail", DETAIL_TASK, lambda: fingerprint("url")),
+}
+
+
+def queued_tasks(spark: SparkSession, path: str, stage: str, streaming: bool = False, max_files: int = 1000) -> DataFrame:
+    """The tasks of a stage's queue below ``path``, with their fingerprints."""
+    queue, schema, fp = STAGES[stage]
+    return read_tasks(spark, path, queue, schema, streaming, max_files).withColumn("fp", fp())
+
+
+def stage_outcomes(spark: SparkSession, path: str, stage: str) -> DataFrame:
+    """Every attempt of a stage so far; an attempt is numbered by its batch."""
+    return read_tasks(spark, path, f"outcomes-{stage}", OUTCOME)
 
 
 def index_stream(
@@ -36,13 +54,12 @@ def index_stream(
 
     def work(fresh: DataFrame, number: int) -> DataFrame:
         done = index_stage(fresh, captures, facts, at, base, per_page)
-        append_batch(done.details.select("url"), path, DETAIL_QUEUE, number, "index")
-        append_batch(done.tasks.drop("fp"), path, SEARCH_QUEUE, number, "index")
+        append_batch(done.details.select("url"), path, "detail", number, "index")
+        append_batch(done.tasks.drop("fp"), path, "search", number, "index")
         return _store(done, "index", path, number)
 
-    tasks = read_tasks(spark, path, SEARCH_QUEUE, SEED_TASK, True, max_files)
-    keyed = tasks.withColumn("fp", task_fingerprint())
-    return commit_after_success(keyed, work, ("page",), f"{path}/seen-index", f"{path}/checkpoint-index")
+    tasks = queued_tasks(spark, path, "index", True, max_files)
+    return commit_after_success(tasks, work, ("page",), f"{path}/seen-index", f"{path}/checkpoint-index")
 
 
 def detail_stream(
@@ -61,16 +78,31 @@ def detail_stream(
     def work(fresh: DataFrame, number: int) -> DataFrame:
         return _store(detail_stage(fresh, captures, facts, at, base, images), source, path, number)
 
-    tasks = read_tasks(spark, path, DETAIL_QUEUE, DETAIL_TASK, True, max_files)
-    keyed = tasks.withColumn("fp", fingerprint("url"))
-    return commit_after_success(keyed, work, ("url",), f"{path}/seen-detail", f"{path}/checkpoint-detail")
+    tasks = queued_tasks(spark, path, "detail", True, max_files)
+    return commit_after_success(tasks, work, ("url",), f"{path}/seen-detail", f"{path}/checkpoint-detail")
 
 
 def _store(done: Fetched, source: str, path: str, number: int) -> DataFrame:
     stage = "index" if source == "index" else "detail"
     write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, source), f"{path}/catalogue-{stage}", number)
-    append_batch(done.outcomes, path, OUTCOME_QUEUE, number, stage)
-    return done.outcomes
+    outcomes = done.outcomes.withColumn("attempt", F.lit(number)).select("fp", "attempt", "ok", "error")
+    append_batch(outcomes, path, f"outcomes-{stage}", number)
+    return outcomes
+
+
+def requeue_failed(spark: SparkSession, path: str, stage: str, attempts: int = ATTEMPTS) -> DataFrame:
+    """Put the failed tasks of a stage back into its queue; returns the dead ones.
+
+    A task is dead after ``attempts`` failed attempts; rows ``fp, attempts,
+    verdict, last_error``. Run it between runs of the stage's stream.
+    """
+    ledger = settle(retry_ledger(stage_outcomes(spark, path, stage), attempts).where("verdict != 'done'"), "ledger")
+    queue, schema, _ = STAGES[stage]
+    tasks = queued_tasks(spark, path, stage)
+    again = tasks.join(ledger.where("verdict = 'requeue'"), "fp", "left_semi").drop("fp").distinct()
+    # settled first: a queue is not read and appended to in one go
+    append_tasks(settle(again, "again"), path, queue)
+    return ledger.where("verdict = 'dead'")
 
 
 def streamed_catalogue(spark: SparkSession, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pagetrawl.operators.frontier import (
     union_tasks,
     with_content,
 )
-from pagetrawl.operators.ordered import assemble_list, enumerate_rows, take_while
+from pagetrawl.operators.ordered import assemble_list, enumerate_rows, order_bits, take_while
 from pagetrawl.operators.retry import fetch_result, ok_pages, retry_ledger
 from pagetrawl.operators.upsert import Upsert, delete_where, merge_metrics
 from pagetrawl.schemas import OUTCOME, SEED_TASK
@@ -230,3 +230,11 @@ def test_frontier_rounds(spark):
     got = frontier_rounds(seeds, expand, 10, ("node",)).select("node", "round")
     assert rows(got) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
     assert rows(frontier_rounds(seeds, expand, 1, ("node",)).select("node", "round")) == [("a", 0), ("b", 1), ("c", 1)]
+
+
+def test_order_bits(spark):
+    assert order_bits(spark.range(10), "id") == 16 and order_bits(spark.range(0), "id") == 16
+    sparse = spark.createDataFrame([(0,), (1 << 60,)], "id bigint")
+    bits = order_bits(sparse, "id")
+    assert 1 << 19 <= (1 << 60) >> bits <= 1 << 20
+    assert [r.n for r in enumerate_rows(sparse.withColumn("g", F.lit(1)), ("g",), "id", bits=bits).orderBy("id").collect()] == [1, 2]

@@ -10,8 +10,14 @@ from pagetrawl.plans import site, stages
 from pagetrawl.session import settle
 from pagetrawl.sources.catalogue import complete_parts, read_catalogue
 from pagetrawl.sources.pages import read_pages_stream
-from pagetrawl.sources.tasks import append_tasks, read_tasks
-from pagetrawl.streaming.stage_streams import detail_stream, index_stream, streamed_catalogue
+from pagetrawl.sources.tasks import append_tasks
+from pagetrawl.streaming.stage_streams import (
+    detail_stream,
+    index_stream,
+    requeue_failed,
+    stage_outcomes,
+    streamed_catalogue,
+)
 from pagetrawl.streaming.streams import commit_after_success, stream_dedup, stream_upsert
 from test_operators import SPEC, UPDATE
 
@@ -115,6 +121,29 @@ def test_stage_streams_equal_the_batch_crawl(spark, tmp_path):
 
     assert batch.count() > 50
     assert rows(streamed_catalogue(spark, path)) == rows(batch)
-    outcomes = read_tasks(spark, path, "outcomes", "fp string, ok boolean, error string")
-    assert {r.error for r in outcomes.where("not ok").collect()} <= {"no page", "no cover"}
-    assert outcomes.where("ok").groupBy("fp").count().where("count > 1").isEmpty()
+    for stage in ("index", "detail"):
+        outcomes = stage_outcomes(spark, path, stage)
+        assert {r.error for r in outcomes.where("not ok").collect()} <= {"no page", "no cover"}
+        assert outcomes.where("ok").groupBy("fp").count().where("count > 1").isEmpty()
+
+
+def test_failed_tasks_are_tried_three_times(spark, tmp_path):
+    path = str(tmp_path / "run")
+    html = '<meta property="og:image" content="c"><div id="page_content"></div>'
+    page = lambda i, status: (i, f"{stages.BASE_URL}/release/{i}", status, html)
+    archive = lambda data: spark.createDataFrame(data, "page_id bigint, url string, status int, html string")
+    append_tasks(spark.createDataFrame([("/release/1",), ("/release/2",), ("/release/3",)], "url string"), path, "detail")
+
+    def run(data):
+        pages = archive(data)
+        captures, facts = newest_captures(pages), settle(stages.page_facts(pages), "facts")
+        detail_stream(spark, path, captures, facts, at="2020-01-02 03:04:05").awaitTermination()
+        return rows(requeue_failed(spark, path, "detail").select("attempts", "last_error"))
+
+    assert run([page(1, 200), page(2, 404)]) == []
+    assert run([page(1, 200), page(2, 200), page(3, 500)]) == []  # the second is there now
+    assert run([page(3, 503)]) == [(3, "status 503")]
+    assert run([page(3, 200)]) == [(3, "status 503")]  # dead: not tried again
+    assert {r.obj_id for r in streamed_catalogue(spark, path).collect()} == {"1", "2"}
+    attempts = stage_outcomes(spark, path, "detail").groupBy("fp").agg(F.count("*").alias("n"))
+    assert sorted(r.n for r in attempts.collect()) == [1, 2, 3]
