@@ -17,20 +17,19 @@ def _escape(value: Column) -> Column:
     return F.replace(F.url_encode(value.cast("string")), F.lit("%2B"), F.lit("+"))
 
 
-def search_url(task=None, base: str = BASE_URL, decade: int = 2000, per_page: int = 100) -> Column:
+def search_url(base: str = BASE_URL, decade: int = 2000, per_page: int = 100) -> Column:
     """Search page of a task (columns country, format, year, style, page)."""
-    field = (lambda n: F.col(n)) if task is None else (lambda n: task[n])
     return F.concat(
         F.lit(f"{base}/search/?layout=sm&country_exact="),
-        _escape(field("country")),
+        _escape(F.col("country")),
         F.lit("&format_exact="),
-        _escape(field("format")),
+        _escape(F.col("format")),
         F.lit(f"&limit={per_page}&year="),
-        field("year").cast("string"),
+        F.col("year").cast("string"),
         F.lit("&style_exact="),
-        _escape(field("style")),
+        _escape(F.col("style")),
         F.lit("&page="),
-        field("page").cast("string"),
+        F.col("page").cast("string"),
         F.lit(f"&decade={decade}"),
     )
 

@@ -129,13 +129,13 @@ def frontier_rounds(
     """
     spark = seeds.sparkSession
     path = path or scratch_path(spark, "rounds")
-    found = settle(dedup_first(seeds, order).withColumn("round", F.lit(0)), "round", f"{path}/round-0")
-    frontier = found
+    n = 0
+    frontier = settle(dedup_first(seeds, order).withColumn("round", F.lit(0)), "round", f"{path}/round-0")
+    so_far = lambda n: spark.read.schema(frontier.schema).parquet(*[f"{path}/round-{i}" for i in range(n)])
     for n in range(1, max_rounds + 1):
         fresh = dedup_first(expand(frontier.drop("round")).select(*seeds.columns), order)
-        fresh = unseen(fresh, found).withColumn("round", F.lit(n))
+        fresh = unseen(fresh, so_far(n)).withColumn("round", F.lit(n))
         frontier = settle(fresh, "round", f"{path}/round-{n}")
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier)
-    return found
+    return so_far(n + 1)

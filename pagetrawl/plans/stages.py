@@ -220,17 +220,16 @@ def crawl(
 
     seeds = seed_stage(seed_pages, years, words)
     frontier = settle(dedup_first(seeds, ("page",)), "round", f"{path}/round-0")
-    seen = frontier.select("fp")
     for n in range(max_rounds):
         done = index_stage(frontier, captures, facts, at, base, per_page)
         write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, "index"), index_store, n)
         append_batch(done.details, queues, "detail", n)
         append_batch(done.outcomes, queues, "outcomes", n)
+        seen = spark.read.schema(frontier.schema).parquet(*[f"{path}/round-{i}" for i in range(n + 1)])
         fresh = unseen(dedup_first(done.tasks, ("page",)), seen)
         frontier = settle(fresh, "round", f"{path}/round-{n + 1}")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier.select("fp"))
 
     queued = read_tasks(spark, queues, "detail", "url string, fp string")
     done = detail_stage(dedup_first(queued, ("url",)), captures, facts, at, base)

@@ -71,6 +71,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     ``key``, which should be unique; at most one split per core is moved.
     Larger inputs have enough splits and stay where they are.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))

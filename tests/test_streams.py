@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from pagetrawl.functions import fingerprint
+from pagetrawl.operators.extract import card_rows
 from pagetrawl.operators.frontier import newest_captures
 from pagetrawl.plans import site, stages
 from pagetrawl.session import settle
@@ -62,6 +63,18 @@ def test_upsert_equals_batch(spark, tmp_path):
     assert complete_parts(spark, out, "batch=") == [0, 1]
 
 
+def test_pages_stream_through_extraction(spark, tmp_path):
+    source, out, cp = (str(tmp_path / p) for p in ("in", "out", "cp"))
+    pages = site.listing_pages(spark, SF)
+    pages.repartition(4).write.parquet(source)
+    stream = stages.page_facts(read_pages_stream(spark, source, 1))
+    found = card_rows(stream, "cards", ("page_id",)).where("reject is null")
+    query = found.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", cp).start(out)
+    query.awaitTermination()
+    batch = card_rows(stages.page_facts(pages), "cards", ("page_id",)).where("reject is null")
+    assert rows(spark.read.parquet(out)) == rows(batch) and batch.count() > 50
+
+
 def test_failed_tasks_stay_unseen(spark, tmp_path):
     source, seen, cp = (str(tmp_path / p) for p in ("in", "seen", "cp"))
     worked = []
