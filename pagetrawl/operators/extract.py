@@ -58,7 +58,7 @@ def extract_all(pages: DataFrame, pattern: str, html: str = "html", group: int =
 def facets(parsed: DataFrame, words=STYLE_WORDS, keep: tuple = ()) -> DataFrame:
     """Facet items of search pages, one row each; ``reject`` names what an item lacks.
 
-    Only styles are filtered by keyword. ``pos`` counts kept items per facet.
+    Only styles are filtered by keyword. ``pos`` orders the items of a facet.
     """
     blocks = []
     for facet, block_id in FACET_IDS.items():
@@ -182,13 +182,20 @@ def pagination(parsed: DataFrame, keep: tuple = ("page_id",), per_page: int = 10
     return text.select(*keep, total.alias("total"), page_count(F.col("text"), per_page).alias("pages"))
 
 
-def cover_url() -> Column:
-    """First Open Graph image of a parsed page, null when there is none."""
-    return first_match(node_attrs(select_nodes("nodes", anywhere("meta", property="og:image")), "content"))
+def cover_links() -> Column:
+    """Open Graph images of a parsed page, in document order."""
+    return node_attrs(select_nodes("nodes", anywhere("meta", property="og:image")), "content")
 
 
 def cover(parsed: DataFrame, keep: tuple = ("page_id",)) -> DataFrame:
-    return parsed.select(*keep, cover_url().alias("cover_url"))
+    """Cover of each page; ``reject`` is set where no element names one."""
+    covers = parsed.select(*keep, cover_links().alias("covers"))
+    return covers.select(*keep, first_match(F.col("covers")).alias("cover_url"), no_cover(F.col("covers")).alias("reject"))
+
+
+def no_cover(covers: Column) -> Column:
+    """Reject reason of a page without a cover element; one without content is a null cover."""
+    return F.when(F.size(covers) == 0, "no cover")
 
 
 def track_titles(stop_at_gap: bool = True, null_position: str | None = None) -> Column:

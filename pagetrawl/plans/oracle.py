@@ -223,7 +223,8 @@ ORACLE = {
     "site_cards": f"""with {RELEASES} select url, cast(n - 1 - 10 * (page - 1) as int) as pos, cast(key as varchar) as obj_id, artist, title,
       '/release/' || key as href, '{BASE}/release/' || key as detail_url, label, catalog_number, format,
       cast(year as varchar) as year, shown_country as country, case when artist is null then 'artist' end as reject from listed""",
-    "site_covers": f"with {RELEASES} select '{BASE}/release/' || key as url, cover_url from rel",
+    "site_covers": f"""with {RELEASES} select '{BASE}/release/' || key as url, cover_url,
+      case when cover_url is null then 'no cover' end as reject from rel""",
     "tracklist": f"with {RELEASES}, {TRACKS} select '{BASE}/release/' || key as url, titles from titles",
     "tracklist_past_gaps": f"with {RELEASES}, {TRACKS} select '{BASE}/release/' || key as url, all_titles as titles from titles",
     "index_rows": f"with {RELEASES}, {SEEDS}, {FIRST} select {INDEX_ROW} from firsts where artist is not null",

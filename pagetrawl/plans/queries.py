@@ -544,7 +544,7 @@ def tracklist_past_gaps(spark, d):
 
 
 def _index(spark, d):
-    pages = site.listing_pages(spark, d)
+    pages = settle(site.listing_pages(spark, d), "pages")
     captures = settle(frontier.newest_captures(pages), "captures")
     facts = settle(stages.page_facts(pages), "facts")
     seeds = dedup.dedup_first(stages.seed_stage(site.facet_pages(spark, d), YEARS), ("page",))
@@ -568,7 +568,7 @@ def follow_up_tasks(spark, d):
 
 
 def detail_rows(spark, d):
-    pages = site.release_pages(spark, d)
+    pages = settle(site.release_pages(spark, d), "pages")
     tasks = site.releases(spark, d).select(site.markup("/release/{}", F.col("key")).alias("url"))
     tasks = tasks.withColumn("fp", fn.fingerprint("url"))
     facts = settle(stages.page_facts(pages), "facts")
@@ -586,7 +586,7 @@ def _covers(spark, d):
 
 def cover_rows(spark, d):
     """Detail rows together with the cover image as a data URI."""
-    pages = site.release_pages(spark, d)
+    pages = settle(site.release_pages(spark, d), "pages")
     tasks = site.releases(spark, d).select(site.markup("/release/{}", F.col("key")).alias("url"))
     tasks = tasks.withColumn("fp", fn.fingerprint("url"))
     facts = settle(stages.page_facts(pages), "facts")
@@ -598,7 +598,7 @@ def cover_rows(spark, d):
 def gallery_store(spark, d):
     """Image store filled from the galleries of all releases."""
     galleries, releases = site.gallery_pages(spark, d), site.release_pages(spark, d)
-    pages = releases.unionByName(galleries)
+    pages = settle(releases.unionByName(galleries), "pages")
     facts = settle(stages.page_facts(pages), "facts")
     found = stages.gallery_stage(frontier.newest_captures(pages), facts, _covers(spark, d))
     path = scratch_path(spark, "gallery")
@@ -609,7 +609,7 @@ def gallery_store(spark, d):
 
 def crawl_catalogue(spark, d):
     """All stages: seed, index rounds, detail, upsert."""
-    pages = site.listing_pages(spark, d).unionByName(site.release_pages(spark, d))
+    pages = settle(site.listing_pages(spark, d).unionByName(site.release_pages(spark, d)), "pages")
     docs = stages.crawl(
         site.facet_pages(spark, d), pages, YEARS, per_page=site.PER_PAGE, at=AT
     )

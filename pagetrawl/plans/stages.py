@@ -29,11 +29,12 @@ from pagetrawl.operators.dedup import dedup_first, split_valid, unseen
 from pagetrawl.operators.extract import (
     card_items,
     card_rows,
-    cover_url,
+    cover_links,
     facet_lists,
     facets,
     gallery_href,
     image_links,
+    no_cover,
     pagination_text,
     track_titles,
     usable_card,
@@ -48,6 +49,7 @@ from pagetrawl.operators.frontier import (
     with_content,
 )
 from pagetrawl.operators.html import html_nodes
+from pagetrawl.operators.select import first_match
 from pagetrawl.operators.upsert import Upsert
 from pagetrawl.schemas import DETAIL_FIELDS, INDEX_FIELDS, SEED_TASK
 from pagetrawl.session import scratch_path, settle, spread
@@ -100,7 +102,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         "page_id",
         pagination_text().alias("pagination"),
         card_items().alias("cards"),
-        cover_url().alias("cover_url"),
+        cover_links().alias("covers"),
         track_titles().alias("title_list"),
         gallery_href().alias("gallery_href"),
         image_links().alias("image_links"),
@@ -153,8 +155,9 @@ def detail_stage(
     """
     located = tasks.withColumn("url", url_join(base, F.col("url")))
     fetched = settle(fetch_join(located, captures), "fetched")
-    read = facts.select("page_id", "cover_url", "title_list")
-    told = with_content(fetched, read).withColumn("reject", F.when(F.col("cover_url").isNull(), "no cover"))
+    covers = F.col("covers")
+    read = facts.select("page_id", first_match(covers).alias("cover_url"), no_cover(covers).alias("reject"), "title_list")
+    told = with_content(fetched, read)
     extra = []
     if images is not None:
         coded = images.select(F.col("url").alias("cover_url"), image_data_uri(F.col("content")).alias("base64url"))

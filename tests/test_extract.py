@@ -129,9 +129,9 @@ def test_pagination_absent(parse):
 
 
 def test_cover_and_tracklist(parse):
-    parsed = parse(DETAIL_PAGE, "<p>nothing</p>")
-    assert rows(cover(parsed)) == [(0, "https://img.example/R-1.jpeg"), (1, None)]
-    assert rows(tracklist(parsed)) == [(0, ["1.A1-One", "2.Two"]), (1, [])]
+    parsed = parse(DETAIL_PAGE, "<p>nothing</p>", '<meta property="og:image">')
+    assert rows(cover(parsed)) == [(0, "https://img.example/R-1.jpeg", None), (1, None, "no cover"), (2, None, None)]
+    assert rows(tracklist(parsed)) == [(0, ["1.A1-One", "2.Two"]), (1, []), (2, [])]
     passed_over = tracklist(parsed, stop_at_gap=False)
     assert rows(passed_over)[0] == (0, ["1.A1-One", "2.Two", "4.B1-Three"])
 
