@@ -22,9 +22,21 @@ def dup_report(tasks: DataFrame, by: tuple) -> DataFrame:
     return tasks.groupBy(*by).agg(F.count("*").alias("n"), (F.count("*") - 1).alias("dups"))
 
 
+def absent_only(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new`` whose ``key`` does not exist yet.
+
+    ``existing`` is first reduced to the keys asked for: when ``new`` is small
+    it is broadcast, by its size, and the large set is read but not shuffled,
+    which an anti join alone cannot do. ``new`` is read twice; settle it first
+    when it is costly.
+    """
+    known = existing.select(key).join(new.select(key), key, "left_semi")
+    return new.join(known, key, "left_anti")
+
+
 def unseen(tasks: DataFrame, seen: DataFrame, fp: str = "fp") -> DataFrame:
     """Tasks whose fingerprint is not in ``seen``. Deduplicate ``tasks`` first."""
-    return tasks.join(seen.select(fp), fp, "left_anti")
+    return absent_only(tasks, seen, fp)
 
 
 def add_to_set(values: DataFrame, seen: DataFrame, value: str) -> DataFrame:
@@ -34,7 +46,8 @@ def add_to_set(values: DataFrame, seen: DataFrame, value: str) -> DataFrame:
     of which would report 0.
     """
     adds = values.groupBy(value).agg(F.count("*").alias("n"))
-    known = seen.select(value).distinct().withColumn("known", F.lit(True))
+    asked = seen.select(value).join(adds.select(value), value, "left_semi")
+    known = asked.distinct().withColumn("known", F.lit(True))
     new = F.coalesce(~F.col("known"), F.lit(True))
     return adds.join(known, value, "left").select(value, new.cast("int").alias("added"), (F.col("n") - 1).alias("repeats"))
 

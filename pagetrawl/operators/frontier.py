@@ -99,7 +99,7 @@ def fetch_join(tasks: DataFrame, captures: DataFrame) -> DataFrame:
     with :func:`with_content`.
     """
     wanted = tasks.withColumn("url_key", url_key(F.col("url")))
-    there = captures.join(wanted.select("url_key"), "url_key", "left_semi")
+    there = captures.join(wanted.select("url_key").distinct(), "url_key", "left_semi")
     fetched = wanted.join(there, "url_key", "left").drop("url_key")
     return fetched.withColumn("result", fetch_result(F.col("status")))
 
@@ -133,8 +133,8 @@ def frontier_rounds(
     frontier = settle(dedup_first(seeds, order).withColumn("round", F.lit(0)), "round", f"{path}/round-0")
     so_far = lambda n: spark.read.schema(frontier.schema).parquet(*[f"{path}/round-{i}" for i in range(n)])
     for n in range(1, max_rounds + 1):
-        fresh = dedup_first(expand(frontier.drop("round")).select(*seeds.columns), order)
-        fresh = unseen(fresh, so_far(n)).withColumn("round", F.lit(n))
+        named = dedup_first(expand(frontier.drop("round")).select(*seeds.columns), order)
+        fresh = unseen(settle(named, "named", f"{path}/named-{n}"), so_far(n)).withColumn("round", F.lit(n))
         frontier = settle(fresh, "round", f"{path}/round-{n}")
         if frontier.isEmpty():
             break

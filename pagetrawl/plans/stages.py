@@ -157,14 +157,16 @@ def detail_stage(
     fetched = settle(fetch_join(located, captures), "fetched")
     covers = F.col("covers")
     read = facts.select("page_id", first_match(covers).alias("cover_url"), no_cover(covers).alias("reject"), "title_list")
-    told = with_content(fetched, read)
+    told = settle(with_content(fetched, read), "hits")
     extra = []
     if images is not None:
-        coded = images.select(F.col("url").alias("cover_url"), image_data_uri(F.col("content")).alias("base64url"))
+        # reduced to the covers asked for: image bytes move only for these
+        asked = told.select("cover_url").distinct()
+        found = images.withColumnRenamed("url", "cover_url").join(asked, "cover_url", "left_semi")
+        coded = found.select("cover_url", image_data_uri(F.col("content")).alias("base64url"))
         told = told.join(coded, "cover_url", "left")
         told = told.withColumn("reject", F.coalesce("reject", F.when(F.col("base64url").isNull(), "no image")))
         extra = ["base64url"]
-    told = settle(told, "hits")
     valid, rejects = split_valid(told)
 
     time = stamp(at)
@@ -229,7 +231,8 @@ def crawl(
         append_batch(done.details, queues, "detail", n)
         append_batch(done.outcomes, queues, "outcomes", n)
         seen = spark.read.schema(frontier.schema).parquet(*[f"{path}/round-{i}" for i in range(n + 1)])
-        fresh = unseen(dedup_first(done.tasks, ("page",)), seen)
+        named = settle(dedup_first(done.tasks, ("page",)), "named", f"{path}/named-{n + 1}")
+        fresh = unseen(named, seen)
         frontier = settle(fresh, "round", f"{path}/round-{n + 1}")
         if frontier.isEmpty():
             break

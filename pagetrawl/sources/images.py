@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetrawl.operators.dedup import absent_only
 from pagetrawl.schemas import IMAGE
 
 
-def absent_only(new: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:
-    """Rows of ``new`` whose name does not exist yet."""
-    return new.join(existing.select(name), name, "left_anti")
-
-
 def missing_images(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     """The images to write: absent names, each once, the first by ``order``.
 
     ``order`` is unique. Which rows win is settled on names alone; image bytes
     are read only for those.
     """
-    winners = absent_only(new.groupBy("name").agg(F.min(order).alias(order)), existing)
+    winners = absent_only(new.groupBy("name").agg(F.min(order).alias(order)), existing, "name")
     return new.join(winners, ["name", order], "left_semi").select("name", "content")
 
 

@@ -64,11 +64,10 @@ def commit_after_success(
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         earlier = [f"{seen_path}/batch={n}" for n in complete_parts(spark, seen_path, "batch=") if n < number]
-        fresh = dedup_first(batch, order)
+        fresh = settle(dedup_first(batch, order), "batch")
         if earlier:
-            fresh = unseen(fresh, spark.read.schema("fp string").parquet(*earlier))
-        # settled: the seen table and the results must come from the same tasks
-        outcome = work(settle(fresh, "fresh"), number)
+            fresh = settle(unseen(fresh, spark.read.schema("fp string").parquet(*earlier)), "fresh")
+        outcome = work(fresh, number)
         done = outcome.where("ok").select("fp").distinct()
         done.write.mode("overwrite").parquet(f"{seen_path}/batch={number}")
 

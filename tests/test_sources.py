@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from pagetrawl.functions import image_data_uri, image_name
+from pagetrawl.operators.dedup import absent_only
 from pagetrawl.schemas import IMAGE, PAGE, SEED_TASK
 from pagetrawl.session import scratch_path, settle
 from pagetrawl.sources.catalogue import compact, complete_parts, read_catalogue, write_catalogue
-from pagetrawl.sources.images import absent_only, write_missing_images
+from pagetrawl.sources.images import write_missing_images
 from pagetrawl.sources.pages import read_images, read_pages, read_pages_stream
 from pagetrawl.sources.tasks import append_batch, append_tasks, queue_path, read_tasks
 from test_operators import ITALY, SPEC, UPDATE
@@ -99,4 +100,4 @@ def test_images(spark, tmp_path):
     write_missing_images(twice, store, "seq")
     stored = spark.read.schema(IMAGE).parquet(store)
     assert [(r.name, bytes(r.content)) for r in stored.orderBy("name").collect()] == [("R-1", b"\x00\xffone"), ("R-2", b"other")]
-    assert absent_only(new, stored).count() == 0
+    assert absent_only(new, stored, "name").count() == 0
