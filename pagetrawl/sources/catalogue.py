@@ -29,29 +29,37 @@ def write_catalogue(spec: Upsert, state: DataFrame, path: str, batch: int) -> No
     spec.merge(state).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def _parts(spark: SparkSession, path: str) -> list[str]:
-    """The folders that make up what one writer has stored."""
+def _parts(spark: SparkSession, path: str, below: int | None = None) -> list[str]:
+    """The folders that make up what one writer has stored (before batch ``below``)."""
     base = complete_parts(spark, path, "v=")[-1:]
     batches = [n for n in complete_parts(spark, path, "batch=") if not base or n > base[0]]
-    return [f"{path}/v={n}" for n in base] + [f"{path}/batch={n}" for n in batches]
+    kept = [n for n in batches if below is None or n < below]
+    return [f"{path}/v={n}" for n in base] + [f"{path}/batch={n}" for n in kept]
 
 
-def catalogue_state(spec: Upsert, spark: SparkSession, *paths: str) -> DataFrame:
-    """The merged rows of everything written so far, by one writer or several."""
-    parts = [part for path in paths for part in _parts(spark, path)]
+def _merged(spec: Upsert, spark: SparkSession, parts: list[str]) -> DataFrame:
     if not parts:
         return spark.createDataFrame([], spec.schema)
     state = spark.read.schema(spec.schema).parquet(*parts)
     return state if len(parts) == 1 else spec.merge(state)
 
 
+def catalogue_state(spec: Upsert, spark: SparkSession, *paths: str) -> DataFrame:
+    """The merged rows of everything written so far, by one writer or several."""
+    return _merged(spec, spark, [part for path in paths for part in _parts(spark, path)])
+
+
 def read_catalogue(spec: Upsert, spark: SparkSession, *paths: str) -> DataFrame:
     """The catalogue: one row per key, every field as last written."""
     return spec.documents(catalogue_state(spec, spark, *paths))
 
 
 def compact(spec: Upsert, spark: SparkSession, path: str) -> None:
-    """Write a snapshot of all complete batches."""
-    batches = complete_parts(spark, path, "batch=")
-    if batches:
-        catalogue_state(spec, spark, path).write.mode("overwrite").parquet(f"{path}/v={batches[-1]}")
+    """Fold the log into a snapshot, but for its last batch.
+
+    That one a stream may still have to repeat; all before it are final.
+    """
+    *final, last = complete_parts(spark, path, "batch=") or [0]
+    parts = _parts(spark, path, last)
+    if final and parts[-1] == f"{path}/batch={final[-1]}":
+        _merged(spec, spark, parts).write.mode("overwrite").parquet(f"{path}/v={final[-1]}")

@@ -1,6 +1,8 @@
 """Extraction on hand-made pages, one per selector group."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -15,7 +17,7 @@ from pagetrawl.operators.extract import (
     pagination,
     tracklist,
 )
-from pagetrawl.operators.html import html_nodes, node_rows
+from pagetrawl.operators.html import _Tree, html_nodes, node_rows
 
 FACET_PAGE = """
 <div id="facets_style_exact"><ul>
@@ -199,3 +201,21 @@ def test_flat_pattern_equals_tree(spark, parse):
     source = "<nav><ul><li><a href='/a'>1</a></li><li><a href='/b'>2</a></li></ul></nav>"
     flat = extract_all(spark.createDataFrame([(0, source)], "page_id int, html string"), "<a href='([^']*)'>")
     assert rows(flat) == [(0, 0, "/a"), (0, 1, "/b")]
+
+
+PIECES = ["<p>", "</p>", "<b class=x>", "</b>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<br>", "<i/>", "text &amp; ",
+          "<!-- c -->", "<li>", "<ul>", "</ul>", "<script>", "</script>", "<a href='", "<", ">", "&lt", "<div>", "</div>", "<?x>", "<!x>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=30).map("".join), min_size=1, max_size=3))
+def test_any_soup_makes_a_consistent_tree(sources):
+    tree = _Tree()
+    for source in sources:
+        tree.add_page(source)
+    for nodes in tree.nodes([True] * len(sources)).to_pylist():
+        for i, n in enumerate(nodes):
+            assert n["id"] == i and n["parent"] < i <= n["last"] < len(nodes)
+            assert n["anc"] == ([*nodes[n["parent"]]["anc"], n["parent"]] if n["parent"] >= 0 else [])
+            # the slice up to last is exactly the subtree
+            assert [m["id"] for m in nodes if i in m["anc"]] == list(range(i + 1, n["last"] + 1))

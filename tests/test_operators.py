@@ -238,3 +238,12 @@ def test_order_bits(spark):
     bits = order_bits(sparse, "id")
     assert 1 << 19 <= (1 << 60) >> bits <= 1 << 20
     assert [r.n for r in enumerate_rows(sparse.withColumn("g", F.lit(1)), ("g",), "id", bits=bits).orderBy("id").collect()] == [1, 2]
+
+
+@settings(max_examples=4, deadline=None)
+@given(*[st.integers(0, 4)] * 3)
+def test_product_counts(spark, styles, formats, countries):
+    sides = {"style": styles, "format": formats, "country": countries}
+    data = [(f, [], [f"{f}{i}" for i in range(n)], []) for f, n in sides.items() if n]
+    lists = spark.createDataFrame(data, "facet string, names array<string>, url_names array<string>, counts array<string>")
+    assert frontier_product(lists, [2000, 2001]).distinct().count() == 2 * styles * formats * countries
