@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 def dedup_first(tasks: DataFrame, order: tuple, fp: str = "fp") -> DataFrame:
     """One row per fingerprint: the first by ``order``, ties broken by content.
 
+    All columns must be orderable, which a map is not.
     Copies collapse in the map-side aggregate, so a fingerprint that a third
     of all rows share sends one row per map task through the shuffle.
     """

@@ -15,6 +15,7 @@ from pagetrawl.operators import dedup, extract, frontier, ordered, retry, upsert
 from pagetrawl.operators.html import html_nodes, node_rows
 from pagetrawl.operators.select import anywhere, child, node_attrs, node_texts, select_nodes
 from pagetrawl.plans import site, stages
+from pagetrawl.schemas import SEED_TASK
 from pagetrawl.session import scratch_path, settle, spread
 from pagetrawl.sources import catalogue, images, pages as page_source, tasks as task_source
 from pagetrawl.streaming import streams
@@ -442,7 +443,7 @@ def task_roundtrip(spark, d):
     tasks = frontier_product(spark, d)
     for year in YEARS:
         task_source.append_tasks(tasks.where(F.col("year") == year), path, "search")
-    return task_source.read_tasks(spark, path, "search", stages.SEED_TASK)
+    return task_source.read_tasks(spark, path, "search", SEED_TASK)
 
 
 def _page_images(spark, d):

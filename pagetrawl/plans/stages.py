@@ -51,7 +51,7 @@ from pagetrawl.operators.frontier import (
 from pagetrawl.operators.html import html_nodes
 from pagetrawl.operators.select import first_match
 from pagetrawl.operators.upsert import Upsert
-from pagetrawl.schemas import DETAIL_FIELDS, INDEX_FIELDS, SEED_TASK
+from pagetrawl.schemas import DETAIL_FIELDS, INDEX_FIELDS
 from pagetrawl.session import scratch_path, settle, spread
 from pagetrawl.sources.catalogue import read_catalogue, write_catalogue
 from pagetrawl.sources.tasks import append_batch, read_tasks
@@ -215,7 +215,8 @@ def crawl(
 
     The archive's facts are settled once. Index rounds run until no task is
     new; each round writes its rows as one catalogue batch and its detail
-    tasks and outcomes as one batch of their queues.
+    tasks and outcomes as one batch of their queues. ``path`` is a new folder:
+    all that a run writes stays below it.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "crawl")
