@@ -27,7 +27,7 @@ def kind(arrow_type) -> str:
 
 def compare(spark_df, db, sql: str) -> list[str]:
     """What differs, as text; empty when schema and rows agree."""
-    ours, theirs = spark_df.toArrow(), db.execute(sql).to_arrow_table()
+    ours, theirs = spark_df.toArrow(), db.sql(sql).to_arrow_table()
     names = sorted(ours.column_names)
     if names != sorted(theirs.column_names):
         return [f"columns {names} != {sorted(theirs.column_names)}"]
