@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagetrawl.llm import token_files
+from pagetrawl.llm import packing, token_files
 from pagetrawl.llm.common import table
 
 
@@ -14,10 +15,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_packing(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in sequences of at most 1024 ids, a row a piece."""
+    pieces = packing.pack(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     """Ids of all documents, from the files they were written to."""
     return token_files.token_files(table(spark, d, "documents"), vocabulary("word_bpe_49k.json")).drop("file")
 
 
-QUERIES = {"op10_token_files": op10_token_files}
+QUERIES = {"op2_packing": op2_packing, "op10_token_files": op10_token_files}
 ORACLE: dict[str, str] = {}
