@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import packing, token_files
+from pagetrawl.llm import packing, pii, token_files
 from pagetrawl.llm.common import table
 
 
@@ -15,6 +15,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in all documents: counts and spans."""
+    found = pii.pii_spans(table(spark, d, "documents").select("doc_id", "text"))
+
+    def of(*kinds):
+        return F.filter("pii", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    digest = F.sha2(pii.joined(of(*pii.BASE)), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.joined(F.col("pii")).alias("spans"))
+
+
 def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     """All documents in sequences of at most 1024 ids, a row a piece."""
     pieces = packing.pack(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -26,5 +38,5 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.token_files(table(spark, d, "documents"), vocabulary("word_bpe_49k.json")).drop("file")
 
 
-QUERIES = {"op2_packing": op2_packing, "op10_token_files": op10_token_files}
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op10_token_files": op10_token_files}
 ORACLE: dict[str, str] = {}
