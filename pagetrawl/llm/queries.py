@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import packing, pii, token_files
+from pagetrawl.llm import packing, pii, token_files, toxicity
 from pagetrawl.llm.common import table
 
 
@@ -33,10 +33,15 @@ def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     """Ids of all documents, from the files they were written to."""
     return token_files.token_files(table(spark, d, "documents"), vocabulary("word_bpe_49k.json")).drop("file")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op10_token_files": op10_token_files}
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
 ORACLE: dict[str, str] = {}
