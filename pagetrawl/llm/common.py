@@ -39,16 +39,28 @@ KEPT_PIECE = 48
 
 
 class PieceIds(dict):
-    """Ids of text pieces as little-endian 32-bit bytes; holds at most ``limit`` pieces."""
+    """Ids of text pieces as little-endian 32-bit bytes.
+
+    Two generations of at most ``limit`` pieces: a full one becomes the old one, and
+    pieces that are met again come over from there.
+    """
 
     def __init__(self, tokenizer, limit: int):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.limit, self.old = tokenizer, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = ids_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        ids = self.old.get(piece)
+        if ids is None:
+            body = piece[:-1]
+            # both vocabularies cut between a letter and a mark, so the two are encoded apart
+            if piece[-1] in ",." and body.lstrip(" ").isalpha():
+                ids = self[body] + self[piece[-1]]
+            else:
+                ids = ids_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= KEPT_PIECE:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -69,7 +81,7 @@ class TextEncoder:
 
     WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 700_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 500_000):
         import re
 
         from tokenizers import Tokenizer
