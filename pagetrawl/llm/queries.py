@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import near_dedup, packing, pii, token_files, toxicity
+from pagetrawl.llm import decontaminate, near_dedup, packing, pii, token_files, toxicity
 from pagetrawl.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op4_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, d, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    return decontaminate.contaminated(decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")))
+
+
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
@@ -48,5 +53,5 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.token_files(table(spark, d, "documents"), vocabulary("word_bpe_49k.json")).drop("file")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op4_near_dedup": op4_near_dedup, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
 ORACLE: dict[str, str] = {}
