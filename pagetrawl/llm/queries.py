@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import decontaminate, near_dedup, packing, pii, token_files, toxicity
+from pagetrawl.llm import decontaminate, near_dedup, packing, pii, quality, token_files, toxicity
 from pagetrawl.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op3_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of all documents."""
+    return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op4_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Groups of near-duplicates among all documents."""
     return near_dedup.near_duplicates(table(spark, d, "documents"))
@@ -53,5 +58,5 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.token_files(table(spark, d, "documents"), vocabulary("word_bpe_49k.json")).drop("file")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
 ORACLE: dict[str, str] = {}
