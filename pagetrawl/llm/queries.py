@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import decontaminate, near_dedup, near_vectors, packing, pii, quality, token_files, toxicity
+from pagetrawl.llm import decontaminate, near_dedup, near_vectors, packing, pii, quality, site_style, token_files, toxicity
 from pagetrawl.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op6_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")))
 
 
+def op7_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """Main text of all pages."""
+    return site_style.main_text(table(spark, d, "pages"))
+
+
 def op8_near_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Groups of near-duplicates among all vectors of each label."""
     return near_vectors.near_vectors(table(spark, d, "embeddings"))
@@ -63,5 +68,5 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.token_files(table(spark, d, "documents"), vocabulary("word_bpe_49k.json")).drop("file")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op7_main_text": op7_main_text, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
 ORACLE: dict[str, str] = {}
