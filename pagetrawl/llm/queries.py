@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import decontaminate, near_dedup, near_vectors, packing, pii, quality, site_style, token_files, toxicity
+from pagetrawl.llm import decontaminate, near_dedup, near_vectors, packing, pii, quality, site_style, suffix_dedup, token_files, toxicity
 from pagetrawl.llm.common import table
 
 
@@ -43,6 +43,16 @@ def op4_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, d, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of all documents that no earlier passage of 100 bytes covers."""
+    found = suffix_dedup.without_repeats(table(spark, d, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold benchmark items, with the items."""
     return decontaminate.contaminated(decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")))
@@ -68,5 +78,5 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.token_files(table(spark, d, "documents"), vocabulary("word_bpe_49k.json")).drop("file")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op7_main_text": op7_main_text, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_main_text": op7_main_text, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
 ORACLE: dict[str, str] = {}
