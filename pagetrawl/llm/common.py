@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import string
+import struct
+import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,26 +42,39 @@ def strings(column: pa.Array) -> list[str]:
 KEPT_PIECE = 48
 
 
+class OddSpace(Exception):
+    """White space that a cut at single spaces can't tell apart."""
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for the letters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in visible]
+    return {x: chr(x) for x in visible} | {x: chr(256 + k) for k, x in enumerate(hidden)}
+
+
+_LETTERS = byte_letters()
+
+
 class PieceIds(dict):
-    """Ids of text pieces as little-endian 32-bit bytes.
+    """Ids of text pieces, each behind ``prefix``, as little-endian 32-bit bytes.
 
     Two generations of at most ``limit`` pieces: a full one becomes the old one, and
     pieces that are met again come over from there.
     """
 
-    def __init__(self, tokenizer, limit: int):
+    def __init__(self, tokenizer, limit: int, prefix: str = "", plain: PieceIds | None = None):
         super().__init__()
-        self.tokenizer, self.limit, self.old = tokenizer, limit, {}
+        self.tokenizer, self.limit, self.prefix, self.old = tokenizer, limit, prefix, {}
+        self.plain = self if plain is None else plain
+        self.model, self.normal = tokenizer.model, tokenizer.normalizer is not None
 
     def __missing__(self, piece: str) -> bytes:
+        if self.prefix and (not piece or piece[0].isspace() or piece[-1].isspace()):
+            raise OddSpace
         ids = self.old.get(piece)
         if ids is None:
-            body = piece[:-1]
-            # both vocabularies cut between a letter and a mark, so the two are encoded apart
-            if piece[-1] in ",." and body.lstrip(" ").isalpha():
-                ids = self[body] + self[piece[-1]]
-            else:
-                ids = ids_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            ids = self.encode(piece)
         if len(piece) <= KEPT_PIECE:
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -65,36 +82,70 @@ class PieceIds(dict):
             self[piece] = ids
         return ids
 
+    def encode(self, piece: str) -> bytes:
+        # the vocabularies cut between a letter and a run of marks, and around a single line break
+        body = piece.rstrip(string.punctuation)
+        if len(body) < len(piece) and body.lstrip(" ").isalpha():
+            return self[body] + self.plain[piece[len(body) :]]
+        head, line, tail = piece.partition("\n")
+        if line and head and tail and "\n" not in tail and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + self.plain[line] + self.plain[tail]
+        word = self.word(piece)
+        if word is not None:
+            return ids_bytes([x.id for x in self.model.tokenize(word)])
+        return ids_bytes(self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids)
+
+    def word(self, piece: str) -> str | None:
+        """A piece that is one word of common letters, as the model's input: such a word needs no further cut."""
+        if not piece.isalpha() or max(piece) >= "\u0370":
+            return None
+        if self.normal:
+            piece = unicodedata.normalize("NFC", piece).lower()
+            if not piece.isalpha() or max(piece) >= "\u0370":
+                return None
+        return (self.prefix + piece).encode().decode("latin-1").translate(_LETTERS)
+
 
 def ids_bytes(ids) -> bytes:
-    return b"".join(x.to_bytes(4, "little") for x in ids)
+    return np.array(ids, "<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class TextEncoder:
     """A tokenizer of the ``tokenizers`` library that encodes each distinct piece of text once.
 
     Both public BPE vocabularies cut a text at white space before any merge, so
-    the ids of a text are those of its pieces one after the other. A text with
-    one of the marks below is encoded whole: special tokens, and control characters
-    that Python takes for white space and the tokenizers don't.
+    the ids of a text are those of its pieces one after the other. Where spaces are kept
+    (``keeps_space``), a single space belongs to the piece behind it; texts with other runs
+    of white space are cut by a pattern. A text with one of the marks below is
+    encoded whole: special tokens, and control characters that Python takes for white
+    space and the tokenizers don't.
     """
 
     WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 500_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 600_000):
         import re
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = PieceIds(self.tokenizer, limit)
-        self.cut = re.compile(r"\s*\S+|\s+").findall if keeps_space else str.split
+        self.plain = PieceIds(self.tokenizer, limit)
+        self.spaced = PieceIds(self.tokenizer, limit, " ", self.plain) if keeps_space else None
+        self.runs = re.compile(r"\s*\S+|\s+").findall
 
     def __call__(self, text: str) -> bytes:
         for mark in self.WHOLE:
             if mark in text:
                 return ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+        if self.spaced is None:
+            return b"".join(map(self.plain.__getitem__, text.split()))
+        if not text:
+            return b""
+        first, *rest = text.split(" ")
+        try:
+            return (self.plain[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        except OddSpace:
+            return b"".join(map(self.plain.__getitem__, self.runs(text)))
 
 
 _encoders: dict = {}

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrawl.llm.common import slices, strings
+from pagetrawl.llm.learn import only
 
 #: Share of an item's length that edits may take.
 MOST_EDITS = 0.08
@@ -185,7 +186,17 @@ def find(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, int
     return [(t, i, start, end, best) for (t, i), (best, start, end) in found.items()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
+    """The items with a text, in blocks of about ``block_bytes`` at most: what goes with a task has a bound."""
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    for block in range(blocks):
+        mine = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield sorted(((r.item_id, r.text) for r in mine.collect()), key=str)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each item of ``benchmark`` (item_id, text) that a row of ``docs`` (doc_id, text) holds.
 
     ``start`` and ``end`` are bytes of the normalised text, ``distance`` is the least number of byte edits, at
@@ -193,13 +204,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     as whole words. Null and empty texts and items hold and match nothing. Repeated rows and items are all
     told. Other columns are ignored.
     """
-    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
     found = None
-    for block in range(blocks):
-        mine = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = sorted(((r.item_id, r.text) for r in mine.collect()), key=str)
+    for rows in item_blocks(benchmark):
 
         def run(batches, rows=rows):
             items = Items(rows)
@@ -217,6 +223,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     return found
 
 
+class Clean:
+    """Which texts hold none of some items."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        self.rows, self.items = rows, None
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if self.items is None:
+            self.items = Items(self.rows)
+        clean = np.ones(len(texts), bool)
+        clean[[hit[0] for hit in find(self.items, [normal(t) for t in texts])]] = False
+        return clean
+
+    def __reduce__(self):
+        return Clean, (self.rows,)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, by ``leaks``'s measure, with all their columns."""
+    for rows in item_blocks(benchmark):
+        docs = only(docs, Clean(rows))
+    return docs
+
+
 def contaminated(found: DataFrame) -> DataFrame:
     """A row a document that holds items: doc_id, n_items, item_ids in order, least distance."""
     return found.groupBy("doc_id").agg(

@@ -51,3 +51,14 @@ def score_texts(docs: DataFrame, score, held: int = 256) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def only(docs: DataFrame, choose, held: int = 256) -> DataFrame:
+    """The rows of ``docs`` whose texts are chosen, all columns as they are; ``choose`` turns texts into booleans."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in slices(batches, held):
+            yield batch.filter(pa.array(np.asarray(choose(strings(batch.column(at))), bool)))
+
+    return docs.mapInArrow(run, docs.schema)

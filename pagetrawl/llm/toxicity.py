@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrawl.llm.common import held_out, numbered
-from pagetrawl.llm.learn import calibration, score_texts, sigmoid, training_sample
+from pagetrawl.llm.learn import calibration, only, score_texts, sigmoid, training_sample
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, ATTENTION, WIDTH = 8, 8, 8
@@ -233,3 +233,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, least: f
     net = fit(*training_sample(docs, labels, "toxic", per_class))
     scored = score_texts(docs, lambda texts: net.score([words_of(t) for t in texts]))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 1500, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``, with all their columns; learns and scores as ``toxicity`` does."""
+    net = fit(*training_sample(docs, labels, "toxic", per_class))
+    return only(docs, lambda texts: net.score([words_of(t) for t in texts]) < least)
