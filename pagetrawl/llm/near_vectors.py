@@ -137,7 +137,10 @@ def near_vectors(embeddings: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable()
-    keyed = rows.withColumn("vector", F.when(fine, F.transform("embedding", lambda x: x.cast("double") + 0.0)))
+    # in units of the largest component, so that squares neither vanish nor overflow
+    unit = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    keyed = rows.withColumn("unit", unit)
+    keyed = keyed.withColumn("vector", F.when(fine, F.transform("embedding", lambda x: x.cast("double") / F.col("unit") + 0.0)))
     keyed = settle(keyed.select("vec_id", "label", "vector"), "vectors")
     known = keyed.where("vector is not null")
     classes = known.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))

@@ -287,8 +287,9 @@ def _constructed(batches):
         h = np.array([r[0] for r in rows])
         order = np.lexsort((first[text] + start, doc[text], group))
         earliest = np.append(True, group[order][1:] != group[order][:-1])
-        repeat = np.ones(len(text), bool)
-        repeat[order[earliest]] = False
+        lead = order[np.maximum.accumulate(np.where(earliest, np.arange(len(order)), 0))]
+        repeat = np.empty(len(text), bool)  # a repeated row brings the same place again, which is not earlier
+        repeat[order] = (doc[text[order]] != doc[text[lead]]) | ((first[text] + start)[order] != (first[text] + start)[lead])
         split = ~repeat & (salt[text] >= 0)
         cut = np.flatnonzero(repeat)
         cut = cut[np.lexsort((start[cut], text[cut]))]
