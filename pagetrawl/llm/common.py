@@ -123,7 +123,7 @@ class TextEncoder:
 
     WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 600_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 350_000):
         import re
 
         from tokenizers import Tokenizer

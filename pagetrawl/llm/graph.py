@@ -42,16 +42,21 @@ def _forests(links: DataFrame) -> DataFrame:
     return links.mapInArrow(_forest, "a long, b long").where("a <> b")
 
 
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether each id has one link, to an id that has none."""
+    several = links.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    return several.isEmpty() and links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of all ids in ``links (a, b)``: the smallest id reachable. Ids without links are left out.
 
     Trees of each partition first, then rounds of large and small stars: a node hands its neighbours the
-    smallest id it knows, until nothing changes. A round is settled as a table, so lost executors
+    smallest id it knows, until all links lead to a component's smallest id. A round is settled as a table, so lost executors
     repeat one round only; links of a hub are split by the skew join, minima have a map-side part.
     """
     now = settle(_forests(links.select("a", "b").where("a <> b")), "links")
-    seen = None
-    while True:
+    while not _is_forest_of_stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -59,10 +64,6 @@ def components(links: DataFrame) -> DataFrame:
         lower = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = settle(_forests(small.union(lower.select("a", F.col("m").alias("b")))).distinct(), "links")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == seen:
-            break
-        seen = tuple(found)
     lowest = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     roots = lowest.select("component").distinct().select(F.col("component").alias("id"), "component")
     return lowest.join(roots, "id", "left_anti").union(roots)

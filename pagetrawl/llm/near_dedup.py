@@ -7,10 +7,11 @@ independent hashes. Elements are taken rank by rank, and a document stops as soo
 holds a smaller rank than the next: long texts need two or three ranks.
 
 Documents of one set are one class, represented by the smallest id. Slots make bands of four,
-and equal bands make buckets. In a bucket members are compared with one leader, not with each other:
-links that are found join components, and buckets that still hold more than one component go on
-with other leaders and in the end with all pairs of different components. Links are confirmed
-on full sets. Chance misses a pair at a similarity of 0.75 in 5 of a million cases (32 bands of 4).
+and equal bands make buckets. In a bucket members are compared with one leader, not with each other;
+links join components. Buckets that still hold several components go on: the few members outside
+the largest component meet all of the bucket. Where many documents share no more than a common
+line, those that it makes up for the most part meet by their rarest shingles, which loses no
+pair. A pair that shares two bands of 32 is confirmed on its full sets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrawl.llm.common import slices, strings
@@ -31,6 +32,12 @@ SHINGLE, SLOTS, BAND = 5, 128, 4
 LEAST_PERCENT = 75
 #: Rounds in which a bucket's members meet one leader each.
 STAR_ROUNDS = 3
+#: Bands that a pair must share; at a similarity of 0.75 ten of 32 are expected, and chance leaves less than two in 9 of 100,000 cases.
+LEAST_BANDS = 2
+#: Up to so many members outside a bucket's largest component are compared with all of the bucket.
+FEW = 16
+#: Documents with no more bands in undecided large buckets are linked by their other bands: 24 such bands miss a pair in 1 of 10,000 cases.
+SPARE_BANDS = 8
 PRIME, GOLDEN = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,7 +107,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     for rank in range(slots):
         if not len(items):
             break
-        x = mix(items + np.uint64(rank + 1) * GOLDEN)
+        x = mix(items + np.uint64((rank + 1) * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF))
         swap = (rank + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(slots - rank) >> np.uint64(32)).astype(np.int64)).astype(np.int16)
         slot = swap.copy()
         for k in range(rank - 1, -1, -1):  # where the earlier swaps have put this slot
@@ -165,45 +172,125 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _turn(round_: int) -> Column:
-    """What the leader of a bucket has least of: in the first round its id, later a hash."""
-    return F.col("doc_id") if round_ == 0 else F.xxhash64("doc_id", F.lit(round_))
-
-
-def near_links(banded: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(id, component)`` of the linked representatives; ``banded`` has doc_id, n, key of buckets with company."""
-    links = tried = labels = None
-    for round_ in range(STAR_ROUNDS + 1):
-        if labels is None:
-            mine = banded.withColumn("component", F.col("doc_id"))
-        else:
-            own = labels.withColumnRenamed("id", "doc_id")
-            mine = banded.join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            mixed = mine.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            mine = settle(mine.join(mixed.where("low <> high").select("key"), "key"), "mixed-buckets")
-        if round_ < STAR_ROUNDS:
-            # the least turn of a bucket, and by it the leader with what is known of it
-            least = mine.groupBy("key").agg(F.min(_turn(round_)).alias("turn"))
-            lead = mine.join(least, "key").where(_turn(round_) == F.col("turn"))
-            lead = lead.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        else:
-            lead = mine.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        pairs = mine.join(lead, "key").where(F.col("component") != F.col("c_b"))
-        if round_ == STAR_ROUNDS:
-            pairs = pairs.where("doc_id > b")
+    """What the leader of a bucket has least of: in the first round its size, then its id, later a hash."""
+    return F.struct("n", "doc_id") if round_ == 0 else F.struct(F.xxhash64("doc_id", F.lit(round_)), "doc_id")
+
+
+def _enough(shared: Column, both: Column) -> Column:
+    """Whether sets of ``both`` elements in all can be similar with so many ``shared`` at most."""
+    return (100 + LEAST_PERCENT) * shared >= LEAST_PERCENT * both
+
+
+class Links:
+    """Links found so far and the components that they make."""
+
+    def __init__(self, signed: DataFrame, texts: DataFrame):
+        self.bands = signed.select("doc_id", "bands")
+        self.texts, self.tried, self.links, self.labels = texts, None, None, None
+
+    def members(self, banded: DataFrame) -> DataFrame:
+        """``banded`` with each document's component so far."""
+        if self.labels is None:
+            return banded.withColumn("component", F.col("doc_id"))
+        own = self.labels.withColumnRenamed("id", "doc_id")
+        return banded.join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    def mixed(self, banded: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components; ``largest`` is the one of most members, of ``most``."""
+        mine = self.members(banded)
+        parts = mine.groupBy("key", "component").agg(F.count("*").alias("own"))
+        whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("own").alias("size"), F.max(F.struct("own", "component")).alias("top"))
+        whole = whole.where("parts > 1").select("key", "size", F.col("top.own").alias("most"), F.col("top.component").alias("largest"))
+        return settle(mine.join(whole, "key"), "mixed-buckets")
+
+    def stars(self, members: DataFrame, round_: int) -> bool:
+        """Compares members with the leader of their bucket."""
+        least = members.groupBy("key").agg(F.min(_turn(round_)).alias("turn"))
+        lead = members.join(least, "key").where(_turn(round_) == F.col("turn"))
+        return self.compare(members, lead)
+
+    def compare(self, members: DataFrame, others: DataFrame) -> bool:
+        """Looks for links between members and others of their buckets that are of different components; whether there were any to try."""
+        other = others.select(
+            "key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tail").alias("t_b"), F.col("component").alias("c_b")
+        )
         fits = 100 * F.least("n", "n_b") >= LEAST_PERCENT * F.greatest("n", "n_b")
-        pairs = pairs.where(fits).select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = members.join(other, "key").where((F.col("component") != F.col("c_b")) & fits & _enough(F.least("tail", "t_b"), F.col("n") + F.col("n_b")))
+        pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
-        if pairs.isEmpty():
-            if round_ and round_ < STAR_ROUNDS:
-                continue
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        own, other = (self.bands.toDF(k, f"bands_{k}") for k in ("a", "b"))
+        alike = F.size(F.array_intersect("bands_a", "bands_b")) >= LEAST_BANDS
+        chosen = settle(pairs.join(own, "a").join(other, "b").where(alike).select("a", "b"), "alike")
+        if chosen.isEmpty():
+            return False
+        fresh = settle(confirmed(chosen, self.texts), "near-links")
+        if fresh.isEmpty():
+            return True
+        self.links = fresh if self.links is None else self.links.unionByName(fresh)
+        self.labels = settle(components(self.links), "near-components")
+        return True
+
+
+def near_links(banded: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """``(id, component)`` of the linked representatives; ``banded`` has doc_id, n, key and tail (n) of buckets with company."""
+    found = Links(signed, texts)
+    found.stars(found.members(banded), 0)
+    _dominated(found, banded)
+    # what one large component doesn't dominate mostly shares a common line. Links between documents with few such
+    # bands show in their other bands; the rest meets by its rarest shingles
+    mixed = found.mixed(banded)
+    few = F.col("size") - F.col("most") <= FEW
+    rest = mixed.where(few & (F.col("component") != F.col("largest")))
+    found.compare(rest, mixed.where(few))
+    busy = mixed.where(~few).groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > SPARE_BANDS).select("doc_id")
+    busy = settle(busy, "busy")
+    if not busy.isEmpty():
+        rare = settle(_rarest(texts.join(busy, "doc_id")), "rarest")
+        found.stars(found.members(rare), 0)
+        _dominated(found, rare)
+        mixed = found.mixed(rare)
+        found.compare(mixed.where("component <> largest"), mixed)
+    return found.labels
+
+
+def _shingles(batches):
+    for batch in slices(batches, 128):
+        sets = shingle_sets(strings(batch.column(1)))
+        sizes = [len(s) for s in sets]
+        ids = np.repeat(batch.column(0).to_numpy(), sizes)
+        keys = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(keys)], ["doc_id", "n", "key"])
+
+
+def _rarest(texts: DataFrame) -> DataFrame:
+    """The rarest shingles of each text, as buckets (doc_id, n, key, tail); ``tail`` counts the shingle and all less rare ones.
+
+    Of two sets as similar as asked, each has a share of the other that leaves out fewer than ``n - needed + 1``
+    shingles; in any common order of all shingles their heads of that length so have one in common. The
+    order by rarity keeps common lines out of the heads, and two sets share no more than their shorter tails from
+    the first shingle that they share.
+    """
+    every = settle(texts.select("doc_id", "text").mapInArrow(_shingles, "doc_id long, n long, key long"), "shingles")
+    seen = every.groupBy("key").agg(F.count("*").alias("seen"))
+    ranked = every.join(seen, "key").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("seen", "key")))
+    needed = F.ceil(F.col("n") * LEAST_PERCENT / 100)
+    head = ranked.where((F.col("rank") <= F.col("n") - needed + 1) & (F.col("seen") > 1))
+    head = head.select("doc_id", "n", "key", (F.col("n") - F.col("rank") + 1).alias("tail"))
+    # a bucket keeps those that could be similar to its smallest set, were they to share all that follows
+    best = head.groupBy("key").agg(F.min("n").alias("low"), F.max("tail").alias("long"))
+    fits = _enough(F.least("tail", "long"), F.col("n") + F.col("low"))
+    return head.join(best, "key").where(fits).select("doc_id", "n", "key", "tail")
+
+
+def _dominated(found: Links, banded: DataFrame) -> None:
+    """Further stars in the buckets of which one component has more than half."""
+    for round_ in range(1, STAR_ROUNDS):
+        members = found.mixed(banded).where("2 * most > size and size > 2")
+        if members.isEmpty() or not found.stars(members, round_):
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = settle(confirmed(pairs, texts), "near-links")
-        links = fresh if links is None else links.unionByName(fresh)
-        labels = settle(components(links), "near-components")
-    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,11 +307,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sole = linked.join(classes, ["n_shingles", "h1", "h2"]).where("doc_id = rep")
     banded = sole.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     company = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    banded = settle(banded.join(company, "key").distinct(), "buckets")
+    banded = settle(banded.join(company, "key").distinct().withColumn("tail", F.col("n")), "buckets")
     needed = banded.select("doc_id").distinct()
     candidates = texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     candidates = settle(candidates, "candidates")
-    labels = near_links(banded, candidates)
+    marked = settle(sole.join(needed, "doc_id", "left_semi").select("doc_id", "bands").dropDuplicates(["doc_id"]), "marked")
+    labels = near_links(banded, marked, candidates)
     # the same id with several texts: its classes are one component as well
     member = linked.join(classes, ["n_shingles", "h1", "h2"]).select("doc_id", "rep").where("doc_id <> rep").distinct()
     within = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

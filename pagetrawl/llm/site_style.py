@@ -173,6 +173,9 @@ def parse(page: str) -> tuple[list, list]:
     return blocks, sorted(nodes)
 
 
+#: Roles whose nodes stay at any importance, and those that can stay.
+SURE = tuple(role for role, (_, least) in WEIGHTS.items() if least >= LEAST_IMPORTANCE)
+POSSIBLE = tuple(role for role, (weight, least) in WEIGHTS.items() if weight + least >= LEAST_IMPORTANCE)
 _BLOCK = pa.struct([("way", pa.int64()), ("role", pa.int32()), ("text", pa.string())])
 _NODE = pa.struct([("way", pa.int64()), ("role", pa.int32()), ("kind", pa.int32()), ("feature", pa.int64())])
 
@@ -180,13 +183,13 @@ _NODE = pa.struct([("way", pa.int64()), ("role", pa.int32()), ("kind", pa.int32(
 def _parsed(batches):
     for batch in slices(batches, 64):
         found = [parse(h) for h in strings(batch.column(2))]
-        blocks = pa.array([[dict(zip(("way", "role", "text"), b)) for b in bs] for bs, _ in found], pa.list_(_BLOCK))
+        blocks = pa.array([[dict(zip(("way", "role", "text"), b)) for b in bs if b[1] in POSSIBLE] for bs, _ in found], pa.list_(_BLOCK))
         nodes = pa.array([[dict(zip(("way", "role", "kind", "feature"), n)) for n in ns] for _, ns in found], pa.list_(_NODE))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blocks, nodes], ["page_id", "url", "blocks", "nodes"])
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """Pages as blocks and nodes, each with its host and a number of its own (``row``); settled."""
+    """Pages as blocks that can stay and nodes, each with its host and a number of its own (``row``); settled."""
     schema = (
         "page_id long, url string, blocks array<struct<way:long,role:int,text:string>>, "
         "nodes array<struct<way:long,role:int,kind:int,feature:long>>"
@@ -225,11 +228,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     count as pages of their own. Elements may be nested and left open to any depth. Other columns are ignored.
     """
     parsed = parsed_pages(pages)
+    sure = F.forall("blocks", lambda b: b["role"].isin(*SURE))
+    # where the weights leave nothing to decide, texts stay where they are
+    open_ = parsed.where(~sure)
     low = importance(parsed).where(F.col("importance") < LEAST_IMPORTANCE).select("host", "way", "role")
-    own = parsed.select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["way"], b["role"])))).alias("b"))
+    own = open_.select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["way"], b["role"])))).alias("b"))
     own = own.select("row", "host", F.col("b.way").alias("way"), F.col("b.role").alias("role"))
     cut = own.join(low, ["host", "way", "role"]).groupBy("row").agg(F.collect_set(F.struct("way", "role")).alias("cut"))
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("cut", F.struct(b["way"].alias("way"), b["role"].alias("role"))), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    found = parsed.join(cut, "row", "left").select("page_id", "url", text.alias("text"))
-    return found.withColumn("n_chars", F.length("text").cast("long"))
+    decided = open_.join(cut, "row", "left").select("page_id", "url", kept.alias("blocks"))
+    found = parsed.where(sure).select("page_id", "url", "blocks").unionByName(decided)
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

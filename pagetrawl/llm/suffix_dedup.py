@@ -16,7 +16,7 @@ earlier in the same document). The work is dealt out by content:
    are occurrences of one string; all but the earliest are repeats.
 4. Repeats are brought back to their documents as ranges.
 
-An anchor with more contexts than a collection holds is dealt out by document to several
+An anchor with more contexts than a collection may hold is dealt out by document to several
 collections; the strings that each has for the first time then meet by their own hashes. Tables
 between the steps are settled; what a task holds does not grow with the input.
 """
@@ -37,8 +37,8 @@ SPAN, GRAM = 100, 24
 REACH = SPAN - GRAM + 1
 #: Texts are hashed in parts of this many bytes; strings across two parts belong to the first.
 PART = 1 << 22
-#: Contexts of one collection.
-COLLECTION = 1 << 13
+#: Anchors are collected until they have so many contexts together; a single one is split from ``LARGEST`` on.
+COLLECTION, LARGEST = 1 << 12, 1 << 15
 #: Bytes of texts in which equal contexts become one before the shuffle.
 CHUNK_BYTES = 1 << 23
 
@@ -331,9 +331,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     dealt = found.repartition(n, "h").sortWithinPartitions("done", "h", "context", "doc", "a")
     told = settle(dealt.mapInArrow(_repeats, "done boolean, h long, doc long, a long, b long"), "anchor-repeats")
     asked = told.where("not done")
-    # anchors of more contexts than a collection holds are split by document
-    large = asked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > COLLECTION)
-    parts = F.ceil(2 * F.col("n") / COLLECTION)
+    # anchors of more contexts than a collection may hold are split by document
+    large = asked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST)
+    parts = F.ceil(2 * F.col("n") / LARGEST)
     salt = F.coalesce(F.pmod(F.xxhash64("doc"), parts), F.lit(-1)).cast("int")
     asked = asked.join(large, "h", "left").select("h", salt.alias("salt"), "doc", "a", "b")
     by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "salt", "a", "b")).alias("asked"))
