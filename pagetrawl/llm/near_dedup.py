@@ -146,9 +146,13 @@ def _sign(batches):
 
 
 def _confirm(batches):
-    """Pairs whose sets are as similar as asked; rows of one leader mostly follow each other."""
+    """Pairs that share enough bands and whose sets are as similar as asked; rows of one leader mostly follow each other."""
     last, leader_set = None, None
-    for batch in slices(batches, 64):
+    for batch in slices(batches, 256):
+        if not batch.num_rows:
+            continue
+        one, two = (batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in (4, 5))
+        batch = batch.filter(pa.array((one == two).sum(1) >= LEAST_BANDS))
         ids, leaders = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         sets = shingle_sets(strings(batch.column(2)))
         kept = []
@@ -164,10 +168,9 @@ def _confirm(batches):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that are links, by the full sets of their ``texts (doc_id, text)``."""
-    own = texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a")
-    other = texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b")
-    joined = pairs.join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    """The pairs ``(a, b)`` that are links, by the full sets of their ``texts (doc_id, text, bands)``."""
+    own, other = (texts.toDF(k, f"text_{k}", f"bands_{k}") for k in ("a", "b"))
+    joined = pairs.join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b", "bands_a", "bands_b")
     return joined.mapInArrow(_confirm, "a long, b long")
 
 
@@ -182,11 +185,10 @@ def _enough(shared: Column, both: Column) -> Column:
 
 
 class Links:
-    """Links found so far and the components that they make."""
+    """Links found so far and the components that they make; ``texts`` has doc_id, text and bands."""
 
-    def __init__(self, signed: DataFrame, texts: DataFrame):
-        self.bands = signed.select("doc_id", "bands")
-        self.texts, self.tried, self.links, self.labels = texts, None, None, None
+    def __init__(self, texts: DataFrame):
+        self.texts, self.links, self.labels = texts, None, None
 
     def members(self, banded: DataFrame) -> DataFrame:
         """``banded`` with each document's component so far."""
@@ -203,40 +205,30 @@ class Links:
         whole = whole.where("parts > 1").select("key", "size", F.col("top.own").alias("most"), F.col("top.component").alias("largest"))
         return settle(mine.join(whole, "key"), "mixed-buckets")
 
-    def stars(self, members: DataFrame, round_: int) -> bool:
+    def stars(self, members: DataFrame, round_: int) -> None:
         """Compares members with the leader of their bucket."""
         least = members.groupBy("key").agg(F.min(_turn(round_)).alias("turn"))
         lead = members.join(least, "key").where(_turn(round_) == F.col("turn"))
-        return self.compare(members, lead)
+        self.compare(members, lead)
 
-    def compare(self, members: DataFrame, others: DataFrame) -> bool:
-        """Looks for links between members and others of their buckets that are of different components; whether there were any to try."""
+    def compare(self, members: DataFrame, others: DataFrame) -> None:
+        """Looks for links between members and others of their buckets that are of different components."""
         other = others.select(
             "key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tail").alias("t_b"), F.col("component").alias("c_b")
         )
         fits = 100 * F.least("n", "n_b") >= LEAST_PERCENT * F.greatest("n", "n_b")
         pairs = members.join(other, "key").where((F.col("component") != F.col("c_b")) & fits & _enough(F.least("tail", "t_b"), F.col("n") + F.col("n_b")))
         pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        own, other = (self.bands.toDF(k, f"bands_{k}") for k in ("a", "b"))
-        alike = F.size(F.array_intersect("bands_a", "bands_b")) >= LEAST_BANDS
-        chosen = settle(pairs.join(own, "a").join(other, "b").where(alike).select("a", "b"), "alike")
-        if chosen.isEmpty():
-            return False
-        fresh = settle(confirmed(chosen, self.texts), "near-links")
+        fresh = settle(confirmed(pairs, self.texts), "near-links")
         if fresh.isEmpty():
-            return True
+            return
         self.links = fresh if self.links is None else self.links.unionByName(fresh)
-        self.labels = settle(components(self.links), "near-components")
-        return True
+        self.labels = components(self.links)
 
 
-def near_links(banded: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame | None:
+def near_links(banded: DataFrame, texts: DataFrame) -> DataFrame | None:
     """``(id, component)`` of the linked representatives; ``banded`` has doc_id, n, key and tail (n) of buckets with company."""
-    found = Links(signed, texts)
+    found = Links(texts)
     found.stars(found.members(banded), 0)
     _dominated(found, banded)
     # what one large component doesn't dominate mostly shares a common line. Links between documents with few such
@@ -289,8 +281,9 @@ def _dominated(found: Links, banded: DataFrame) -> None:
     """Further stars in the buckets of which one component has more than half."""
     for round_ in range(1, STAR_ROUNDS):
         members = found.mixed(banded).where("2 * most > size and size > 2")
-        if members.isEmpty() or not found.stars(members, round_):
+        if members.isEmpty():
             break
+        found.stars(members, round_)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -309,10 +302,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     company = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     banded = settle(banded.join(company, "key").distinct().withColumn("tail", F.col("n")), "buckets")
     needed = banded.select("doc_id").distinct()
+    marked = sole.select("doc_id", "bands").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     candidates = texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    candidates = settle(candidates, "candidates")
-    marked = settle(sole.join(needed, "doc_id", "left_semi").select("doc_id", "bands").dropDuplicates(["doc_id"]), "marked")
-    labels = near_links(banded, marked, candidates)
+    candidates = settle(candidates.join(marked, "doc_id"), "candidates")
+    labels = near_links(banded, candidates)
     # the same id with several texts: its classes are one component as well
     member = linked.join(classes, ["n_shingles", "h1", "h2"]).select("doc_id", "rep").where("doc_id <> rep").distinct()
     within = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

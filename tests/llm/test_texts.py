@@ -228,9 +228,10 @@ def kept(texts):
     return found
 
 
-@pytest.mark.parametrize("collection,rows", [(1 << 13, 10000), (4, 7)])
+@pytest.mark.parametrize("collection,rows", [(1 << 12, 10000), (4, 7)])
 def test_suffix_dedup(spark, docs, texts, empty, monkeypatch, collection, rows):
     monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)
+    monkeypatch.setattr(suffix_dedup, "LARGEST", collection)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     try:
         found = suffix_dedup.without_repeats(docs).collect()
