@@ -102,6 +102,8 @@ def url_join(base, href) -> Column:
     is already absolute; the other forms inherit what they leave out.
     """
     base = base if isinstance(base, Column) else F.lit(base)
+    # as browsers do: no spaces or control characters around it, no tabs or line breaks in it
+    href = F.regexp_replace(F.regexp_replace(href, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\r\\n]", "")
     scheme = F.regexp_extract(base, _SCHEME, 1)
     after_scheme = F.regexp_replace(base, _SCHEME, "")
     authority = F.regexp_extract(after_scheme, _AUTHORITY, 0)

@@ -31,7 +31,8 @@ def absent_only(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     which an anti join alone cannot do. ``new`` is read twice; settle it first
     when it is costly.
     """
-    known = existing.select(key).join(new.select(key), key, "left_semi")
+    # distinct keys: an anti join can't split the copies of a hot one
+    known = existing.select(key).join(new.select(key), key, "left_semi").distinct()
     return new.join(known, key, "left_anti")
 
 

@@ -27,8 +27,11 @@ from pagetrawl.operators.select import (
     first_match,
     node_attrs,
     node_texts,
+    once,
     select_below,
     select_nodes,
+    select_within,
+    slice_below,
 )
 
 # Ids of the three facet blocks on a search page.
@@ -117,8 +120,9 @@ def card_items() -> Column:
     body = anywhere("div", class_="card_body")
     info = (body, child("p", class_="card_info"))
 
-    def card(root):
-        below = lambda *steps: select_below("nodes", root, *steps)
+    def card(cut):
+        root = cut["root"]
+        below = lambda *steps: select_within(cut["below"], root, *steps)
         title = F.transform(
             below(body, child("h4"), child("a", class_=TITLE_CLASS)),
             lambda n: F.struct(n["text"].alias("text"), n["attrs"]["href"].alias("href")),
@@ -131,7 +135,9 @@ def card_items() -> Column:
             *[node_texts(below(*info, child("span", class_=c))).alias(n) for n, c in OPTIONAL_CLASSES.items()],
         )
 
-    return F.transform(roots, card)
+    # a card's slice of the page is cut once and searched for all fields
+    cuts = F.transform(roots, lambda r: F.struct(r.alias("root"), slice_below("nodes", r).alias("below")))
+    return F.transform(cuts, card)
 
 
 def card_rows(pages: DataFrame, items: str | Column, keep: tuple, base: str = BASE_URL) -> DataFrame:
@@ -145,6 +151,7 @@ def card_rows(pages: DataFrame, items: str | Column, keep: tuple, base: str = BA
         F.when(F.col("obj_id").isNull(), "obj_id")
         .when(F.size("artist") == 0, "artist")
         .when(F.size("title") == 0, "title")
+        .when(first_match(F.col("title"))["href"].isNull(), "href")
     )
     first_title = first_match(F.col("title"))
     return found.select(
@@ -154,7 +161,7 @@ def card_rows(pages: DataFrame, items: str | Column, keep: tuple, base: str = BA
         first_match(F.col("artist")).alias("artist"),
         first_title["text"].alias("title"),
         first_title["href"].alias("href"),
-        url_join(base, first_title["href"]).alias("detail_url"),
+        F.when(first_title["href"].isNotNull(), url_join(base, first_title["href"])).alias("detail_url"),
         *[first_or_default(F.col(n)).alias(n) for n in ("label", *OPTIONAL_CLASSES)],
         reject.alias("reject"),
     )
@@ -162,7 +169,8 @@ def card_rows(pages: DataFrame, items: str | Column, keep: tuple, base: str = BA
 
 def usable_card(card: Column) -> Column:
     """Whether a card of :func:`card_items` has all required fields."""
-    return card["obj_id"].isNotNull() & (F.size(card["artist"]) > 0) & (F.size(card["title"]) > 0)
+    linked = F.get(card["title"], F.lit(0))["href"].isNotNull()
+    return card["obj_id"].isNotNull() & (F.size(card["artist"]) > 0) & (F.size(card["title"]) > 0) & F.coalesce(linked, F.lit(False))
 
 
 def cards(parsed: DataFrame, keep: tuple = ("url",), base: str = BASE_URL) -> DataFrame:
@@ -209,8 +217,12 @@ def track_titles(stop_at_gap: bool = True, null_position: str | None = None) ->
     rows = select_nodes("nodes", anywhere("div", id="page_content"), anywhere("table"), anywhere("tr"))
     read = F.transform(rows, lambda r, i: _track(r, i, null_position))
     if stop_at_gap:
-        gap = F.array_position(F.transform(read, lambda t: t.isNull()), F.lit(True)).cast("int")
-        return F.when(gap > 0, F.slice(read, F.lit(1), gap - 1)).otherwise(read)
+
+        def until_gap(found):
+            gap = F.array_position(F.transform(found, lambda t: t.isNull()), F.lit(True)).cast("int")
+            return F.when(gap > 0, F.slice(found, F.lit(1), gap - 1)).otherwise(found)
+
+        return once(read, until_gap)
     return F.filter(read, lambda t: t.isNotNull())
 
 

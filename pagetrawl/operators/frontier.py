@@ -51,7 +51,8 @@ def frontier_product(lists: DataFrame, years: list[int], by: tuple = ()) -> Data
     years_styles = pages.select(*by, F.explode(F.lit(years)).alias("year"), "style", "format", "country").select(
         *by, "year", F.explode("style").alias("style"), "format", "country"
     )
-    spread = years_styles.repartition("year", "style")
+    # a style that many pages list is spread by page as well
+    spread = years_styles.repartition(*by, "year", "style")
     formats = spread.select("year", "style", F.explode("format").alias("format"), "country")
     tasks = formats.select(F.explode("country").alias("country"), "format", "year", "style", F.lit(1).alias("page"))
     return task_project(tasks)
@@ -117,12 +118,13 @@ def with_content(fetched: DataFrame, pages: DataFrame) -> DataFrame:
 def frontier_rounds(
     seeds: DataFrame,
     expand: Callable[[DataFrame], DataFrame],
-    max_rounds: int,
     order: tuple,
     path: str | None = None,
 ) -> DataFrame:
     """Follow tasks to new tasks until none is left; adds the ``round`` each was first seen.
 
+    Rounds end with the first that finds nothing new, however long the chain to it.
+
     ``seeds`` has a fingerprint ``fp``; ``expand`` maps tasks to follow-up
     tasks of the same columns. Each round is written as a table and read
     back, so plans do not grow and the loss of an executor costs no round.
@@ -132,10 +134,9 @@ def frontier_rounds(
     n = 0
     frontier = settle(dedup_first(seeds, order).withColumn("round", F.lit(0)), "round", f"{path}/round-0")
     so_far = lambda n: spark.read.schema(frontier.schema).parquet(*[f"{path}/round-{i}" for i in range(n)])
-    for n in range(1, max_rounds + 1):
+    while not frontier.isEmpty():
+        n += 1
         named = dedup_first(expand(frontier.drop("round")).select(*seeds.columns), order)
         fresh = unseen(settle(named, "named", f"{path}/named-{n}"), so_far(n)).withColumn("round", F.lit(n))
         frontier = settle(fresh, "round", f"{path}/round-{n}")
-        if frontier.isEmpty():
-            break
     return so_far(n + 1)

@@ -28,7 +28,6 @@ NODE = T.StructType(
         T.StructField("tag", T.StringType(), False),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType()), False),
         T.StructField("text", T.StringType()),  # text before the first child, null if none
-        T.StructField("anc", T.ArrayType(T.IntegerType(), False), False),  # root first
     ]
 )
 
@@ -54,7 +53,8 @@ ENDS = {
 }
 # An open paragraph is not looked for beyond these.
 BARRIER = frozenset({"table", "td", "th"})
-# An end tag is ignored when it would close an element of higher rank on the way (others: 100).
+# Fixed values, the end-tag priorities of libxml2's public HTML parser (others: 100). An end tag is
+# ignored when it would close an element of higher rank on the way.
 RANK = {
     "div": 150,
     "td": 160,
@@ -68,9 +68,6 @@ RANK = {
     "body": 200,
     "html": 220,
 }
-# Elements nested deeper than this stay in the tree, as children of the last level.
-MAX_DEPTH = 256
-
 # Parsed pages are handed back to Spark once their HTML adds up to this many characters.
 FLUSH_CHARS = 4_000_000
 
@@ -84,13 +81,12 @@ class _Tree(HTMLParser):
 
     def clear(self):
         self.page_ends = [0]
-        self.parent, self.last, self.tag, self.text, self.anc, self.attrs = [], [], [], [], [], []
+        self.parent, self.last, self.tag, self.text, self.attrs = [], [], [], [], []
 
     def add_page(self, source):
         self.reset()
         self.base = len(self.tag)
         self.open = []  # ids of the open elements, outermost first
-        self.too_deep = 0  # open elements beyond MAX_DEPTH
         self.fresh = False  # whether text still is leading text of the innermost one
         self.feed(source)
         self.close()
@@ -130,16 +126,12 @@ class _Tree(HTMLParser):
         self.last.append(i)
         self.tag.append(tag)
         self.text.append(None)
-        self.anc.append(list(self.open))
         # the first of two equal attributes counts
         self.attrs.append({k: v or "" for k, v in reversed(attrs)})
         self.fresh = False
         if tag not in VOID:
-            if len(self.open) < MAX_DEPTH:
-                self.open.append(i)
-                self.fresh = True
-            else:
-                self.too_deep += 1
+            self.open.append(i)
+            self.fresh = True
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -147,9 +139,6 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.too_deep:
-            self.too_deep -= 1
-            return
         rank = RANK.get(tag, 100)
         for depth in range(len(self.open) - 1, -1, -1):
             open_tag = self.tag[self.base + self.open[depth]]
@@ -180,7 +169,6 @@ class _Tree(HTMLParser):
                 pa.array(self.tag, pa.string()),
                 pa.array([list(a.items()) for a in self.attrs], pa.map_(pa.string(), pa.string())),
                 pa.array(self.text, pa.string()),
-                pa.array(self.anc, pa.list_(pa.int32())),
             ],
             names=NODE.names,
         )
@@ -219,21 +207,28 @@ def html_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def node_rows(parsed: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per element: the tree of :func:`html_nodes` as a plain table."""
+    """One row per element: the tree of :func:`html_nodes` as a plain table.
+
+    Ancestors are the elements whose interval holds the element; they are looked up here, for
+    those who want them as columns, and not kept in the tree.
+    """
     nodes = F.col("nodes")
 
     def row(n):
-        tags = F.transform(n["anc"], lambda a: F.get(nodes, a)["tag"])
+        around = F.filter(nodes, lambda m: (m["id"] < n["id"]) & (m["last"] >= n["id"]))
         return F.struct(
             n["id"].alias("node_id"),
             n["parent"].alias("parent_id"),
-            F.size(n["anc"]).alias("depth"),
+            n["last"].alias("last"),
             n["tag"].alias("tag"),
             n["attrs"].alias("attrs"),
             n["text"].alias("text"),
-            F.concat_ws("/", tags, n["tag"]).alias("path"),
-            n["anc"].alias("anc"),
+            F.transform(around, lambda m: F.struct(m["id"].alias("id"), m["tag"].alias("tag"))).alias("around"),
         )
 
     # built before the explode, so that no row carries the whole page
-    return parsed.select(key, F.inline(F.transform(nodes, row)))
+    rows = parsed.select(key, F.inline(F.transform(nodes, row)))
+    return rows.select(
+        key, "node_id", "parent_id", "last", F.size("around").alias("depth"), "tag", "attrs", "text",
+        F.concat_ws("/", "around.tag", "tag").alias("path"), F.col("around.id").alias("anc"),
+    )

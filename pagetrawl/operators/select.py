@@ -1,8 +1,9 @@
 """Selectors as column expressions over a page's node array.
 
-A selector is a tuple of steps built with :func:`child` and :func:`anywhere`;
-it compiles to one filter over the array. A step looks at its element, then at
-the parent (``child``) or at the ancestors (``anywhere``) for the step before.
+A selector is a tuple of steps built with :func:`child` and :func:`anywhere`, worked off from
+the first on: each step filters the array for what lies below the elements found
+so far. Below means inside the interval of ids from an element to its last
+descendant, so that pages of any depth take the same room.
 """
 
 from __future__ import annotations
@@ -39,35 +40,61 @@ def anywhere(tag: str, contains: dict | None = None, **equals) -> Step:
     return Step(tag, True, {k.rstrip("_"): v for k, v in equals.items()}, contains or {})
 
 
-def _matches(nodes: Column, node: Column, steps: tuple[Step, ...], top: Column) -> Column:
-    """Whether ``node`` is selected by ``steps`` below the element ``top``."""
-    *before, step = steps
-    ok = step.accepts(node)
-    if not before:
-        return ok & (node["id"] > top if step.deep else node["parent"] == top)
-    look_up = lambda i: F.get(nodes, i)  # null above the root: no match
-    if step.deep:
-        above = F.exists(node["anc"], lambda a: _matches(nodes, look_up(a), tuple(before), top))
-    else:
-        above = _matches(nodes, look_up(node["parent"]), tuple(before), top)
-    return ok & F.coalesce(above, F.lit(False))
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once rather than in every turn of a lambda in it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _follow(found: Column, nodes: Column, steps: tuple[Step, ...], first_id) -> Column:
+    """What the further ``steps`` select among ``nodes`` (ids from ``first_id`` on), below the elements ``found``."""
+    for step in steps:
+        found = (_below if step.deep else _children)(found, nodes, step, first_id)
+    return found
+
+
+def _below(found: Column, nodes: Column, step: Step, first_id) -> Column:
+    spans = F.transform(found, lambda n: F.struct(n["id"].alias("id"), n["last"].alias("last")))
+    # intervals nest or are apart: the outermost hold all that lies below any, in document order
+    outer = F.aggregate(
+        spans,
+        F.array().cast("array<struct<id:int,last:int>>"),
+        lambda acc, n: F.when(F.coalesce(F.get(acc, F.size(acc) - 1)["last"] >= n["last"], F.lit(False)), acc).otherwise(
+            F.concat(acc, F.array(n))
+        ),
+    )
+    inside = F.transform(outer, lambda o: F.filter(F.slice(nodes, o["id"] + 2 - first_id, o["last"] - o["id"]), step.accepts))
+    return F.flatten(inside)
+
+
+def _children(found: Column, nodes: Column, step: Step, first_id) -> Column:
+    ids = F.transform(found, lambda n: n["id"])
+    return once(ids, lambda known: F.filter(nodes, lambda n: step.accepts(n) & F.array_contains(known, n["parent"])))
 
 
 def select_nodes(nodes, *steps: Step) -> Column:
     """Elements of a whole page selected by ``steps``, in document order."""
     nodes = F.col(nodes) if isinstance(nodes, str) else nodes
-    return F.filter(nodes, lambda n: _matches(nodes, n, steps, F.lit(-1)))
+    first, *others = steps
+    found = F.filter(nodes, lambda n: first.accepts(n) & (F.lit(True) if first.deep else n["parent"] == -1))
+    return _follow(found, nodes, tuple(others), F.lit(0))
 
 
-def select_below(nodes, node: Column, *steps: Step) -> Column:
-    """Elements below ``node``, one of the page's ``nodes``.
-
-    Only the slice below the node is searched; parents are looked up in the
-    page's array, so the slice is cut once.
-    """
+def slice_below(nodes, node: Column) -> Column:
+    """All elements below ``node``, in document order."""
     nodes = F.col(nodes) if isinstance(nodes, str) else nodes
-    below = F.slice(nodes, node["id"] + 2, node["last"] - node["id"])
-    return F.filter(below, lambda n: _matches(nodes, n, steps, node["id"]))
+    return F.slice(nodes, node["id"] + 2, node["last"] - node["id"])
+
+
+def select_within(below: Column, node: Column, *steps: Step) -> Column:
+    """Elements selected among those ``below`` a node (:func:`slice_below`): cut once, searched often."""
+    first, *others = steps
+    found = F.filter(below, lambda n: first.accepts(n) & (F.lit(True) if first.deep else n["parent"] == node["id"]))
+    return _follow(found, below, tuple(others), node["id"] + 1)
+
+
+def select_below(nodes, node: Column, *steps: Step) -> Column:
+    """Elements below ``node``, one of the page's ``nodes``; only the slice below it is searched."""
+    return once(slice_below(nodes, node), lambda below: select_within(below, node, *steps))
 
 
 def node_texts(selected: Column) -> Column:

@@ -51,10 +51,15 @@ SEEDS = """seeds as (
   join (select distinct year as p, country from rel) c on c.p = s.p
   cross join (values (2000), (2001)) y(year))"""
 
-# the cards of the pages the index rounds start with
-FIRST = """firsts as (
+# the same where only pages of even years answer
+SEEDS_OK = SEEDS.replace("from rel", "from (select * from rel where year % 2 = 0)")
+
+# the cards of the first pages of the searches, and of all pages that these lead to
+FOUND = """firsts as (
   select l.* from listed l join seeds s on l.country = s.country and l.format = s.format and l.year = s.year
-    and replace(l.style, ' ', '+') = s.style and l.page = 1)"""
+    and replace(l.style, ' ', '+') = s.style and l.page = 1),
+led as (select distinct country, format, year, style from firsts where artist is not null),
+found as (select * from firsts union all select l.* from listed l join led using (country, format, year, style) where l.page > 1)"""
 
 TRACKS = """tracks as (
   select key, cover_url, i, line, length(line) % 9 = 0 as gap,
@@ -127,6 +132,7 @@ ORACLE = {
     "node_links": f"with {LINKS} select page_id, pos, href from links",
     "node_path_links": f"with {LINKS} select page_id, href from links",
     "node_heading": f"""select page_id, {DECODED.format("regexp_extract(html, '<article><h1>([^<]*)', 1)")} as heading from pages""",
+    "deep_headings": f"""select page_id, {DECODED.format("regexp_extract(html, '<article><h1>([^<]*)', 1)")} as heading from pages""",
     "ad_blocks": f"""select page_id, {DECODED.format("regexp_extract(html, '<div class=\"ad\">([^<]*)', 1)")} as ad from pages""",
     "facet_counts": """select page_id, cast(len(l) as int) as n, array_to_string(l, '|') as names from (
       select page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)', 1) as l from pages)""",
@@ -195,10 +201,11 @@ ORACLE = {
         union select 'o' || l_orderkey, 'p' || l_partkey from lineitem
         union select 'p' || l_partkey, 's' || l_suppkey from lineitem
         union select 's' || s_suppkey, 'n' || s_nationkey from supplier),
-      reached(node, round) as (
+      reached(node, round) using key (node) as (
         select 'r' || r_regionkey, 0 from region where r_name = 'ASIA'
-        union select dst, round + 1 from reached join edges on node = src where round < 12)
-      select node, min(round) as round from reached group by node""",
+        union select dst, min(round) + 1 from reached join edges on node = src
+          where dst not in (select node from recurring.reached) group by dst)
+      select node, round from reached""",
     "retry_ledger": f"""select {fp('user_id', 'k')} as fp, attempts,
         case when good then 'done' when attempts < 3 then 'requeue' else 'dead' end as verdict,
         'event ' || last as last_error
@@ -227,15 +234,22 @@ ORACLE = {
       case when cover_url is null then 'no cover' end as reject from rel""",
     "tracklist": f"with {RELEASES}, {TRACKS} select '{BASE}/release/' || key as url, titles from titles",
     "tracklist_past_gaps": f"with {RELEASES}, {TRACKS} select '{BASE}/release/' || key as url, all_titles as titles from titles",
-    "index_rows": f"with {RELEASES}, {SEEDS}, {FIRST} select {INDEX_ROW} from firsts where artist is not null",
-    "index_rejects": f"""with {RELEASES}, {SEEDS}, {FIRST} select url, cast(n - 1 as int) as pos, cast(key as varchar) as obj_id,
-      'artist' as reject from firsts where artist is null""",
-    "index_outcomes": f"""with {RELEASES}, {SEEDS}, there as (select distinct country, format, year, replace(style, ' ', '+') as style, true as ok from rel)
-      select coalesce(ok, false) as ok, case when ok is null then 'no page' end as error, count(*) as n
-      from seeds left join there using (country, format, year, style) group by all""",
-    "follow_up_tasks": f"""with {RELEASES}, {SEEDS}, {FIRST} select country, format, year, style, cast(unnest(generate_series(2, pages)) as int) as page
+    "index_rows": f"with {RELEASES}, {SEEDS}, {FOUND} select {INDEX_ROW} from found where artist is not null",
+    "index_rejects": f"""with {RELEASES}, {SEEDS}, {FOUND} select url, cast(n - 1 - 10 * (page - 1) as int) as pos, cast(key as varchar) as obj_id,
+      'artist' as reject from found where artist is null""",
+    "index_outcomes": f"""with {RELEASES}, {SEEDS}, {FOUND}, there as (select distinct country, format, year, replace(style, ' ', '+') as style, true as ok from rel),
+      told as (select coalesce(ok, false) as ok from seeds left join there using (country, format, year, style)
+        union all select true from (select distinct url from found where page > 1))
+      select ok, case when not ok then 'no page' end as error, count(*) as n from told group by all""",
+    "follow_up_tasks": f"""with {RELEASES}, {SEEDS}, {FOUND} select country, format, year, style, cast(unnest(generate_series(2, pages)) as int) as page
       from (select country, format, year, replace(style, ' ', '+') as style, cast(ceil(max(total) / 10) as bigint) as pages
-        from firsts where artist is not null group by all)""",
+        from found where artist is not null group by all)""",
+    "stage_outcomes": """select e is null as ok, e as error, count(*) as n from (
+      select case when doc_id % 5 = 0 or doc_id % 11 = 0 then 'no content' when n_chars % 7 = 0 then 'no cover' end as e from documents) group by all""",
+    "linkless_cards": f"""select s_suppkey as page_id, cast(s_suppkey as varchar) as obj_id,
+      case when s_suppkey % 3 <> 0 then '{BASE}/release/' || s_suppkey end as detail_url,
+      case when s_suppkey % 3 = 0 then 'href' end as reject from supplier""",
+    "seed_tasks_ok": f"with {RELEASES}, {SEEDS_OK} select * from seeds",
     "detail_rows": f"""with {RELEASES}, {TRACKS} select cast(key as varchar) as obj_id, cover_url, titles, '{AT}' as crawler_time
       from titles where cover_url is not null""",
     "cover_rows": f"""select cast(doc_id as varchar) as obj_id, 'https://img.example.com/R-' || doc_id || '.jpeg' as cover_url,

@@ -123,6 +123,14 @@ def node_path_links(spark, d):
     return links.select("page_id", F.col("attrs")["href"].alias("href"))
 
 
+def deep_headings(spark, d):
+    """Headings of pages that 300 further elements are wrapped around."""
+    wrapped = F.concat(F.repeat(F.lit("<div>"), 300), "html", F.repeat(F.lit("</div>"), 300))
+    parsed = _tree(_pages(spark, d).select("page_id", wrapped.alias("html")))
+    heads = node_texts(select_nodes("nodes", *[child("div")] * 3, anywhere("article"), child("h1")))
+    return parsed.select("page_id", F.explode(heads).alias("heading"))
+
+
 def node_heading(spark, d):
     heads = node_texts(select_nodes("nodes", anywhere("article"), child("h1")))
     return _parsed(spark, d).select("page_id", F.explode(heads).alias("heading"))
@@ -320,8 +328,8 @@ def pending_scan(spark, d):
 
 def start_requests(spark, d):
     """Start pages of the years the orders span."""
-    span = _table(spark, d, "orders").agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b"))
-    return span.select(F.explode(F.sequence("a", "b")).alias("year")).select(frontier.start_url(F.col("year")).alias("url"))
+    first, last = _table(spark, d, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    return frontier.start_requests(spark, first, last)
 
 
 def _facet_items(spark, d):
@@ -411,7 +419,7 @@ def _edges(spark, d):
 
 def frontier_rounds(spark, d):
     """Every node reached from one region, with the round that finds it."""
-    edges = settle(_edges(spark, d), "edges")
+    edges = settle(_edges(spark, d).distinct(), "edges")
     region = _table(spark, d, "region").where("r_name = 'ASIA'")
     key = fn.fingerprint("node").alias("fp")
     seeds = region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node")).select(key, "node")
@@ -419,7 +427,7 @@ def frontier_rounds(spark, d):
     def expand(tasks):
         return tasks.join(edges, tasks.node == edges.src).select(F.col("dst").alias("node")).select(key, "node")
 
-    return frontier.frontier_rounds(seeds, expand, 12, ("node",)).select("node", "round")
+    return frontier.frontier_rounds(seeds, expand, ("node",)).select("node", "round")
 
 
 def retry_ledger(spark, d):
@@ -545,11 +553,14 @@ def tracklist_past_gaps(spark, d):
 
 
 def _index(spark, d):
+    """The index stage on all result pages of the searches that the seeds name."""
     pages = settle(site.listing_pages(spark, d), "pages")
     captures = settle(frontier.newest_captures(pages), "captures")
-    facts = settle(stages.page_facts(pages), "facts")
-    seeds = dedup.dedup_first(stages.seed_stage(site.facet_pages(spark, d), YEARS), ("page",))
-    return stages.index_stage(settle(seeds, "seeds"), captures, facts, AT, per_page=site.PER_PAGE)
+    facts = settle(stages.page_facts(pages, stages.INDEX_FACTS), "facts")
+    seeds = settle(dedup.dedup_first(stages.seed_stage(site.facet_pages(spark, d), YEARS), ("page",)), "seeds")
+    more = stages.index_stage(seeds, captures, facts, AT, per_page=site.PER_PAGE).tasks
+    every = settle(dedup.dedup_first(seeds.unionByName(more), ("page",)), "every-page")
+    return stages.index_stage(every, captures, facts, AT, per_page=site.PER_PAGE)
 
 
 def index_rows(spark, d):
@@ -572,11 +583,44 @@ def detail_rows(spark, d):
     pages = settle(site.release_pages(spark, d), "pages")
     tasks = site.releases(spark, d).select(site.markup("/release/{}", F.col("key")).alias("url"))
     tasks = tasks.withColumn("fp", fn.fingerprint("url"))
-    facts = settle(stages.page_facts(pages), "facts")
+    facts = settle(stages.page_facts(pages, stages.DETAIL_FACTS), "facts")
     done = stages.detail_stage(tasks, frontier.newest_captures(pages), facts, AT)
     return done.rows.select("obj_id", "cover_url", F.array_join("title_list", "\n").alias("titles"), "crawler_time")
 
 
+def stage_outcomes(spark, d):
+    """Outcomes of detail tasks where facts are missing for some pages and others have no HTML."""
+    key = F.shiftright("page_id", 1)
+    html = F.when(key % 5 != 0, F.col("html"))
+    pages = settle(site.release_pages(spark, d).withColumn("html", html), "pages")
+    tasks = site.releases(spark, d).select(site.markup("/release/{}", F.col("key")).alias("url"))
+    tasks = tasks.withColumn("fp", fn.fingerprint("url"))
+    facts = settle(stages.page_facts(pages.where(key % 11 != 0), stages.DETAIL_FACTS), "facts")
+    done = stages.detail_stage(tasks, frontier.newest_captures(pages), facts, AT)
+    return done.outcomes.groupBy("ok", "error").agg(F.count("*").alias("n"))
+
+
+def linkless_cards(spark, d):
+    """Cards of a page per supplier, whose link is missing, padded or plain."""
+    key = F.col("s_suppkey")
+    link = F.when(key % 3 == 0, F.lit("")).otherwise(
+        site.markup(' href="{}"', F.when(key % 3 == 1, F.concat(F.lit(" /release/"), key.cast("string"), F.lit("\t\n"))).otherwise(F.concat(F.lit("/release/"), key.cast("string"))))
+    )
+    html = F.concat(
+        F.lit(f'<div class="{extract.CARDS_CLASS}">'), site.markup('<div data-object-id="{}"><div class="card_body"><h4><span><a>x</a></span>', key),
+        F.lit(f'<a class="{extract.TITLE_CLASS}"'), link, F.lit(">t</a></h4></div></div></div>"),
+    )
+    parsed = _tree(_table(spark, d, "supplier").select(key.alias("page_id"), html.alias("html")))
+    return extract.cards(parsed, keep=("page_id",)).select("page_id", "obj_id", "detail_url", "reject")
+
+
+def seed_tasks_ok(spark, d):
+    """Search tasks of facet pages, of which every second year answers with status 500."""
+    pages = site.facet_pages(spark, d)
+    status = F.when(F.col("page_id") % 2 == 0, 200).otherwise(500)
+    return stages.seed_stage(pages.withColumn("status", status), YEARS).drop("fp").distinct()
+
+
 def _covers(spark, d):
     """Cover images of the releases: their texts as bytes, at the cover's URL."""
     docs = _table(spark, d, "documents")
@@ -590,7 +634,7 @@ def cover_rows(spark, d):
     pages = settle(site.release_pages(spark, d), "pages")
     tasks = site.releases(spark, d).select(site.markup("/release/{}", F.col("key")).alias("url"))
     tasks = tasks.withColumn("fp", fn.fingerprint("url"))
-    facts = settle(stages.page_facts(pages), "facts")
+    facts = settle(stages.page_facts(pages, stages.DETAIL_FACTS), "facts")
     done = stages.detail_stage(tasks, frontier.newest_captures(pages), facts, AT, images=_covers(spark, d))
     docs = stages.CATALOGUE.latest_fields(done.rows, "cover")
     return docs.select("obj_id", "cover_url", F.md5("base64url").alias("digest"), "detail_time")
@@ -600,7 +644,7 @@ def gallery_store(spark, d):
     """Image store filled from the galleries of all releases."""
     galleries, releases = site.gallery_pages(spark, d), site.release_pages(spark, d)
     pages = settle(releases.unionByName(galleries), "pages")
-    facts = settle(stages.page_facts(pages), "facts")
+    facts = settle(stages.page_facts(pages, stages.GALLERY_FACTS), "facts")
     found = stages.gallery_stage(frontier.newest_captures(pages), facts, _covers(spark, d))
     path = scratch_path(spark, "gallery")
     images.write_missing_images(found, path, "img_url")
@@ -621,13 +665,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_links, page_links_joined, link_tasks, page_title, page_fingerprint, url_param_get_set, url_tail,
-        clean_facets, search_urls, image_uri, node_table, node_links, node_path_links, node_heading, ad_blocks,
+        clean_facets, search_urls, image_uri, node_table, node_links, node_path_links, deep_headings, node_heading, ad_blocks,
         facet_counts, cards_with_reject, gallery_link, gallery_images, take_while, take_while_list, enumerate_rows,
         assemble_list, first_seen, dup_report, unseen, add_to_set, claim, claim_rest, latest_fields,
         upsert_catalogue, merge_metrics, merge_sources, delete_where, pending_scan, start_requests, facet_lists,
         frontier_product, page_expansion, union_tasks, ok_pages, fetch_join, frontier_rounds, retry_ledger,
         task_roundtrip, write_missing, stream_dedup, stream_upsert, stream_commit, site_facets, seed_tasks,
         pagination, pages_with_more, site_cards, site_covers, tracklist, tracklist_past_gaps, index_rows,
-        index_rejects, index_outcomes, follow_up_tasks, detail_rows, cover_rows, gallery_store, crawl_catalogue,
+        index_rejects, index_outcomes, follow_up_tasks, stage_outcomes, linkless_cards, seed_tasks_ok, detail_rows, cover_rows, gallery_store, crawl_catalogue,
     )
 }

@@ -49,9 +49,10 @@ from pagetrawl.operators.frontier import (
     with_content,
 )
 from pagetrawl.operators.html import html_nodes
+from pagetrawl.operators.retry import ok_pages
 from pagetrawl.operators.select import first_match
 from pagetrawl.operators.upsert import Upsert
-from pagetrawl.schemas import DETAIL_FIELDS, INDEX_FIELDS
+from pagetrawl.schemas import DETAIL_FIELDS, INDEX_FIELDS, SEED_TASK_COLUMNS
 from pagetrawl.session import scratch_path, settle, spread
 from pagetrawl.sources.catalogue import read_catalogue, write_catalogue
 from pagetrawl.sources.tasks import append_batch, read_tasks
@@ -85,28 +86,49 @@ class Fetched(NamedTuple):
 
 
 def seed_stage(pages: DataFrame, years: list[int], words=STYLE_WORDS, by: tuple = ("page_id",)) -> DataFrame:
-    """Search tasks from facet pages: every year, style, format and country of a page."""
-    parsed = html_nodes(pages.select(*by, "html"))
+    """Search tasks from facet pages: every year, style, format and country of a page.
+
+    Pages with a ``status`` count only where it is 200.
+    """
+    good = ok_pages(pages) if "status" in pages.columns else pages
+    parsed = html_nodes(good.select(*by, "html"))
     lists = facet_lists(facets(parsed, words, keep=by), by)
     return frontier_product(lists, years, by).withColumn("fp", task_fingerprint())
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """Everything the stages read from a page, one row per page, in one parse.
+FACTS = {
+    "pagination": pagination_text,
+    "cards": card_items,
+    "covers": cover_links,
+    "title_list": track_titles,
+    "gallery_href": gallery_href,
+    "image_links": image_links,
+}
+INDEX_FACTS = ("pagination", "cards")
+DETAIL_FACTS = ("covers", "title_list")
+GALLERY_FACTS = ("gallery_href", "image_links")
+
+
+def page_facts(pages: DataFrame, fields: tuple = tuple(FACTS)) -> DataFrame:
+    """What the stages read from a page, one row per page, in one parse.
 
     A narrow step from archive to facts: settle it once and let all stages
-    and rounds read from it. Columns that a stage does not use are not read.
+    and rounds read from it. ``fields`` names what the stages ahead want; a page
+    without HTML has nulls.
     """
     parsed = html_nodes(spread(pages.select("page_id", "html"), "page_id"))
-    return parsed.select(
-        "page_id",
-        pagination_text().alias("pagination"),
-        card_items().alias("cards"),
-        cover_links().alias("covers"),
-        track_titles().alias("title_list"),
-        gallery_href().alias("gallery_href"),
-        image_links().alias("image_links"),
-    )
+    return parsed.select("page_id", *[FACTS[f]().alias(f) for f in fields])
+
+
+def _outcomes(fetched: DataFrame, read: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """One attempt per task: good only if its content was ``read``, and not ``refused`` then."""
+    had = read.select("fp").distinct().withColumn("had", F.lit(True))
+    told = fetched.join(had, "fp", "left")
+    if refused is not None:
+        told = told.join(refused, "fp", "left")
+    why = [_fetch_error(), F.when(F.col("had").isNull(), "no content"), *([F.col("refused")] if refused is not None else [])]
+    told = told.withColumn("error", F.coalesce(*why))
+    return told.select("fp", F.col("error").isNull().alias("ok"), "error")
 
 
 def _fetch_error() -> Column:
@@ -123,7 +145,8 @@ def index_stage(
     :func:`page_facts`.
     """
     fetched = settle(fetch_join(tasks.withColumn("url", search_url(base=base, per_page=per_page)), captures), "fetched")
-    pages = settle(with_content(fetched, facts.select("page_id", "pagination", "cards")), "read")
+    content = facts.select("page_id", *INDEX_FACTS).where("cards is not null")
+    pages = settle(with_content(fetched, content), "read")
     valid, rejects = split_valid(card_rows(pages, "cards", ("url", "page"), base))
 
     time = stamp(at)
@@ -131,12 +154,13 @@ def index_stage(
     rows = rows.select("obj_id", *INDEX_FIELDS, "index_time", "pos")
     details = valid.select(F.col("href").alias("url"), fingerprint("href").alias("fp")).distinct()
 
-    # every page of a search names the same total, so its first page speaks for all
-    has_more = (F.col("page") == 1) & F.exists("cards", usable_card)
-    counted = pages.where(has_more).withColumn("pages", page_count(F.col("pagination"), per_page))
+    # any page of a search names the total; each search announces its pages once
+    search = [c for c in SEED_TASK_COLUMNS if c != "page"]
+    named = pages.where(F.exists("cards", usable_card)).withColumn("pages", page_count(F.col("pagination"), per_page))
+    counted = named.groupBy(*search).agg(F.max("pages").alias("pages"))
     follow_ups = task_project(follow_up_pages(counted)).withColumn("fp", task_fingerprint())
-    outcomes = fetched.select("fp", (F.col("result") == "ok").alias("ok"), _fetch_error().alias("error"))
-    return Fetched(rows, rejects.select("url", "pos", "obj_id", "reject"), outcomes, follow_ups, details)
+    told = rejects.select("url", "pos", "obj_id", "reject")
+    return Fetched(rows, told, _outcomes(fetched, pages), follow_ups, details)
 
 
 def detail_stage(
@@ -156,17 +180,20 @@ def detail_stage(
     located = tasks.withColumn("url", url_join(base, F.col("url")))
     fetched = settle(fetch_join(located, captures), "fetched")
     covers = F.col("covers")
-    read = facts.select("page_id", first_match(covers).alias("cover_url"), no_cover(covers).alias("reject"), "title_list")
-    told = settle(with_content(fetched, read), "hits")
+    content = facts.where("covers is not null")
+    read = content.select("page_id", first_match(covers).alias("cover_url"), no_cover(covers).alias("reject"), "title_list")
+    told = with_content(fetched, read)
     extra = []
     if images is not None:
         # reduced to the covers asked for: image bytes move only for these
+        told = settle(told, "hits")
         asked = told.select("cover_url").distinct()
         found = images.withColumnRenamed("url", "cover_url").join(asked, "cover_url", "left_semi")
         coded = found.select("cover_url", image_data_uri(F.col("content")).alias("base64url"))
         told = told.join(coded, "cover_url", "left")
         told = told.withColumn("reject", F.coalesce("reject", F.when(F.col("base64url").isNull(), "no image")))
         extra = ["base64url"]
+    told = settle(told, "told")  # rows, rejects and outcomes read it
     valid, rejects = split_valid(told)
 
     time = stamp(at)
@@ -181,9 +208,7 @@ def detail_stage(
         F.lit(0).alias("pos"),
     )
     refused = rejects.select("fp", F.col("reject").alias("refused"))
-    outcomes = fetched.join(refused, "fp", "left").withColumn("error", F.coalesce(_fetch_error(), F.col("refused")))
-    outcomes = outcomes.select("fp", F.col("error").isNull().alias("ok"), "error")
-    return Fetched(rows, rejects.select("url", "reject"), outcomes)
+    return Fetched(rows, rejects.select("url", "reject"), _outcomes(fetched, told, refused))
 
 
 def gallery_stage(captures: DataFrame, facts: DataFrame, images: DataFrame, base: str = BASE_URL) -> DataFrame:
@@ -208,7 +233,6 @@ def crawl(
     words=STYLE_WORDS,
     base: str = BASE_URL,
     per_page: int = 100,
-    max_rounds: int = 10,
     at=None,
 ) -> DataFrame:
     """All three stages over an archive; returns the catalogue.
@@ -222,11 +246,12 @@ def crawl(
     path = path or scratch_path(spark, "crawl")
     index_store, detail_store, queues = f"{path}/index", f"{path}/detail", f"{path}/queues"
     captures = settle(newest_captures(pages), "captures", f"{path}/captures")
-    facts = settle(page_facts(pages), "facts", f"{path}/facts")
+    facts = settle(page_facts(pages, INDEX_FACTS + DETAIL_FACTS), "facts", f"{path}/facts")
 
     seeds = seed_stage(seed_pages, years, words)
     frontier = settle(dedup_first(seeds, ("page",)), "round", f"{path}/round-0")
-    for n in range(max_rounds):
+    n = 0
+    while not frontier.isEmpty():
         done = index_stage(frontier, captures, facts, at, base, per_page)
         write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, "index"), index_store, n)
         append_batch(done.details, queues, "detail", n)
@@ -234,9 +259,8 @@ def crawl(
         seen = spark.read.schema(frontier.schema).parquet(*[f"{path}/round-{i}" for i in range(n + 1)])
         named = settle(dedup_first(done.tasks, ("page",)), "named", f"{path}/named-{n + 1}")
         fresh = unseen(named, seen)
-        frontier = settle(fresh, "round", f"{path}/round-{n + 1}")
-        if frontier.isEmpty():
-            break
+        n += 1
+        frontier = settle(fresh, "round", f"{path}/round-{n}")
 
     queued = read_tasks(spark, queues, "detail", "url string, fp string")
     done = detail_stage(dedup_first(queued, ("url",)), captures, facts, at, base)

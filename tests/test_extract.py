@@ -18,6 +18,7 @@ from pagetrawl.operators.extract import (
     tracklist,
 )
 from pagetrawl.operators.html import _Tree, html_nodes, node_rows
+from pagetrawl.operators.select import anywhere, child, node_texts, select_nodes
 
 FACET_PAGE = """
 <div id="facets_style_exact"><ul>
@@ -193,8 +194,20 @@ def test_null_empty_and_deep_pages(spark, parse):
         (1, 0),
         (2, 5002),
     ]
-    last = node_rows(parse(deep)).orderBy(F.desc("node_id")).first()
-    assert (last.tag, last.text, last.depth) == ("u", "y", 0)
+    found = node_rows(parse(deep))
+    last = found.orderBy(F.desc("node_id")).first()
+    assert (last.tag, last.text, last.parent_id) == ("u", "y", -1)
+    inner = found.where("tag = 'i'").first()
+    assert (inner.parent_id, inner.node_id, inner.last) == (4999, 5000, 5000)
+
+
+def test_selectors_on_deep_and_nested_pages(spark, parse):
+    wrapped = "<div>" * 1500 + "<ul><li><a>x</a></li></ul>" + "</div>" * 1500
+    links = node_texts(select_nodes("nodes", anywhere("ul"), child("li"), child("a")))
+    assert parse(wrapped).select(links).first()[0] == ["x"]
+    nested = "<div><p><a>1</a></p><div><p><a>2</a></p></div><p><a>3</a></p></div><a>4</a>"
+    for steps in ((anywhere("div"), child("p"), child("a")), (anywhere("div"), anywhere("a"))):
+        assert parse(nested).select(node_texts(select_nodes("nodes", *steps))).first()[0] == ["1", "2", "3"]
 
 
 def test_flat_pattern_equals_tree(spark, parse):
@@ -216,6 +229,6 @@ def test_any_soup_makes_a_consistent_tree(sources):
     for nodes in tree.nodes([True] * len(sources)).to_pylist():
         for i, n in enumerate(nodes):
             assert n["id"] == i and n["parent"] < i <= n["last"] < len(nodes)
-            assert n["anc"] == ([*nodes[n["parent"]]["anc"], n["parent"]] if n["parent"] >= 0 else [])
             # the slice up to last is exactly the subtree
-            assert [m["id"] for m in nodes if i in m["anc"]] == list(range(i + 1, n["last"] + 1))
+            assert all(i <= m["parent"] for m in nodes[i + 1 : n["last"] + 1])
+            assert all(not i <= m["parent"] <= n["last"] for m in nodes[n["last"] + 1 :])
