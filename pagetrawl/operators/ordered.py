@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# a bucket spans 2 ** BITS values of the order column; suits dense numbers
+# a bucket spans at least 2 ** BITS values of the order column
 BITS = 16
 MAX_BUCKETS = 1 << 20
 
@@ -26,8 +26,10 @@ def order_bits(rows: DataFrame, order: str) -> int:
     return max(BITS, ((high or 0) - (low or 0)).bit_length() - MAX_BUCKETS.bit_length() + 1)
 
 
-def _with_offsets(rows: DataFrame, part: tuple, order: str, bits: int, holds: Column) -> DataFrame:
+def _with_offsets(rows: DataFrame, part: tuple, order: str, bits: int | None, holds: Column) -> DataFrame:
     """Adds ``_g`` (group and bucket), rows ``_before`` it in the group, and where to ``_stop``."""
+    rows = rows.where(F.col(order).isNotNull())
+    bits = order_bits(rows, order) if bits is None else bits
     # one struct as key: null groups stay groups, and join and rank share a partitioning
     marked = rows.withColumn("_g", F.struct(*part, F.shiftright(order, bits).alias("_bucket")))
     gap = F.when(~F.coalesce(holds, F.lit(False)), F.col(order))
@@ -42,21 +44,22 @@ def _with_offsets(rows: DataFrame, part: tuple, order: str, bits: int, holds: Co
     return marked.join(offsets, "_g")
 
 
-def enumerate_rows(rows: DataFrame, part: tuple, order: str, start: int = 1, bits: int = BITS) -> DataFrame:
+def enumerate_rows(rows: DataFrame, part: tuple, order: str, start: int = 1, bits: int | None = None) -> DataFrame:
     """Position ``n`` of each row in its group, from ``start``.
 
-    ``order`` is an integer column, unique within a group.
+    ``order`` is an integer column, unique within a group; rows without it have no place and are left out.
+    ``bits`` is a bucket's width as a power of two; without it one pass over the column finds one
+    that suits dense and far-apart numbers alike.
     """
     return take_while(rows, part, order, F.lit(True), start, bits)
 
 
 def take_while(
-    rows: DataFrame, part: tuple, order: str, holds: Column, start: int = 1, bits: int = BITS
+    rows: DataFrame, part: tuple, order: str, holds: Column, start: int = 1, bits: int | None = None
 ) -> DataFrame:
     """Rows of each group before the first one where ``holds`` is not true.
 
-    ``n`` is a row's position in the group. ``order`` is an integer column,
-    unique within a group.
+    ``n`` is a row's position in the group; ``order`` and ``bits`` are those of :func:`enumerate_rows`.
     """
     joined = _with_offsets(rows, part, order, bits, holds)
     kept = joined.where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))

@@ -146,6 +146,11 @@ ORACLE = {
     "take_while_list": f"""with {TURNS} select conv_id, cast(0 as bigint) as list_no,
       string_agg(n || '.' || role || '-' || text, '|' order by n) as items from kept group by conv_id""",
     "enumerate_rows": ORDER_LISTS,
+    "enumerate_sparse": """select o_custkey, o_orderkey, place, row_number() over (partition by o_custkey order by place) as n
+      from (select o_custkey, o_orderkey, o_orderkey * 7919003 % 1099511627776 as place from orders where o_orderkey % 13 <> 0)""",
+    "image_files": "select s_suppkey, md5(lower(hex(s_name)) || chr(10)) as digest from supplier",
+    "requeue_failed": f"""select {fp("'/release/' || doc_id")} as fp, cast(3 as bigint) as attempts, 'dead' as verdict, 'no cover' as last_error
+      from documents where n_chars % 7 = 0""",
     "assemble_list": f"""select o_custkey, (n - 1) // 5 as list_no, string_agg(cast(o_orderkey as varchar), ',' order by n) as items
       from ({ORDER_LISTS}) group by 1, 2""",
     "first_seen": f"""select min(event_id) as event_id, user_id, event_type, {fp('user_id', 'event_type')} as fp
@@ -268,3 +273,4 @@ ORACLE = {
         case when t.cover_url is not null then '{AT}' end as detail_time
       from found join titles t using (key)""",
 }
+ORACLE["stage_streams"] = ORACLE["crawl_catalogue"]

@@ -18,7 +18,7 @@ from pagetrawl.plans import site, stages
 from pagetrawl.schemas import SEED_TASK
 from pagetrawl.session import scratch_path, settle, spread
 from pagetrawl.sources import catalogue, images, pages as page_source, tasks as task_source
-from pagetrawl.streaming import streams
+from pagetrawl.streaming import stage_streams as stage_stream, streams
 
 LINK = '<li><a href="([^"]*)">'
 AT = "2020-01-02 03:04:05"
@@ -197,6 +197,13 @@ def enumerate_rows(spark, d):
     return ordered.enumerate_rows(orders, ("o_custkey",), "o_orderkey")
 
 
+def enumerate_sparse(spark, d):
+    """The same by a column of far-apart numbers, a part of them missing."""
+    orders = _table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    mixed = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderkey") * 7919003 % (1 << 40)).alias("place")
+    return ordered.enumerate_rows(orders.select("*", mixed), ("o_custkey",), "place")
+
+
 def assemble_list(spark, d):
     """Order lists of each customer, five orders to a row."""
     lists = ordered.assemble_list(enumerate_rows(spark, d), ("o_custkey",), F.col("o_orderkey").cast("string"), chunk=5)
@@ -471,6 +478,16 @@ def write_missing(spark, d):
     return stored.select("name", F.md5("content").alias("digest"))
 
 
+def image_files(spark, d):
+    """A file per supplier, read back as images by name."""
+    path = scratch_path(spark, "image-files")
+    rows = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.lower(F.hex(F.encode("s_name", "utf-8"))).alias("value"))
+    rows.repartition("key").write.partitionBy("key").text(path)
+    files = page_source.read_images(spark, path, "*.txt")
+    key = F.regexp_extract("path", "key=([0-9]+)/", 1).cast("long").alias("s_suppkey")
+    return files.select(key, F.md5("content").alias("digest"))
+
+
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -661,17 +678,45 @@ def crawl_catalogue(spark, d):
     return docs.drop("base64url").withColumn("title_list", F.array_join("title_list", "\n"))
 
 
+def stage_streams(spark, d):
+    """The catalogue of both streamed stages, whose follow-up pages go back into the queue until none is new."""
+    path = scratch_path(spark, "streamed")
+    pages = settle(site.listing_pages(spark, d).unionByName(site.release_pages(spark, d)), "pages")
+    captures = settle(frontier.newest_captures(pages), "captures")
+    facts = settle(stages.page_facts(pages, stages.INDEX_FACTS + stages.DETAIL_FACTS), "facts")
+    task_source.append_tasks(stages.seed_stage(site.facet_pages(spark, d), YEARS).drop("fp"), path, "search")
+    for _ in range(2):  # the seeds, then the pages they lead to
+        stage_stream.index_stream(spark, path, captures, facts, at=AT, per_page=site.PER_PAGE).awaitTermination()
+    stage_stream.detail_stream(spark, path, captures, facts, at=AT).awaitTermination()
+    docs = stage_stream.streamed_catalogue(spark, path)
+    return docs.drop("base64url").withColumn("title_list", F.array_join("title_list", "\n"))
+
+
+def requeue_failed(spark, d):
+    """Detail tasks that are dead after three attempts: their page has no cover."""
+    path = scratch_path(spark, "requeued")
+    pages = settle(site.release_pages(spark, d), "pages")
+    captures = settle(frontier.newest_captures(pages), "captures")
+    facts = settle(stages.page_facts(pages, stages.DETAIL_FACTS), "facts")
+    task_source.append_tasks(site.releases(spark, d).select(site.markup("/release/{}", F.col("key")).alias("url")), path, "detail")
+    for _ in range(3):
+        stage_stream.detail_stream(spark, path, captures, facts, at=AT).awaitTermination()
+        dead = stage_stream.requeue_failed(spark, path, "detail")
+    return dead
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         page_links, page_links_joined, link_tasks, page_title, page_fingerprint, url_param_get_set, url_tail,
         clean_facets, search_urls, image_uri, node_table, node_links, node_path_links, deep_headings, node_heading, ad_blocks,
         facet_counts, cards_with_reject, gallery_link, gallery_images, take_while, take_while_list, enumerate_rows,
-        assemble_list, first_seen, dup_report, unseen, add_to_set, claim, claim_rest, latest_fields,
+        enumerate_sparse, assemble_list, first_seen, dup_report, unseen, add_to_set, claim, claim_rest, latest_fields,
         upsert_catalogue, merge_metrics, merge_sources, delete_where, pending_scan, start_requests, facet_lists,
         frontier_product, page_expansion, union_tasks, ok_pages, fetch_join, frontier_rounds, retry_ledger,
-        task_roundtrip, write_missing, stream_dedup, stream_upsert, stream_commit, site_facets, seed_tasks,
+        task_roundtrip, write_missing, image_files, stream_dedup, stream_upsert, stream_commit, site_facets, seed_tasks,
         pagination, pages_with_more, site_cards, site_covers, tracklist, tracklist_past_gaps, index_rows,
         index_rejects, index_outcomes, follow_up_tasks, stage_outcomes, linkless_cards, seed_tasks_ok, detail_rows, cover_rows, gallery_store, crawl_catalogue,
+        stage_streams, requeue_failed,
     )
 }

@@ -17,10 +17,20 @@ from pagetrawl.operators.upsert import Upsert
 
 
 def complete_parts(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers N of the folders ``<prefix>N`` below ``path`` whose write has committed."""
-    jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}*/_SUCCESS")
-    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    """Numbers N of the folders ``<prefix>N`` below ``path`` whose write has committed.
+
+    A commit shows by its ``_SUCCESS`` file. Folders of data of which none has one come from a
+    writer that makes no such files, and are an error rather than an empty store.
+    """
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+
+    def found(name: str):
+        pattern = path_of(f"{path}/{prefix}*/{name}")
+        return pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+
+    files = found("_SUCCESS")
+    if not files and found("*.parquet"):
+        raise ValueError(f"{path} holds data without _SUCCESS files: set mapreduce.fileoutputcommitter.marksuccessfuljobs")
     return sorted(int(f.getPath().getParent().getName()[len(prefix) :]) for f in files or [])
 
 
