@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from pagetrawl.functions import fingerprint
-from pagetrawl.operators.dedup import add_to_set, claim, dedup_first, dup_report, missing_field, pending_scan, split_valid, unseen
+from pagetrawl.operators.dedup import absent_only, add_to_set, claim, dedup_first, dup_report, missing_field, pending_scan, split_valid, unseen
 from pagetrawl.operators.frontier import (
     fetch_join,
     follow_up_pages,
@@ -27,20 +27,20 @@ from pagetrawl.operators.retry import fetch_result, ok_pages, retry_ledger
 from pagetrawl.operators.upsert import Upsert, delete_where, merge_metrics
 from pagetrawl.schemas import OUTCOME, SEED_TASK
 
-ITALY = ("italy", "cd", 2001, "dance", 1)
+TASK = ("peru", "lp", 1987, "salsa", 1)
 
 
 def test_sixteen_equal_tasks_are_one(spark):
-    tasks = spark.createDataFrame([ITALY] * 16, SEED_TASK)
+    tasks = spark.createDataFrame([TASK] * 16, SEED_TASK)
     keyed = tasks.withColumn("fp", task_fingerprint()).withColumn("seq", F.monotonically_increasing_id())
     first = dedup_first(keyed, ("seq",))
     assert first.count() == 1 and first.columns == keyed.columns
-    assert rows(dup_report(tasks, tuple(tasks.columns))) == [(*ITALY, 16, 15)]
+    assert rows(dup_report(tasks, tuple(tasks.columns))) == [(*TASK, 16, 15)]
 
 
 def test_text_year_is_the_same_task(spark):
     texts = spark.createDataFrame([("italy", "cd", "2001", "dance", "1")], SEED_TASK.replace("int", "string"))
-    both = union_tasks(spark.createDataFrame([ITALY], SEED_TASK), texts)
+    both = union_tasks(spark.createDataFrame([TASK], SEED_TASK), texts)
     assert both.select("fp").distinct().count() == 1
     assert task_project(texts).schema.simpleString() == both.drop("fp").schema.simpleString()
 
@@ -227,9 +227,27 @@ def test_frontier_rounds(spark):
         follow = tasks.join(edges, tasks.node == edges.src).select(F.col("dst").alias("node"))
         return follow.withColumn("fp", fingerprint("node"))
 
-    got = frontier_rounds(seeds, expand, 10, ("node",)).select("node", "round")
+    got = frontier_rounds(seeds, expand, ("node",)).select("node", "round")
     assert rows(got) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
-    assert rows(frontier_rounds(seeds, expand, 1, ("node",)).select("node", "round")) == [("a", 0), ("b", 1), ("c", 1)]
+
+
+def test_frontier_rounds_follow_long_chains(spark):
+    seeds = spark.createDataFrame([(0,)], "node int").withColumn("fp", fingerprint("node"))
+    expand = lambda tasks: tasks.where("node < 14").select((F.col("node") + 1).alias("node")).withColumn("fp", fingerprint("node"))
+    assert rows(frontier_rounds(seeds, expand, ("node",)).select("node", "round")) == sorted([(n, n) for n in range(15)], key=str)
+
+
+def test_hot_known_keys_are_asked_for_once(spark):
+    existing = spark.range(20_000).select(F.lit("hot").alias("fp"))
+    new = spark.createDataFrame([("hot", 1), ("new", 2)], "fp string, n int")
+    assert rows(absent_only(new, existing, "fp")) == [("new", 2)]
+    plan = absent_only(new, existing, "fp")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") > plan.index("LeftAnti")
+
+
+def test_rows_without_an_order_are_left_out(spark):
+    data = spark.createDataFrame([("g", 1, True), ("g", None, False), ("g", 5, True), ("g", 9, False)], "g string, o bigint, ok boolean")
+    assert rows(take_while(data, ("g",), "o", F.col("ok")).select("o", "n")) == [(1, 1), (5, 2)]
 
 
 def test_order_bits(spark):

@@ -2,14 +2,17 @@
 
 import os
 import re
+import subprocess
+import sys
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from pagetrawl.plans.oracle import ORACLE
+from pagetrawl.plans.queries import QUERIES
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +22,23 @@ def db():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
+def test_entry_works_without_the_subpackage():
+    hide = (
+        "import sys, importlib.abc\n"
+        "class Hide(importlib.abc.MetaPathFinder):\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name.startswith('pagetrawl.llm') or name == 'corpus_pipeline':\n"
+        "            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\n"
+        "sys.meta_path.insert(0, Hide())\n"
+        "import __spark_entry__ as e\n"
+        "print(len(e.queries()), len(e.oracle_sql()))"
+    )
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    told = subprocess.run([sys.executable, "-c", hide], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert told == [str(len(QUERIES)), str(len(ORACLE))]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

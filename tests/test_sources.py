@@ -13,7 +13,7 @@ from pagetrawl.sources.catalogue import compact, complete_parts, read_catalogue,
 from pagetrawl.sources.images import write_missing_images
 from pagetrawl.sources.pages import read_images, read_pages, read_pages_stream
 from pagetrawl.sources.tasks import append_batch, append_tasks, queue_path, read_tasks
-from test_operators import ITALY, SPEC, UPDATE
+from test_operators import TASK, SPEC, UPDATE
 
 
 def test_scratch_is_below_the_named_folder(spark):
@@ -43,7 +43,7 @@ def test_queue(spark, tmp_path):
         read_tasks(spark, path, "search", SEED_TASK)
     with pytest.raises(AnalysisException):
         read_tasks(spark, path, "search", SEED_TASK, streaming=True)
-    one = spark.createDataFrame([ITALY], SEED_TASK)
+    one = spark.createDataFrame([TASK], SEED_TASK)
     append_tasks(one, path, "search")
     append_tasks(one, path, "search")
     append_batch(one, path, "search", 3)
@@ -51,7 +51,7 @@ def test_queue(spark, tmp_path):
     assert read_tasks(spark, path, "search", SEED_TASK).count() == 3
     stream = read_tasks(spark, path, "search", SEED_TASK, streaming=True)
     append_tasks(stream, path, "copy", str(tmp_path / "cp")).awaitTermination()
-    assert rows(read_tasks(spark, path, "copy", SEED_TASK)) == [ITALY] * 3
+    assert rows(read_tasks(spark, path, "copy", SEED_TASK)) == [TASK] * 3
     assert queue_path("a/", "q") == "a/queue=q"
 
 
@@ -102,3 +102,11 @@ def test_images(spark, tmp_path):
     stored = spark.read.schema(IMAGE).parquet(store)
     assert [(r.name, bytes(r.content)) for r in stored.orderBy("name").collect()] == [("R-1", b"\x00\xffone"), ("R-2", b"other")]
     assert absent_only(new, stored, "name").count() == 0
+
+
+def test_data_without_commit_marks_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.range(3).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/batch=0")
+    with pytest.raises(ValueError, match="_SUCCESS"):
+        complete_parts(spark, path, "batch=")
+    assert complete_parts(spark, str(tmp_path / "none"), "batch=") == []
