@@ -9,6 +9,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +27,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def slices(batches, rows: int):
-    """The batches again, in slices of at most ``rows`` rows: bounds what a task holds at once."""
+#: Bytes of texts that a slice holds, unless its first text alone is longer.
+SLICE_BYTES = 1 << 21
+
+
+def slices(batches, rows: int, text: int | None = None):
+    """The batches again, in slices of at most ``rows`` rows: bounds what a task holds at once.
+
+    With ``text``, the number of a column of texts, a slice also ends where their bytes add up to ``SLICE_BYTES``.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = None
+        if text is not None and batch.num_rows:
+            lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths.astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            n = rows
+            if ends is not None:
+                before = ends[at - 1] if at else 0
+                n = min(rows, max(1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")) - at))
+            yield batch.slice(at, n)
+            at += n
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -209,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, rows=rows):
             items = Items(rows)
-            for batch in slices(batches, 256):
+            for batch in slices(batches, 256, 1):
                 ids = batch.column(0).to_pylist()
                 hits = find(items, [normal(t) for t in strings(batch.column(1))])
                 columns = [[ids[h[0]] for h in hits], [items.texts[h[1]][0] for h in hits], *([h[k] for h in hits] for k in (2, 3, 4))]

@@ -46,7 +46,7 @@ def score_texts(docs: DataFrame, score, held: int = 256) -> DataFrame:
     """doc_id and score of every row of ``docs``; ``score`` takes a list of texts, at most ``held`` at once."""
 
     def run(batches):
-        for batch in slices(batches, held):
+        for batch in slices(batches, held, 1):
             scores = np.asarray(score(strings(batch.column(1))), float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
@@ -58,7 +58,7 @@ def only(docs: DataFrame, choose, held: int = 256) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in slices(batches, held):
+        for batch in slices(batches, held, at):
             yield batch.filter(pa.array(np.asarray(choose(strings(batch.column(at))), bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -132,7 +132,7 @@ def bands(found: np.ndarray, width: int = BAND) -> np.ndarray:
 
 
 def _sign(batches):
-    for batch in slices(batches, 512):
+    for batch in slices(batches, 512, 1):
         sets = shingle_sets(strings(batch.column(1)))
         keys = bands(signatures(sets))
         first = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -148,7 +148,7 @@ def _sign(batches):
 def _confirm(batches):
     """Pairs that share enough bands and whose sets are as similar as asked; rows of one leader mostly follow each other."""
     last, leader_set = None, None
-    for batch in slices(batches, 256):
+    for batch in slices(batches, 256, 2):
         if not batch.num_rows:
             continue
         one, two = (batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in (4, 5))
@@ -249,7 +249,7 @@ def near_links(banded: DataFrame, texts: DataFrame) -> DataFrame | None:
 
 
 def _shingles(batches):
-    for batch in slices(batches, 128):
+    for batch in slices(batches, 128, 1):
         sets = shingle_sets(strings(batch.column(1)))
         sizes = [len(s) for s in sets]
         ids = np.repeat(batch.column(0).to_numpy(), sizes)
