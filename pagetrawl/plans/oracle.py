@@ -273,4 +273,10 @@ ORACLE = {
         case when t.cover_url is not null then '{AT}' end as detail_time
       from found join titles t using (key)""",
 }
+_CRAWLED = f"""with {RELEASES}, {SEEDS}, {FOUND}, crawled as (
+  select f.key, f.artist, f.cover_url, d.text from found f join documents d on d.doc_id = f.key
+  where f.artist is not null and f.cover_url is not null)"""
+ORACLE["crawl_covers"] = f"""{_CRAWLED} select cast(key as varchar) as obj_id, artist, cover_url,
+  md5('data:image/jpg;base64,' || to_base64(encode(text))) as digest from crawled"""
+ORACLE["crawl_gallery"] = f"{_CRAWLED} select 'R-' || key as name, md5(text) as digest from crawled"
 ORACLE["stage_streams"] = ORACLE["crawl_catalogue"]

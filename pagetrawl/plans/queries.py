@@ -513,7 +513,7 @@ def stream_upsert(spark, d):
 
 def stream_commit(spark, d):
     """Items tried by error and purchase events: seen once a purchase was among a batch."""
-    events = _event_stream(spark, d, 6).where("event_type in ('error', 'purchase')")
+    events = _event_stream(spark, d, 2).where("event_type in ('error', 'purchase')")
     tasks = events.select(fn.fingerprint("user_id", "event_type").alias("fp"), "event_id", "event_type")
     seen, checkpoint = scratch_path(spark, "seen"), scratch_path(spark, "seen-checkpoint")
 
@@ -521,8 +521,7 @@ def stream_commit(spark, d):
         return fresh.select("fp", (F.col("event_type") == "purchase").alias("ok"))
 
     streams.commit_after_success(tasks, work, ("event_id",), seen, checkpoint).awaitTermination()
-    parts = [f"{seen}/batch={n}" for n in catalogue.complete_parts(spark, seen, "batch=")]
-    return spark.read.schema("fp string").parquet(*parts)
+    return streams.seen_tasks(spark, seen)
 
 
 # --- the stages on the rendered site
@@ -678,6 +677,29 @@ def crawl_catalogue(spark, d):
     return docs.drop("base64url").withColumn("title_list", F.array_join("title_list", "\n"))
 
 
+def _crawl_from_starts(spark, d, path):
+    """All stages from start URLs to images; seed pages are part of the archive."""
+    facets = site.facet_pages(spark, d).withColumn("page_id", -F.col("page_id") - (1 << 40))
+    archive = facets.unionByName(site.listing_pages(spark, d)).unionByName(site.release_pages(spark, d))
+    pages = settle(archive.unionByName(site.gallery_pages(spark, d)), "pages")
+    starts = frontier.start_requests(spark, YEARS[0], YEARS[-1])
+    return stages.crawl(None, pages, YEARS, path, per_page=site.PER_PAGE, at=AT, starts=starts, images=_covers(spark, d))
+
+
+def crawl_covers(spark, d):
+    """Covers of the catalogue that a crawl from start URLs makes."""
+    docs = _crawl_from_starts(spark, d, scratch_path(spark, "crawl"))
+    return docs.where("base64url is not null").select("obj_id", "artist", "cover_url", F.md5("base64url").alias("digest"))
+
+
+def crawl_gallery(spark, d):
+    """Image store of the same crawl: galleries of the details that were read."""
+    path = scratch_path(spark, "crawl")
+    _crawl_from_starts(spark, d, path)
+    stored = spark.read.schema(images.IMAGE).parquet(f"{path}/images")
+    return stored.select("name", F.md5("content").alias("digest"))
+
+
 def stage_streams(spark, d):
     """The catalogue of both streamed stages, whose follow-up pages go back into the queue until none is new."""
     path = scratch_path(spark, "streamed")
@@ -717,6 +739,6 @@ QUERIES = {
         task_roundtrip, write_missing, image_files, stream_dedup, stream_upsert, stream_commit, site_facets, seed_tasks,
         pagination, pages_with_more, site_cards, site_covers, tracklist, tracklist_past_gaps, index_rows,
         index_rejects, index_outcomes, follow_up_tasks, stage_outcomes, linkless_cards, seed_tasks_ok, detail_rows, cover_rows, gallery_store, crawl_catalogue,
-        stage_streams, requeue_failed,
+        crawl_covers, crawl_gallery, stage_streams, requeue_failed,
     )
 }

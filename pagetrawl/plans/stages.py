@@ -55,6 +55,7 @@ from pagetrawl.operators.upsert import Upsert
 from pagetrawl.schemas import DETAIL_FIELDS, INDEX_FIELDS, SEED_TASK_COLUMNS
 from pagetrawl.session import scratch_path, settle, spread
 from pagetrawl.sources.catalogue import read_catalogue, write_catalogue
+from pagetrawl.sources.images import write_missing_images
 from pagetrawl.sources.tasks import append_batch, read_tasks
 
 CATALOGUE = Upsert(
@@ -83,6 +84,7 @@ class Fetched(NamedTuple):
     outcomes: DataFrame  # one attempt per task: fp, ok, error
     tasks: DataFrame | None = None  # follow-up tasks of the same stage
     details: DataFrame | None = None  # tasks of the detail stage
+    read: DataFrame | None = None  # page_id of the pages whose content was read
 
 
 def seed_stage(pages: DataFrame, years: list[int], words=STYLE_WORDS, by: tuple = ("page_id",)) -> DataFrame:
@@ -208,16 +210,20 @@ def detail_stage(
         F.lit(0).alias("pos"),
     )
     refused = rejects.select("fp", F.col("reject").alias("refused"))
-    return Fetched(rows, rejects.select("url", "reject"), _outcomes(fetched, told, refused))
+    outcomes = _outcomes(fetched, told, refused)
+    return Fetched(rows, rejects.select("url", "reject"), outcomes, read=told.select("page_id").distinct())
 
 
-def gallery_stage(captures: DataFrame, facts: DataFrame, images: DataFrame, base: str = BASE_URL) -> DataFrame:
-    """Images of the galleries that pages link to, for the image store.
+def gallery_stage(
+    captures: DataFrame, facts: DataFrame, images: DataFrame, base: str = BASE_URL, of: DataFrame | None = None
+) -> DataFrame:
+    """Images of the galleries that pages link to (those of ``of (page_id)``, or all), for the image store.
 
     Page to gallery page to image (``images`` has ``url, content``), each step
     a join on distinct keys; rows ``name, content, img_url``.
     """
-    links = facts.where("gallery_href is not null").select(url_join(base, F.col("gallery_href")).alias("url"))
+    linking = facts if of is None else facts.join(of, "page_id", "left_semi")
+    links = linking.where("gallery_href is not null").select(url_join(base, F.col("gallery_href")).alias("url"))
     shown = with_content(fetch_join(links.distinct(), captures), facts.select("page_id", "image_links"))
     # settled, so that the size a broadcast is decided by is the real one
     wanted = settle(shown.select(F.explode("image_links").alias("img_url")).distinct(), "wanted")
@@ -225,8 +231,14 @@ def gallery_stage(captures: DataFrame, facts: DataFrame, images: DataFrame, base
     return found.select(image_name(F.col("img_url")).alias("name"), "content", "img_url")
 
 
+def fetch_seeds(starts: DataFrame, captures: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages that start URLs (``url``) lead to, by their newest good captures; the HTML of these alone moves."""
+    fetched = fetch_join(starts.select("url").distinct(), captures)
+    return with_content(fetched, pages.select("page_id", "html")).where("html is not null")
+
+
 def crawl(
-    seed_pages: DataFrame,
+    seed_pages: DataFrame | None,
     pages: DataFrame,
     years: list[int],
     path: str | None = None,
@@ -234,8 +246,14 @@ def crawl(
     base: str = BASE_URL,
     per_page: int = 100,
     at=None,
+    starts: DataFrame | None = None,
+    images: DataFrame | None = None,
 ) -> DataFrame:
-    """All three stages over an archive; returns the catalogue.
+    """All stages over an archive; returns the catalogue.
+
+    Seed pages are given, or fetched from the archive by their URLs (``starts``). With ``images``
+    (``url, content``) covers go into the catalogue, and the galleries of the details that
+    were read into the image store ``<path>/images``.
 
     The archive's facts are settled once. Index rounds run until no task is
     new; each round writes its rows as one catalogue batch and its detail
@@ -246,7 +264,10 @@ def crawl(
     path = path or scratch_path(spark, "crawl")
     index_store, detail_store, queues = f"{path}/index", f"{path}/detail", f"{path}/queues"
     captures = settle(newest_captures(pages), "captures", f"{path}/captures")
-    facts = settle(page_facts(pages, INDEX_FACTS + DETAIL_FACTS), "facts", f"{path}/facts")
+    fields = INDEX_FACTS + DETAIL_FACTS + (GALLERY_FACTS if images is not None else ())
+    facts = settle(page_facts(pages, fields), "facts", f"{path}/facts")
+    if seed_pages is None:
+        seed_pages = settle(fetch_seeds(starts, captures, pages), "seed-pages", f"{path}/seed-pages")
 
     seeds = seed_stage(seed_pages, years, words)
     frontier = settle(dedup_first(seeds, ("page",)), "round", f"{path}/round-0")
@@ -263,7 +284,11 @@ def crawl(
         frontier = settle(fresh, "round", f"{path}/round-{n}")
 
     queued = read_tasks(spark, queues, "detail", "url string, fp string")
-    done = detail_stage(dedup_first(queued, ("url",)), captures, facts, at, base)
-    write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, "detail"), detail_store, 0)
+    done = detail_stage(dedup_first(queued, ("url",)), captures, facts, at, base, images)
+    source = "detail" if images is None else "cover"
+    write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, source), detail_store, 0)
+    if images is not None:
+        found = gallery_stage(captures, facts, images, base, done.read)
+        write_missing_images(found, f"{path}/images", "img_url")
     append_batch(done.outcomes, queues, "outcomes", 0, "detail")
     return read_catalogue(CATALOGUE, spark, index_store, detail_store)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from pagetrawl.operators.dedup import dedup_first, unseen
 from pagetrawl.operators.upsert import Upsert
@@ -46,6 +46,32 @@ def stream_upsert(spec: Upsert, updates: DataFrame, source, path: str, checkpoin
     return _start(updates, store, checkpoint)
 
 
+#: Batches of the seen set after which it is folded into a snapshot.
+FOLD_AFTER = 32
+SEEN = "fp string"
+
+
+def seen_tasks(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """Fingerprints seen so far (before batch ``below``), None if there are none yet.
+
+    The set is a log of batches (``batch=N``) over a snapshot (``v=N``, batches up to N), ordered by
+    fingerprint. A log of many batches is folded into the next snapshot first: batches before
+    ``below`` are final.
+    """
+    before = lambda prefix: [n for n in complete_parts(spark, path, prefix) if below is None or n < below]
+    base = before("v=")[-1:]
+    log = [n for n in before("batch=") if not base or n > base[0]]
+    parts = [f"{path}/v={n}" for n in base] + [f"{path}/batch={n}" for n in log]
+    if not parts:
+        return None
+    seen = spark.read.schema(SEEN).parquet(*parts)
+    if below is not None and len(log) >= FOLD_AFTER:
+        folded = f"{path}/v={log[-1]}"
+        seen.distinct().repartitionByRange("fp").sortWithinPartitions("fp").write.mode("overwrite").parquet(folded)
+        return spark.read.schema(SEEN).parquet(folded)
+    return seen
+
+
 def commit_after_success(
     tasks: DataFrame,
     work: Callable[[DataFrame, int], DataFrame],
@@ -62,11 +88,10 @@ def commit_after_success(
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = [f"{seen_path}/batch={n}" for n in complete_parts(spark, seen_path, "batch=") if n < number]
+        earlier = seen_tasks(batch.sparkSession, seen_path, number)
         fresh = settle(dedup_first(batch, order), "batch")
-        if earlier:
-            fresh = settle(unseen(fresh, spark.read.schema("fp string").parquet(*earlier)), "fresh")
+        if earlier is not None:
+            fresh = settle(unseen(fresh, earlier), "fresh")
         outcome = work(fresh, number)
         done = outcome.where("ok").select("fp").distinct()
         done.write.mode("overwrite").parquet(f"{seen_path}/batch={number}")

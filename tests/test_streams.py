@@ -12,6 +12,7 @@ from pagetrawl.session import settle
 from pagetrawl.sources.catalogue import complete_parts, read_catalogue
 from pagetrawl.sources.pages import read_pages_stream
 from pagetrawl.sources.tasks import append_tasks
+from pagetrawl.streaming import streams
 from pagetrawl.streaming.stage_streams import (
     detail_stream,
     index_stream,
@@ -160,3 +161,16 @@ def test_failed_tasks_are_tried_three_times(spark, tmp_path):
     assert {r.obj_id for r in streamed_catalogue(spark, path).collect()} == {"1", "2"}
     attempts = stage_outcomes(spark, path, "detail").groupBy("fp").agg(F.count("*").alias("n"))
     assert sorted(r.n for r in attempts.collect()) == [1, 2, 3]
+
+
+def test_the_seen_set_is_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FOLD_AFTER", 3)
+    source, seen, cp = (str(tmp_path / p) for p in ("in", "seen", "cp"))
+    for n in range(8):
+        drop(spark, [(n, f"t{n}"), (n + 100, "again")], source)
+        tasks = read_pages_stream(spark, source, 10, TASK).withColumn("fp", fingerprint("name"))
+        work = lambda fresh, number: fresh.select("fp", F.lit(True).alias("ok"))
+        commit_after_success(tasks, work, ("n",), seen, cp).awaitTermination()
+    assert complete_parts(spark, seen, "v=") == [2, 5]
+    found = [r.fp for r in streams.seen_tasks(spark, seen).collect()]
+    assert len(found) == len(set(found)) == 9
