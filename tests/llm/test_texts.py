@@ -159,7 +159,7 @@ def test_pii(spark, docs, texts, empty):
     for doc_id, text in rows:
         assert got[doc_id]["base"] == base_spans(text or ""), text[:80]
     assert got[10]["spans"] == "iban:8:35" and got[11]["spans"] == "key:9:49"
-    assert got[10]["m"] == "account <IBAN> or DE88370400440532013000" and got[5]["m"] == "<PHONE>" or got[5]["m"]
+    assert got[10]["m"] == "account <IBAN> or DE88370400440532013000"
     assert got[0]["__email"] == "e" and pii.pii_spans(empty).count() == 0
 
 
