@@ -6,11 +6,13 @@ host's pages, in units of the entropy of a text that all pages share: what every
 none, what one page says has all. Its presentation importance is the entropy of the sequences
 of children it has on different pages. Both together, weighed by what tags and classes say
 about the node, are its importance; branches of low importance leave each page, and the
-blocks that stay are its text.
+blocks that stay are its text. The fewer pages show a node, the more its tags and classes count: what
+is beside the main part needs several pages to be kept, what is in it several to be removed.
 
 A page is parsed once, in the task that reads it, into blocks of text and a few hashes for the
 tree. Trees are built by aggregates with a map-side part, so that a host with a third of
-all pages sends few rows; of the decisions only those about a page's own nodes come back to it.
+all pages sends few rows. Pages of one host with the same nodes are decided alike, so that decisions are
+a small table, and texts stay where they are if Spark can broadcast it.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ LEAST_IMPORTANCE = 0.3
 #: Share of the content importance; the rest is the presentation's.
 CONTENT_SHARE = 0.9
 CHROME, OUTSIDE, OPEN, MAIN = range(4)
-#: Weight of a node by its role, and the least that its importance can be.
-WEIGHTS = {CHROME: (0.25, 0.0), OUTSIDE: (0.25, 0.0), OPEN: (1.0, 0.0), MAIN: (0.5, 0.5)}
+#: Weight of a node by its role, and the importance that it has for its role alone, before several pages show it.
+WEIGHTS = {CHROME: (0.25, 0.0), OUTSIDE: (0.5, 0.0), OPEN: (1.0, None), MAIN: (1.0, 1.0)}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
@@ -82,7 +84,7 @@ def _role(tag: str, names: str, above: int) -> int:
 def parse(page: str) -> tuple[list, list]:
     """Blocks ``(way, role, text)`` in page order, and hashes ``(way, role, kind, feature)`` for the style tree.
 
-    Kind 0 is a text of the node, kind 1 its sequence of children. Inline tags belong to their
+    Kind 0 is a text of the node, kind 1 its sequence of children, kind 2 tells that it has a text. Inline tags belong to their
     block, ``br`` is white space in it. Elements that were left open end with the one around them.
     """
     stack, blocks, nodes, parts = [Node("", 0, OPEN)], [], set(), []
@@ -169,13 +171,12 @@ def parse(page: str) -> tuple[list, list]:
     if has_main:  # what is beside the main part
         blocks = [(way, OUTSIDE if role == OPEN else role, text) for way, role, text in blocks]
         nodes = {(way, OUTSIDE if role == OPEN else role, kind, feature) for way, role, kind, feature in nodes}
-    nodes |= {(way, role, 0, _hash(text)) for way, role, text in blocks}
+    nodes |= {(way, role, 0, _hash(text)) for way, role, text in blocks} | {(way, role, 2, 0) for way, role, _ in blocks}
     return blocks, sorted(nodes)
 
 
-#: Roles whose nodes stay at any importance, and those that can stay.
-SURE = tuple(role for role, (_, least) in WEIGHTS.items() if least >= LEAST_IMPORTANCE)
-POSSIBLE = tuple(role for role, (weight, least) in WEIGHTS.items() if weight + least >= LEAST_IMPORTANCE)
+#: Roles whose nodes can stay.
+POSSIBLE = tuple(role for role, (weight, alone) in WEIGHTS.items() if max(weight, alone or 0) >= LEAST_IMPORTANCE)
 _BLOCK = pa.struct([("way", pa.int64()), ("role", pa.int32()), ("text", pa.string())])
 _NODE = pa.struct([("way", pa.int64()), ("role", pa.int32()), ("kind", pa.int32()), ("feature", pa.int64())])
 
@@ -184,40 +185,44 @@ def _parsed(batches):
     for batch in slices(batches, 64):
         found = [parse(h) for h in strings(batch.column(2))]
         blocks = pa.array([[dict(zip(("way", "role", "text"), b)) for b in bs if b[1] in POSSIBLE] for bs, _ in found], pa.list_(_BLOCK))
-        nodes = pa.array([[dict(zip(("way", "role", "kind", "feature"), n)) for n in ns] for _, ns in found], pa.list_(_NODE))
+        nodes = pa.array([[dict(zip(("way", "role", "kind", "feature"), n)) for n in ns if n[1] in POSSIBLE] for _, ns in found], pa.list_(_NODE))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blocks, nodes], ["page_id", "url", "blocks", "nodes"])
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """Pages as blocks that can stay and nodes, each with its host and a number of its own (``row``); settled."""
+    """Pages as blocks and nodes that can stay, each with its host and a hash of the nodes of its blocks (``shape``); settled."""
     schema = (
         "page_id long, url string, blocks array<struct<way:long,role:int,text:string>>, "
         "nodes array<struct<way:long,role:int,kind:int,feature:long>>"
     )
     found = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(_parsed, schema)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return settle(found.withColumns({"host": host, "row": F.monotonically_increasing_id()}), "parsed-pages")
+    shape = F.xxhash64(F.transform(F.filter("nodes", lambda n: n["kind"] == 2), lambda n: F.struct(n["way"], n["role"])))
+    return settle(found.withColumns({"host": host, "shape": shape}), "parsed-pages")
 
 
 def importance(parsed: DataFrame) -> DataFrame:
-    """Of each style node of each host: host, way, role, pages, importance."""
-    node = parsed.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
+    """Of each style node of each host: host, way, role, pages, importance. Pages of equal nodes are copies and count once."""
+    once = parsed.select("host", "nodes", F.xxhash64("nodes").alias("copy")).dropDuplicates(["host", "copy"])
+    node = once.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
     shared = node.groupBy("host", "way", "role", "kind", "feature").agg(F.count("*").alias("n"))
     # n pages share a feature: its entropy over m pages is log n in units of log m, at first summed as n * log n
-    pages = parsed.groupBy("host").agg(F.count("*").alias("m"))
+    pages = parsed.select("host", F.xxhash64("nodes").alias("copy")).distinct().groupBy("host").agg(F.count("*").alias("m"))
     sums = shared.groupBy("host", "way", "role").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("repeated"),
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("texts"),
         F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n"))).alias("alike"),
         F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("shown"),
+        F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(1)).alias("told"),
     )
     unit = F.log(F.greatest("m", F.lit(2)))
     content = 1 - F.col("repeated") / F.col("texts") / unit
     shape = F.coalesce((F.log("shown") - F.col("alike") / F.col("shown")) / unit, F.lit(0.0))
     both = F.coalesce(CONTENT_SHARE * content + (1 - CONTENT_SHARE) * shape, shape)
-    weight, least = (F.element_at(F.create_map(*[F.lit(x) for k, w in WEIGHTS.items() for x in (k, w[i])]), F.col("role")) for i in (0, 1))
-    scored = sums.join(pages, "host").select("host", "way", "role", F.col("m").alias("pages"), (least + weight * both).alias("importance"))
-    return scored
+    weight, alone = (F.element_at(F.create_map(*[F.lit(x).cast("double") if i % 2 else F.lit(x) for i, x in enumerate(e)]), F.col("role"))
+                     for e in ([x for k, w in WEIGHTS.items() for x in (k, w[j])] for j in (0, 1)))
+    weighed = F.coalesce(alone / F.col("told") + (1 - 1 / F.col("told")) * weight * both, weight * both)
+    return sums.join(pages, "host").select("host", "way", "role", F.col("m").alias("pages"), weighed.alias("importance"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -225,18 +230,21 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Pages without a host form one tree; a host with one page loses only what tags and classes mark. Null and
     empty pages, and pages of which nothing stays, have an empty text. Repeated rows are all kept, and
-    count as pages of their own. Elements may be nested and left open to any depth. Other columns are ignored.
+    count as one page of the tree; where the host repeats all of a page's main part, the page is a copy and keeps it. Elements
+    may be nested and left open to any depth. Other columns are ignored.
     """
     parsed = parsed_pages(pages)
-    sure = F.forall("blocks", lambda b: b["role"].isin(*SURE))
-    # where the weights leave nothing to decide, texts stay where they are
-    open_ = parsed.where(~sure)
-    low = importance(parsed).where(F.col("importance") < LEAST_IMPORTANCE).select("host", "way", "role")
-    own = open_.select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["way"], b["role"])))).alias("b"))
-    own = own.select("row", "host", F.col("b.way").alias("way"), F.col("b.role").alias("role"))
-    cut = own.join(low, ["host", "way", "role"]).groupBy("row").agg(F.collect_set(F.struct("way", "role")).alias("cut"))
+    low = importance(parsed).where(F.col("importance") < LEAST_IMPORTANCE).select("host", "way", "role", F.lit(True).alias("low"))
+    shapes = parsed.select("host", "shape", "nodes").dropDuplicates(["host", "shape"])
+    own = shapes.select("host", "shape", F.explode(F.filter("nodes", lambda n: n["kind"] == 2)).alias("n")).select("host", "shape", "n.way", "n.role")
+    is_main = F.col("role") == MAIN
+    cut = own.join(low, ["host", "way", "role"], "left").groupBy("host", "shape").agg(
+        F.collect_set(F.when(F.col("low"), F.struct("way", "role"))).alias("cut"),
+        F.coalesce(F.bool_or(is_main & F.col("low").isNull()), F.lit(False)).alias("keeps_main"),
+    ).where(F.size("cut") > 0)
+    cut = cut.select("host", "shape", F.filter("cut", lambda c: F.col("keeps_main") | (c["role"] != MAIN)).alias("cut"))
+    cut = settle(cut.where(F.size("cut") > 0), "cut-nodes")
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("cut", F.struct(b["way"].alias("way"), b["role"].alias("role"))), F.lit(False)))
-    decided = open_.join(cut, "row", "left").select("page_id", "url", kept.alias("blocks"))
-    found = parsed.where(sure).select("page_id", "url", "blocks").unionByName(decided)
+    found = parsed.select("page_id", "url", "host", "shape", "blocks").join(cut, ["host", "shape"], "left").select("page_id", "url", kept.alias("blocks"))
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -158,6 +158,16 @@ def test_main_text_of_odd_pages(spark):
     assert site_style.main_text(frame.limit(0)).count() == 0
 
 
+def test_main_text_by_entropy_within_and_beside_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Page {0} tells {0}.</p><div class='box'>Read our best offers now</div></article><div class='more'>{0} ends</div><div class='all'>same</div></body>"
+    pages = [(k, f"http://h.example/{k}", page.format(k)) for k in range(12)]
+    pages += [(50 + k, "http://copies.example/", page.format("x")) for k in range(9)] + [(70, "http://one.example/", page.format(70))]
+    got = {r["page_id"]: r["text"] for r in site_style.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k}\nPage {k} tells {k}.\n{k} ends" for k in range(12))
+    assert all(got[50 + k] == "Title x\nPage x tells x.\nRead our best offers now" for k in range(9))
+    assert got[70] == "Title 70\nPage 70 tells 70.\nRead our best offers now"
+
+
 # --- pipeline
 
 
