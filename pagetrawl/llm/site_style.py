@@ -32,9 +32,9 @@ from pagetrawl.session import settle
 LEAST_IMPORTANCE = 0.3
 #: Share of the content importance; the rest is the presentation's.
 CONTENT_SHARE = 0.9
-CHROME, OUTSIDE, OPEN, MAIN = range(4)
+CHROME, OUTSIDE, NAMED, OPEN, MAIN = range(5)
 #: Weight of a node by its role, and the importance that it has for its role alone, before several pages show it.
-WEIGHTS = {CHROME: (0.25, 0.0), OUTSIDE: (0.5, 0.0), OPEN: (1.0, None), MAIN: (1.0, 1.0)}
+WEIGHTS = {CHROME: (0.25, 0.0), OUTSIDE: (0.5, 0.0), NAMED: (0.5, 0.0), OPEN: (1.0, None), MAIN: (1.0, 1.0)}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
@@ -46,13 +46,20 @@ _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark",
     "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
 }
-_CHROME_TAGS = {"nav", "footer", "aside", "header", "form", "menu", "head", "button", "select", "dialog"}
-_CHROME_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|adsense|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
+#: Elements that are no content by their meaning, and those that weigh like a name.
+_CHROME_TAGS = {"nav", "footer", "aside", "menu", "head", "button", "select", "dialog"}
+_NAMED_TAGS = {"header", "form"}
+_NAMES = (
+    r"(?:ad|ads|adv|advert|advertisement|adsense|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
     r"header|masthead|footer|sidebar|side|cookie|cookies|consent|gdpr|notice|alert|comment|comments|reply|replies|disqus|respond|share|"
     r"sharing|social|related|recommended|newsletter|subscribe|signup|login|search|popup|modal|widget|pagination|pager|toolbar|skip|"
-    r"contentinfo|complementary)s?(?:$|[\s_-])"
+    r"contentinfo|complementary)s?"
 )
+_CHROME_NAMES, _WHOLE_NAMES = re.compile(rf"(?:^|[\s_-]){_NAMES}(?:$|[\s_-])"), re.compile(rf"(?:^|\s){_NAMES}(?:$|\s)")
+#: Names that tell what an element has or allows, not what it is.
+_STATES = re.compile(r"(?:^|(?<=\s))(?:(?:has|have|with|without|no|is|not)[_-]\S*|\S*[_-](?:open|opened|closed|enabled|disabled|on|off))(?=\s|$)")
+#: Elements that no name marks.
+_UNMARKED = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Tags whose start closes an open one of the second set.
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -65,20 +72,42 @@ def _hash(text: str) -> int:
 
 
 class Node:
-    """An open element: its tag, its way from the root as a hash, its role and its children so far."""
+    """An element: its tag, its way from the root as a hash, the element around it, its mark, and its children so far.
 
-    __slots__ = ("tag", "way", "role", "children")
+    ``mark`` is CHROME or NAMED for what its tag or names say, MAIN for a main part, or OPEN. The role follows once the
+    page is read, since an element that turns out to hold the main part loses its mark.
+    """
 
-    def __init__(self, tag, way, role):
-        self.tag, self.way, self.role, self.children = tag, way, role, 0
+    __slots__ = ("tag", "way", "above", "mark", "in_main", "role", "children")
 
+    def __init__(self, tag, way, above, mark):
+        self.tag, self.way, self.above, self.mark, self.role, self.children = tag, way, above, mark, OPEN, 0
+        self.in_main = above is not None and (above.in_main or above.mark == MAIN)
 
-def _role(tag: str, names: str, above: int) -> int:
-    if above == CHROME:
-        return CHROME
-    if _CHROME_NAMES.search(names) or tag in _CHROME_TAGS and not (tag == "header" and above == MAIN):
+
+def _mark(tag: str, names: str, in_main: bool) -> int:
+    if tag in _CHROME_TAGS:
         return CHROME
-    return MAIN if above == MAIN or tag in ("article", "main") or "main" in names.split() and tag != "body" else above
+    is_main = tag in ("article", "main") or "main" in names.split() and tag not in _UNMARKED
+    if names and tag not in _UNMARKED and (_WHOLE_NAMES if is_main else _CHROME_NAMES).search(_STATES.sub(" ", names)):
+        return NAMED
+    return MAIN if is_main else NAMED if tag in _NAMED_TAGS and not (tag == "header" and in_main) else OPEN
+
+
+def _roles(made: list[Node]) -> None:
+    """Settles the roles of all elements, each after the one around it."""
+    for node in made:
+        above = node.above.role if node.above else OPEN
+        if above == CHROME or node.mark == CHROME:
+            node.role = CHROME
+        elif above == NAMED or node.mark == NAMED:
+            node.role = NAMED
+        else:
+            node.role = MAIN if node.mark == MAIN else above
+    if any(node.role == MAIN for node in made):  # what is beside the main part, and what is marked there as well
+        for node in made:
+            if not node.in_main and node.mark != MAIN:
+                node.role = {OPEN: OUTSIDE, NAMED: CHROME}.get(node.role, node.role)
 
 
 def parse(page: str) -> tuple[list, list]:
@@ -87,20 +116,18 @@ def parse(page: str) -> tuple[list, list]:
     Kind 0 is a text of the node, kind 1 its sequence of children, kind 2 tells that it has a text. Inline tags belong to their
     block, ``br`` is white space in it. Elements that were left open end with the one around them.
     """
-    stack, blocks, nodes, parts = [Node("", 0, OPEN)], [], set(), []
-    at, end, has_main = 0, len(page), False
+    stack, blocks, parts = [Node("", 0, None, OPEN)], [], []
+    made, at, end = [stack[0]], 0, len(page)
 
     def close_block():
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            blocks.append((stack[-1].way, stack[-1].role, text))
+            blocks.append((stack[-1], text))
 
     def pop_to(depth):
         close_block()
-        while len(stack) > depth:
-            node = stack.pop()
-            nodes.add((node.way, node.role, 1, node.children))
+        del stack[depth:]
 
     while at < end:
         start = page.find("<", at)
@@ -144,7 +171,7 @@ def parse(page: str) -> tuple[list, list]:
             found = [(k.lower(), a or b or c) for k, a, b, c in _NAMED.findall(rest)]
             names = re.sub(r"\d+", "", " ".join(v for _, v in found).lower())
         if tag in _INLINE:
-            if not names or _role("", names, OPEN) != CHROME:
+            if not names or _mark("", names, False) != NAMED:
                 continue
             tag = "/" + tag  # an inline element that its class marks as no content
         elif "/" + tag not in _VOID:
@@ -163,14 +190,20 @@ def parse(page: str) -> tuple[list, list]:
         above = stack[-1]
         label = f"{tag} {names}"
         above.children = (above.children * 31 + _hash(label)) & 0x7FFFFFFF
-        role = _role(tag, names, above.role)
-        has_main |= role == MAIN
-        stack.append(Node(tag, (above.way * 1_000_003 + _hash(label)) & 0x7FFFFFFFFFFFFFFF, role))
-    pop_to(1)
+        mark = _mark(tag, names, above.in_main or above.mark == MAIN)
+        node = Node(tag, (above.way * 1_000_003 + _hash(label)) & 0x7FFFFFFFFFFFFFFF, above, mark)
+        if mark == MAIN and not node.in_main:
+            # what holds the main part is not marked by its names
+            while above is not None:
+                if above.mark == NAMED:
+                    above.mark = OPEN
+                above = above.above
+        made.append(node)
+        stack.append(node)
     close_block()
-    if has_main:  # what is beside the main part
-        blocks = [(way, OUTSIDE if role == OPEN else role, text) for way, role, text in blocks]
-        nodes = {(way, OUTSIDE if role == OPEN else role, kind, feature) for way, role, kind, feature in nodes}
+    _roles(made)
+    nodes = {(node.way, node.role, 1, node.children) for node in made[1:]}
+    blocks = [(node.way, node.role, text) for node, text in blocks]
     nodes |= {(way, role, 0, _hash(text)) for way, role, text in blocks} | {(way, role, 2, 0) for way, role, _ in blocks}
     return blocks, sorted(nodes)
 

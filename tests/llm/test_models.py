@@ -168,6 +168,18 @@ def test_main_text_by_entropy_within_and_beside_articles(spark):
     assert got[70] == "Title 70\nPage 70 tells 70.\nRead our best offers now"
 
 
+def test_names_lower_the_weight_of_main_text(spark):
+    page = "<body class='single has-sidebar'><div class='page with-sidebar'><form><article class='post comments-open'><h1 class='entry-header'>Title {0}</h1><p>Tells {0}.</p><div class='notice'>{1}</div></article></form><div class='ad'>Buy {0}</div></div></body>"
+    pages = [(k, f"http://h.example/{k}", page.format(k, f"Warns of {k}")) for k in range(12)]
+    pages += [(20 + k, f"http://i.example/{k}", page.format(k, "same")) for k in range(12)] + [(70, "http://one.example/", page.format(70, "x"))]
+    pages += [(80 + k, "http://j.example/", f"<body class='home search'><div class='story share-page'>Story {k}</div><div class='share'>Share it</div></body>") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in site_style.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k}\nTells {k}.\nWarns of {k}" for k in range(12))
+    assert all(got[20 + k] == f"Title {k}\nTells {k}." for k in range(12))
+    assert got[70] == "Title 70\nTells 70."
+    assert all(got[80 + k] == f"Story {k}" for k in range(12))
+
+
 # --- pipeline
 
 
