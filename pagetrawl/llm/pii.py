@@ -49,6 +49,34 @@ def mod_97(account: Column) -> Column:
     return F.aggregate(F.split(turned, "(?!^)(?!$)"), F.lit(0), add) == 1
 
 
+#: Characters of an account number by country, and the longest match of such a number with a space before any of them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+IBAN_LONGEST = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+"
+
+
+def iban_end(text: Column, start: Column) -> Column:
+    """Where the account number that begins at ``start`` ends, or null: one of the ends of a word by which mod-97 holds.
+
+    The one of the country's length goes first, then the longest; countries that are not listed can have any length.
+    """
+    body = F.regexp_extract(F.substr(text, start + 1, F.lit(64)), IBAN_LONGEST, 0)
+    goes_on = F.substr(text, start + F.length(body) + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+    closed = F.concat(body, F.when(goes_on, "x").otherwise(" "))
+    size = F.element_at(F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, n)]), F.substr(body, F.lit(1), F.lit(2)))
+
+    def account(k):
+        return F.regexp_replace(F.substr(body, F.lit(1), k), r"\x20", "")
+
+    ends = F.filter(F.sequence(F.lit(15), F.greatest(F.length(body), F.lit(15))), lambda k: (F.substr(closed, k + 1, F.lit(1)) == " ") & (F.length(account(k)) >= 15))
+    fine = F.filter(ends, lambda k: mod_97(account(k)))
+    best = F.array_max(F.transform(fine, lambda k: F.struct(F.coalesce(F.length(account(k)) == size, F.lit(False)).alias("usual"), k.alias("k"))))
+    return start + best["k"]
+
+
 def small_parts(ip: Column) -> Column:
     bare = F.transform(F.split(ip, r"\."), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
     return F.forall(bare, lambda x: (F.length(x) <= 3) & (F.coalesce(F.substr(x, F.lit(1), F.lit(3)).cast("int"), F.lit(0)) <= 255))
@@ -56,7 +84,11 @@ def small_parts(ip: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """How one kind is proposed, confirmed and scored; ``needs`` is a character of every match."""
+    """How one kind is proposed, confirmed and scored; ``needs`` is a character of every match.
+
+    With ``ends`` the pattern matches the beginning only, and the span goes on to what ``ends`` makes of the text and
+    its start, if that is not null; no such span begins within another one.
+    """
 
     name: str
     pattern: str
@@ -64,6 +96,7 @@ class Kind:
     words: str
     valid: Callable[[Column], Column] | None = None
     needs: str = ""
+    ends: Callable[[Column, Column], Column] | None = None
 
 
 KINDS = (
@@ -81,8 +114,7 @@ KINDS = (
         lambda m: F.length(digits(m)).between(9, 15), "+",
     ),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7, "iban|account|bank",
-        lambda m: mod_97(F.regexp_replace(m, r"\x20", "")),
+        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11}+)", 0.7, "iban|account|bank", ends=iban_end,
     ),
     # a long hexadecimal word is private only where a context word says so
     Kind("key", r"(?<![0-9A-Za-z])[0-9a-f]{32,128}+(?![0-9A-Za-z])", 0.3, "token|secret|password|api.?key"),
@@ -102,14 +134,17 @@ def find_spans(text: Column, found: Column, kind: Kind, rank: int) -> Column:
 
     def add(state, x):
         start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
+        over = start + F.length(x["m"])
+        end = kind.ends(text, start) if kind.ends else over
         score = F.lit(kind.score) + F.when(near(start, end), 0.25).otherwise(0.0)
         span = F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score")
         )
         fine = x["m"].isNotNull() & (kind.valid(x["m"]) if kind.valid else F.lit(True))
+        if kind.ends:
+            fine = fine & (start >= F.coalesce(F.get(state["spans"], F.size(state["spans"]) - 1)["end"], F.lit(0))) & end.isNotNull()
         grown = F.when(fine, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(F.coalesce(end, start).alias("at"), grown.alias("spans"))
+        return F.struct(F.coalesce(over, start).alias("at"), grown.alias("spans"))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
     spans = F.aggregate(both, first, add)["spans"]

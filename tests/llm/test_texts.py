@@ -163,6 +163,17 @@ def test_pii(spark, docs, texts, empty):
     assert got[0]["__email"] == "e" and pii.pii_spans(empty).count() == 0
 
 
+def test_ibans_before_other_words(spark):
+    compact, grouped, other = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    after = ["", " Please", " OR", " 5", " A friend", ".", " please", " 12345 67", " NO ID 4711 HERE AND THERE"]
+    cases = [(f"é {x}{y}", [x]) for x in (compact, grouped, other, "NO9386011117947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S") for y in after]
+    cases += [(f"{grouped} {other} {compact} X", [grouped, other, compact]), (compact + "x", []), (compact + "9 OK", []), ("DE88 3704 0044 0532 0130 00 OR", [])]
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = by_id(pii.pii_spans(frame, tuple(k for k in pii.KINDS if k.name == "iban")))
+    for k, (text, expected) in enumerate(cases):
+        assert [text[s["start"] : s["end"]] for s in got[k]["pii"]] == expected, text
+
+
 def test_pii_is_native(spark):
     plan = queries.op1_pii(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
