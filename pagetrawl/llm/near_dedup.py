@@ -10,8 +10,8 @@ Documents of one set are one class, represented by the smallest id. Slots make b
 and equal bands make buckets. In a bucket members are compared with one leader, not with each other;
 links join components. Buckets that still hold several components go on: the few members outside
 the largest component meet all of the bucket. Where many documents share no more than a common
-line, those that it makes up for the most part meet by their rarest shingles, which loses no
-pair. A pair that shares two bands of 32 is confirmed on its full sets.
+line, all of them meet by their rarest shingles, which loses no pair. Pairs that share two bands of 32,
+and all that share a rare shingle, are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ STAR_ROUNDS = 3
 LEAST_BANDS = 2
 #: Up to so many members outside a bucket's largest component are compared with all of the bucket.
 FEW = 16
-#: Documents with no more bands in undecided large buckets are linked by their other bands: 24 such bands miss a pair in 1 of 10,000 cases.
-SPARE_BANDS = 8
+#: Documents with more bands in undecided large buckets meet by their rarest shingles. Any other number than 0 loses pairs.
+SPARE_BANDS = 0
 PRIME, GOLDEN = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,14 +145,14 @@ def _sign(batches):
         )
 
 
-def _confirm(batches):
+def _confirm(batches, least_bands=LEAST_BANDS):
     """Pairs that share enough bands and whose sets are as similar as asked; rows of one leader mostly follow each other."""
     last, leader_set = None, None
     for batch in slices(batches, 256, 2):
         if not batch.num_rows:
             continue
         one, two = (batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in (4, 5))
-        batch = batch.filter(pa.array((one == two).sum(1) >= LEAST_BANDS))
+        batch = batch.filter(pa.array((one == two).sum(1) >= least_bands))
         ids, leaders = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         sets = shingle_sets(strings(batch.column(2)))
         kept = []
@@ -167,11 +167,11 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that are links, by the full sets of their ``texts (doc_id, text, bands)``."""
+def confirmed(pairs: DataFrame, texts: DataFrame, least_bands: int = LEAST_BANDS) -> DataFrame:
+    """The pairs ``(a, b)`` that share ``least_bands`` and are links, by the full sets of their ``texts (doc_id, text, bands)``."""
     own, other = (texts.toDF(k, f"text_{k}", f"bands_{k}") for k in ("a", "b"))
     joined = pairs.join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b", "bands_a", "bands_b")
-    return joined.mapInArrow(_confirm, "a long, b long")
+    return joined.mapInArrow(lambda batches: _confirm(batches, least_bands), "a long, b long")
 
 
 def _turn(round_: int) -> Column:
@@ -188,7 +188,7 @@ class Links:
     """Links found so far and the components that they make; ``texts`` has doc_id, text and bands."""
 
     def __init__(self, texts: DataFrame):
-        self.texts, self.links, self.labels = texts, None, None
+        self.texts, self.links, self.labels, self.least_bands = texts, None, None, LEAST_BANDS
 
     def members(self, banded: DataFrame) -> DataFrame:
         """``banded`` with each document's component so far."""
@@ -219,7 +219,7 @@ class Links:
         fits = 100 * F.least("n", "n_b") >= LEAST_PERCENT * F.greatest("n", "n_b")
         pairs = members.join(other, "key").where((F.col("component") != F.col("c_b")) & fits & _enough(F.least("tail", "t_b"), F.col("n") + F.col("n_b")))
         pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        fresh = settle(confirmed(pairs, self.texts), "near-links")
+        fresh = settle(confirmed(pairs, self.texts, self.least_bands), "near-links")
         if fresh.isEmpty():
             return
         self.links = fresh if self.links is None else self.links.unionByName(fresh)
@@ -231,8 +231,8 @@ def near_links(banded: DataFrame, texts: DataFrame) -> DataFrame | None:
     found = Links(texts)
     found.stars(found.members(banded), 0)
     _dominated(found, banded)
-    # what one large component doesn't dominate mostly shares a common line. Links between documents with few such
-    # bands show in their other bands; the rest meets by its rarest shingles
+    # what one large component doesn't dominate mostly shares a common line, and meets by its rarest shingles: what two
+    # documents share besides is less alike than they are, so that their other bands alone would miss pairs
     mixed = found.mixed(banded)
     few = F.col("size") - F.col("most") <= FEW
     rest = mixed.where(few & (F.col("component") != F.col("largest")))
@@ -241,6 +241,7 @@ def near_links(banded: DataFrame, texts: DataFrame) -> DataFrame | None:
     busy = settle(busy, "busy")
     if not busy.isEmpty():
         rare = settle(_rarest(texts.join(busy, "doc_id")), "rarest")
+        found.least_bands = 0
         found.stars(found.members(rare), 0)
         _dominated(found, rare)
         mixed = found.mixed(rare)

@@ -212,6 +212,18 @@ def test_near_duplicates(spark, docs, texts, empty, monkeypatch):
     assert sorted((str(r["component_id"]), r["kept"]) for r in loose) == [("4", True), ("None", True), ("None", True)]
 
 
+def test_pairs_of_one_large_undecided_bucket(spark):
+    draw = random.Random(9)
+    texts = [f"{LINE} {words(draw, 40)}" for _ in range(40)]
+    texts += [f"{texts[7]} {words(draw, 3)}"]
+    n = [len(shingles(t)) for t in texts]
+    banded = spark.createDataFrame([(k, n[k], 5, n[k]) for k in range(41)], "doc_id long, n long, key long, tail long")
+    # no band but the one of the common line is shared
+    candidates = spark.createDataFrame([(k, t, [5, 100 + k]) for k, t in enumerate(texts)], "doc_id long, text string, bands array<long>")
+    found = near_dedup.near_links(banded, candidates)
+    assert found is not None and {(r["id"], r["component"]) for r in found.collect()} == {(7, 7), (40, 7)}
+
+
 def test_signatures_are_permuted_ranks():
     rng = np.random.default_rng(2)
     a, b = (rng.integers(0, 2**63, 900).astype(np.uint64) for _ in range(2))
