@@ -7,9 +7,10 @@ says so. Two windows at a small edit distance fall into step again after an edit
 that their walks are at a small Hamming distance. Sampled steps of the walk make the key of a hash
 table (bit sampling), and several walks make several tables.
 
-Every word of an item is an anchor: a leak of an item of w words has w chances a table. If a
-word head survives the edits with probability p (0.4 at 5 % of edits), w = 12 words and two
-tables miss 0.6 ** 24 = 5e-6 of the leaks. A hit aligns the whole item with the document, and the exact edit
+Every word of an item is an anchor. Walks read about 18 bytes, so that an item with many words has many
+chances, but a short item few. Items that may have edits are so cut into one piece more than their
+edits as well: one piece of 6 to 13 bytes stays as it is, and is looked for at every byte, so that no leak within
+the edits is missed. A hit aligns the whole item with the document, and the exact edit
 distance between the item and the best substring there decides (Myers' bit-parallel columns).
 
 Documents are read in one narrow pass. Items are sent along in blocks of a bounded size,
@@ -18,6 +19,8 @@ one pass a block; a benchmark of a few MB is one block.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,8 +94,64 @@ class Filter:
         return some[self.keys[place] == keys[some]]
 
 
+def most_edits(item: bytes) -> int:
+    return int(MOST_EDITS * len(item))
+
+
+def eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each position on, as numbers; their first byte is the lowest."""
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, 0, (1,))
+
+
+def scattered(keys: np.ndarray) -> np.ndarray:
+    keys = keys * _PRIME
+    return (keys ^ (keys >> np.uint64(29))) * _PRIME
+
+
+class Pieces:
+    """Pieces of items, found at every byte by their first eight bytes at most and then as a whole."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.places: dict[bytes, list] = {}
+        for k, item in items:
+            n = most_edits(item) + 1
+            cuts = [i * len(item) // n for i in range(n + 1)]
+            for low, high in zip(cuts, cuts[1:]):
+                self.places.setdefault(item[low:high], []).append((k, low))
+        self.filters: dict[int, tuple[Filter, dict[int, Filter]]] = {}
+        for q in {min(len(x), 8) for x in self.places}:
+            own = [x for x in self.places if min(len(x), 8) == q]
+            wholes = {}
+            for n in {len(x) for x in own}:
+                same = b"".join(x + bytes(8) for x in own if len(x) == n)
+                at = np.arange(0, len(same), n + 8)
+                wholes[n] = Filter(self.whole(eights(same), at, n))
+            heads = np.array([int.from_bytes(x[:q], "little") for x in own], np.uint64)
+            self.filters[q] = Filter(scattered(heads)), wholes
+
+    @staticmethod
+    def whole(numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Keys of the ``n`` bytes from some positions on."""
+        key, step = np.zeros(len(at), np.uint64), 0
+        while step < n:
+            part = numbers[at + step] & np.uint64((1 << 8 * min(n - step, 8)) - 1) if step == 0 or n - step >= 8 else numbers[at + n - 8]
+            key, step = scattered(key ^ part), step + 8
+        return key
+
+    def hits(self, data: bytes):
+        """``(position, item, offset)`` of the pieces in ``data``, which ends in eight zero bytes at least."""
+        numbers = eights(data)
+        for q, (heads, wholes) in self.filters.items():
+            some = heads.holds(scattered(numbers & np.uint64((1 << 8 * q) - 1)))
+            for n, keys in wholes.items():
+                inside = some[some + n + 8 <= len(data)]
+                for at in inside[keys.holds(self.whole(numbers, inside, n))].tolist():
+                    for item, offset in self.places.get(data[at : at + n], ()):
+                        yield at, item, offset
+
+
 class Items:
-    """The hash tables over all anchors of some items; ``short`` ones have no anchor and are searched as they are."""
+    """The tables over all anchors and pieces of some items; ``short`` ones have neither and are searched as they are."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.texts = [(i, t) for i, t in ((i, normal(t or "")) for i, t in rows) if t]
@@ -111,6 +170,9 @@ class Items:
                 table.setdefault(k, []).append((o, s))
                 anchored.add(o)
             self.tables.append((Filter(early[inside]), Filter(key[inside]), table))
+        cut = [(k, t) for k, (_, t) in enumerate(self.texts) if most_edits(t)]
+        self.pieces = Pieces(cut)
+        anchored.update(k for k, _ in cut)
         self.short = [k for k in range(len(self.texts)) if k not in anchored]
 
     def distance(self, k: int, text: bytes) -> tuple[int, int]:
@@ -144,15 +206,17 @@ class Items:
 def find(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """``(text, item, start, end, distance)`` of the best place of each item in each text that holds it."""
     pad = bytes(STEPS + 1)
-    buffer = np.frombuffer(b"".join(t + pad for t in texts) + pad, np.uint8)
+    data = b"".join(t + pad for t in texts) + pad
+    buffer = np.frombuffer(data, np.uint8)
     bases = np.cumsum([0] + [len(t) + len(pad) for t in texts])
+    places = bases.tolist()
     starts = word_starts(buffer)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     tried = set()
 
     def attempt(text: int, item: int, at: int) -> None:
         body, item_text = texts[text], items.texts[item][1]
-        most = int(MOST_EDITS * len(item_text))
+        most = most_edits(item_text)
         # hits of one leak lie within a few bytes of each other, and one attempt covers them all
         slot = at // (most + 1)
         if (text, item, slot) in tried:
@@ -178,6 +242,9 @@ def find(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, int
         for k, text, local in zip(key[hits].tolist(), owners.tolist(), (where - bases[owners]).tolist()):
             for item, offset in table[k]:
                 attempt(text, item, local - offset)
+    for at, item, offset in items.pieces.hits(data):
+        text = bisect.bisect_right(places, at) - 1
+        attempt(text, item, at - places[text] - offset)
     for item in items.short:
         for text, body in enumerate(texts):
             at = (b" " + body + b" ").find(b" " + items.texts[item][1] + b" ")
@@ -200,7 +267,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each item of ``benchmark`` (item_id, text) that a row of ``docs`` (doc_id, text) holds.
 
     ``start`` and ``end`` are bytes of the normalised text, ``distance`` is the least number of byte edits, at
-    most ``MOST_EDITS`` of the item's length. Items too short for an anchor (about 20 bytes) count where they stand
+    most ``MOST_EDITS`` of the item's length. Items too short for an edit (up to 12 bytes) count where they stand
     as whole words. Null and empty texts and items hold and match nothing. Repeated rows and items are all
     told. Other columns are ignored.
     """

@@ -312,6 +312,25 @@ def test_leaks(spark, docs, texts, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [14, 20, 40, 80, 113, 200])
+def test_short_items_with_all_edits_are_found(size):
+    draw = random.Random(size)
+    rows = [(k, words(draw, size)[:size].strip().ljust(size, "x")) for k in range(150)]
+    items, texts = decontaminate.Items(rows), []
+    for _, item in rows:
+        out = bytearray(item.encode())
+        for _ in range(int(decontaminate.MOST_EDITS * size)):
+            at, kind = draw.randrange(len(out)), draw.randrange(3)
+            out[at : at + (kind != 1)] = (b"z", b"y", b"")[kind]
+        texts.append(f"{words(draw, 30)} {out.decode()} {words(draw, 30)}".encode())
+    found = {(t, i): d for t, i, _, _, d in decontaminate.find(items, texts)}
+    # against brute force
+    for t, text in enumerate(texts):
+        for i in range(t, min(t + 3, len(texts))):
+            best = items.distance(i, text)[0]
+            assert found.get((t, i)) == (best if best <= int(decontaminate.MOST_EDITS * size) else None)
+
+
 def test_edit_distance():
     draw = random.Random(6)
     for _ in range(60):
