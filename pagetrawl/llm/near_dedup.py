@@ -10,8 +10,8 @@ Documents of one set are one class, represented by the smallest id. Slots make b
 and equal bands make buckets. In a bucket members are compared with one leader, not with each other;
 links join components. Buckets that still hold several components go on: the few members outside
 the largest component meet all of the bucket. Where many documents share no more than a common
-line, all of them meet by their rarest shingles, which loses no pair. Pairs that share two bands of 32,
-and all that share a rare shingle, are confirmed on their full sets.
+line, all of them meet by their rarest shingles, which loses no pair. Pairs that share one band of 32
+or a rare shingle are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ SHINGLE, SLOTS, BAND = 5, 128, 4
 LEAST_PERCENT = 75
 #: Rounds in which a bucket's members meet one leader each.
 STAR_ROUNDS = 3
-#: Bands that a pair must share; at a similarity of 0.75 ten of 32 are expected, and chance leaves less than two in 9 of 100,000 cases.
-LEAST_BANDS = 2
+#: Bands that a pair of a bucket must share: at a similarity of 0.75 none of 32 is shared in 5 of a million cases. More would lose pairs.
+LEAST_BANDS = 1
 #: Up to so many members outside a bucket's largest component are compared with all of the bucket.
 FEW = 16
 #: Documents with more bands in undecided large buckets meet by their rarest shingles. Any other number than 0 loses pairs.

@@ -224,6 +224,13 @@ def test_pairs_of_one_large_undecided_bucket(spark):
     assert found is not None and {(r["id"], r["component"]) for r in found.collect()} == {(7, 7), (40, 7)}
 
 
+def test_one_band_is_enough(spark):
+    text = words(random.Random(10), 60)
+    texts = spark.createDataFrame([(1, text, [1, 2, 3]), (2, f"{text} more", [1, 5, 6])], "doc_id long, text string, bands array<long>")
+    pairs = spark.createDataFrame([(2, 1)], "a long, b long")
+    assert [tuple(r) for r in near_dedup.confirmed(pairs, texts).collect()] == [(2, 1)]
+
+
 def test_signatures_are_permuted_ranks():
     rng = np.random.default_rng(2)
     a, b = (rng.integers(0, 2**63, 900).astype(np.uint64) for _ in range(2))
