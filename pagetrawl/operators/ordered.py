@@ -1,9 +1,10 @@
 """Ordered scans of a group: numbering, stopping, list building.
 
-A group is cut into buckets of its integer order column, so one that holds a
-third of all rows is numbered by many tasks: rows are ranked inside their
-bucket, and the number of rows in earlier buckets, taken from a small
-per-bucket count, is added.
+Rows are range-partitioned on (group, order) by sampled bounds and sorted within
+their partition, so a group that holds a third of all rows, or one whose order
+values lie far apart, still spreads over many tasks. A row's position is its
+place inside its partition plus the rows of its group in earlier partitions,
+taken from a small table of per-partition group counts.
 """
 
 from __future__ import annotations
@@ -11,61 +12,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# a bucket spans at least 2 ** BITS values of the order column
-BITS = 16
-MAX_BUCKETS = 1 << 20
+from pagetrawl.session import settle
 
+#: Offsets of at most this many (partition, group) pairs are broadcast; more are joined by a shuffle.
+BROADCAST_OFFSETS = 1_000_000
 
-def order_bits(rows: DataFrame, order: str) -> int:
-    """Bucket size for an order column of far-apart numbers, such as hashed ids.
 
-    One pass over the column finds its span, and buckets are made wide enough
-    that no group has more than ``MAX_BUCKETS`` of them.
+def ranked(rows: DataFrame, part: tuple, order: str, holds: Column | None = None, partitions: int | None = None) -> DataFrame:
+    """``rows`` with ``_n``, the position from 1 of each row in its group by ``order``, and ``_stop``.
+
+    ``_stop`` is the least ``order`` of the group where ``holds`` is not true (null: none, or no ``holds``).
+    Rows without ``order`` have no place and are left out; null groups are groups. The sorted rows
+    are written once, so the sampled bounds are fixed for every pass that follows and a lost
+    executor recomputes nothing before them.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    return max(BITS, ((high or 0) - (low or 0)).bit_length() - MAX_BUCKETS.bit_length() + 1)
-
-
-def _with_offsets(rows: DataFrame, part: tuple, order: str, bits: int | None, holds: Column) -> DataFrame:
-    """Adds ``_g`` (group and bucket), rows ``_before`` it in the group, and where to ``_stop``."""
-    rows = rows.where(F.col(order).isNotNull())
-    bits = order_bits(rows, order) if bits is None else bits
-    # one struct as key: null groups stay groups, and join and rank share a partitioning
-    marked = rows.withColumn("_g", F.struct(*part, F.shiftright(order, bits).alias("_bucket")))
-    gap = F.when(~F.coalesce(holds, F.lit(False)), F.col(order))
-    counted = marked.groupBy("_g").agg(F.count("*").alias("_n"), F.min(gap).alias("_gap"))
-    group = [F.col(f"_g.{c}") for c in part]
-    earlier = Window.partitionBy(*group).orderBy("_g._bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select(
-        "_g",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.min("_gap").over(Window.partitionBy(*group)).alias("_stop"),
-    )
-    return marked.join(offsets, "_g")
-
-
-def enumerate_rows(rows: DataFrame, part: tuple, order: str, start: int = 1, bits: int | None = None) -> DataFrame:
+    spark = rows.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gap = F.when(~F.coalesce(holds, F.lit(False)), F.col(order)) if holds is not None else F.lit(None).cast(rows.schema[order].dataType)
+    keyed = rows.where(F.col(order).isNotNull()).withColumn("_g", F.struct(*part)).withColumn("_gap", gap)
+    spread = keyed.repartitionByRange(n, "_g", order).sortWithinPartitions("_g", order)
+    placed = settle(spread.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranked")
+    counts = placed.groupBy("_p", "_g").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"), F.min("_gap").alias("_gp"))
+    earlier = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settle(
+        counts.select(
+            "_p", "_g", "_first",
+            F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
+            F.min("_gp").over(Window.partitionBy("_g")).alias("_stop"),
+        ),
+        "offsets",
+    )
+    if offsets.count() <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    joined = placed.join(offsets, ["_p", "_g"])
+    return joined.withColumn("_n", F.col("_i") - F.col("_first") + F.col("_before") + 1).drop("_p", "_g", "_i", "_first", "_before", "_gap")
+
+
+def enumerate_rows(rows: DataFrame, part: tuple, order: str, start: int = 1) -> DataFrame:
     """Position ``n`` of each row in its group, from ``start``.
 
-    ``order`` is an integer column, unique within a group; rows without it have no place and are left out.
-    ``bits`` is a bucket's width as a power of two; without it one pass over the column finds one
-    that suits dense and far-apart numbers alike.
+    ``order`` is a column unique within a group; rows without it have no place and are left out.
+    Dense and far-apart values alike are spread by sampled range bounds.
     """
-    return take_while(rows, part, order, F.lit(True), start, bits)
+    return take_while(rows, part, order, F.lit(True), start)
 
 
-def take_while(
-    rows: DataFrame, part: tuple, order: str, holds: Column, start: int = 1, bits: int | None = None
-) -> DataFrame:
-    """Rows of each group before the first one where ``holds`` is not true.
+def take_while(rows: DataFrame, part: tuple, order: str, holds: Column, start: int = 1) -> DataFrame:
+    """Rows of each group before the first one where ``holds`` is not true (null counts as not true).
 
-    ``n`` is a row's position in the group; ``order`` and ``bits`` are those of :func:`enumerate_rows`.
+    ``n`` is a row's position in the group; ``order`` is that of :func:`enumerate_rows`.
     """
-    joined = _with_offsets(rows, part, order, bits, holds)
-    kept = joined.where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))
-    rank = F.row_number().over(Window.partitionBy("_g").orderBy(order))
-    n = (rank + F.col("_before") + F.lit(start - 1)).alias("n")
-    return kept.select("*", n).drop("_g", "_before", "_stop")
+    found = ranked(rows, part, order, holds)
+    kept = found.where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))
+    return kept.withColumn("n", F.col("_n") + F.lit(start - 1)).drop("_n", "_stop")
 
 
 def assemble_list(rows: DataFrame, part: tuple, text: Column, n: str = "n", chunk: int = 1_000) -> DataFrame:
