@@ -19,9 +19,9 @@ BROADCAST_OFFSETS = 1_000_000
 
 
 def ranked(rows: DataFrame, part: tuple, order: str, holds: Column | None = None, partitions: int | None = None) -> DataFrame:
-    """``rows`` with ``_n``, the position from 1 of each row in its group by ``order``, and ``_stop``.
+    """``rows`` with ``_n``, the position from 1 of each row in its group by ``order``, ``_size`` and ``_stop``.
 
-    ``_stop`` is the least ``order`` of the group where ``holds`` is not true (null: none, or no ``holds``).
+    ``_size`` is the number of rows of the group; ``_stop`` is the least ``order`` of the group where ``holds`` is not true (null: none, or no ``holds``).
     Rows without ``order`` have no place and are left out; null groups are groups. The sorted rows
     are written once, so the sampled bounds are fixed for every pass that follows and a lost
     executor recomputes nothing before them.
@@ -39,6 +39,7 @@ def ranked(rows: DataFrame, part: tuple, order: str, holds: Column | None = None
             "_p", "_g", "_first",
             F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
             F.min("_gp").over(Window.partitionBy("_g")).alias("_stop"),
+            F.sum("_c").over(Window.partitionBy("_g")).alias("_size"),
         ),
         "offsets",
     )
@@ -64,7 +65,7 @@ def take_while(rows: DataFrame, part: tuple, order: str, holds: Column, start: i
     """
     found = ranked(rows, part, order, holds)
     kept = found.where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))
-    return kept.withColumn("n", F.col("_n") + F.lit(start - 1)).drop("_n", "_stop")
+    return kept.withColumn("n", F.col("_n") + F.lit(start - 1)).drop("_n", "_stop", "_size")
 
 
 def assemble_list(rows: DataFrame, part: tuple, text: Column, n: str = "n", chunk: int = 1_000) -> DataFrame:
