@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import decontaminate, near_dedup, near_vectors, packing, pii, quality, site_style, suffix_dedup, token_files, toxicity
+from pagetrawl.llm import decontaminate, merkle, near_dedup, near_vectors, packing, pii, quality, site_style, suffix_dedup, token_files, toxicity
 from pagetrawl.llm.common import table
 
 
@@ -78,5 +78,22 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.token_files(table(spark, d, "documents"), vocabulary("word_bpe_49k.json")).drop("file")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_main_text": op7_main_text, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files}
+#: Fixed values of the contract: the upper-case letters that tampering lowers, and the fields of a leaf.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle(spark: SparkSession, d: str) -> DataFrame:
+    """A Merkle manifest of all documents, with the proof of each and its check after tampering."""
+    docs = table(spark, d, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = [F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in LEAF_FIELDS]
+    tamper = F.when(hit, merkle.leaf_digest(*lowered))
+    found = merkle.manifest(docs, "doc_id", "source", LEAF_FIELDS, tamper)
+    return found.proofs.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", F.col("group").alias("source")
+    )
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_main_text": op7_main_text, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files, "op11_merkle": op11_merkle}
 ORACLE: dict[str, str] = {}
