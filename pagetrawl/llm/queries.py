@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import decontaminate, merkle, near_dedup, near_vectors, packing, pii, quality, site_style, suffix_dedup, token_files, toxicity
+from pagetrawl.llm import decontaminate, merkle, near_dedup, near_vectors, packing, pii, quality, quality_rules, site_style, suffix_dedup, token_files, toxicity
 from pagetrawl.llm.common import table
 
 
@@ -95,5 +95,10 @@ def op11_merkle(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_main_text": op7_main_text, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files, "op11_merkle": op11_merkle}
+def op12_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Base quality counts of all documents and the verdict of robust outliers per language and source."""
+    return quality_rules.quality_rules(table(spark, d, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_main_text": op7_main_text, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files, "op11_merkle": op11_merkle, "op12_quality_rules": op12_quality_rules}
 ORACLE: dict[str, str] = {}
