@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import decontaminate, merkle, near_dedup, near_vectors, packing, pii, quality, quality_rules, site_style, suffix_dedup, token_files, toxicity
+from pagetrawl.llm import conversation_repair, decontaminate, merkle, near_dedup, near_vectors, packing, pii, quality, quality_rules, site_style, suffix_dedup, token_files, toxicity
 from pagetrawl.llm.common import table
 
 
@@ -100,5 +100,11 @@ def op12_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, d, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_main_text": op7_main_text, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files, "op11_merkle": op11_merkle, "op12_quality_rules": op12_quality_rules}
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged conversations, their faults and the cheapest repair of their structure."""
+    found = conversation_repair.repair(table(spark, d, "conversations"))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256", "n_rows", "most_live")
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_main_text": op7_main_text, "op8_near_vectors": op8_near_vectors, "op9_toxicity": op9_toxicity, "op10_token_files": op10_token_files, "op11_merkle": op11_merkle, "op12_quality_rules": op12_quality_rules, "op13_conversation_repair": op13_conversation_repair}
 ORACLE: dict[str, str] = {}
