@@ -199,6 +199,13 @@ ORACLE = {
         union all select page_id, 1, regexp_replace(url, '([?&]page=)[^&#]*', '\\13') from pages)
       select task_id, kind, url, page_id, case status when 200 then 'ok' when 201 then 'unhandled' else 'failed' end as result
       from t left join c on string_split(t.url, '#')[1] = c.url_key""",
+    "await_pages": """with t as (
+        select page_id as task_id, 0 as kind, url, page_id * 10 as issued from pages
+        union all select page_id, 1, regexp_replace(url, '([?&]page=)[^&#]*', '\\13'), page_id * 10 from pages),
+      c as (select page_id, string_split(url, '#')[1] as k, case when html like '%</html>%' then 200 else 201 end as status,
+        page_id * 10 + (page_id * 37) % 900 as fetched from pages)
+      select t.task_id, t.kind, t.url, c.page_id, case c.status when 200 then 'ok' when 201 then 'unhandled' else 'failed' end as result
+      from t left join c on string_split(t.url, '#')[1] = c.k and c.fetched between t.issued and t.issued + 600""",
     "frontier_rounds": """with recursive edges as (
         select 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation
         union select 'n' || c_nationkey, 'c' || c_custkey from customer

@@ -524,6 +524,58 @@ def stream_commit(spark, d):
     return streams.seen_tasks(spark, seen)
 
 
+#: Event time of the streamed fetches: a task every 10 s from this instant; its page some 0 to 15 minutes later.
+EPOCH, EVERY_S, WAIT_S, FILE_S = 1_704_067_200, 10, 600, 3_600
+
+
+def _time_files(rows: DataFrame, at: str, path: str, close: dict) -> None:
+    """``rows`` as Parquet files of one hour of event time each, written in time order, then two closing marks.
+
+    A closing mark is a row a day (two days) after all others: the watermarks of a stream pass
+    every waiting row, as the next hours of a running crawl would.
+    """
+    spark = rows.sparkSession
+    hour = F.floor(F.unix_timestamp(at) / FILE_S)
+    low, high = rows.agg(F.min(hour), F.max(hour)).first()
+    for k in range(low or 0, (high if high is not None else -1) + 1):
+        rows.where(hour == k).coalesce(1).write.mode("append").parquet(path)
+    last = rows.agg(F.max(F.unix_timestamp(at))).first()[0]
+    for days in (1, 2):
+        when = F.timestamp_seconds(F.lit((EPOCH if last is None else last) + days * 86_400))
+        cols = [
+            when.alias(c) if c == at else F.lit(close.get(c)).cast(rows.schema[c].dataType).alias(c)
+            for c in rows.columns
+        ]
+        spark.range(1).select(*cols).write.mode("append").parquet(path)
+
+
+def await_pages(spark, d):
+    """Tasks of every page's URL and of its page 3; pages arrive after their tasks, a part of them too late.
+
+    Tasks and captures stream in by hour of event time and meet in a stream-stream join: a capture
+    within ``WAIT_S`` after issue fetches the task, a task that met none is released as failed.
+    """
+    pages = _pages(spark, d)
+    url = F.col("url")
+    issued = F.timestamp_seconds(F.lit(EPOCH) + F.col("page_id") * EVERY_S)
+    tasks = pages.select(
+        F.col("page_id").alias("task_id"), F.posexplode(F.array(url, fn.set_url_param(url, "page", 3))).alias("kind", "url"), issued.alias("issued_at")
+    )
+    status = F.when(F.col("html").contains("</html>"), 200).otherwise(201)
+    fetched = F.timestamp_seconds(F.lit(EPOCH) + F.col("page_id") * EVERY_S + F.col("page_id") * 37 % 900)
+    captures = pages.select("page_id", "url", status.alias("status"), fetched.alias("fetched_at"))
+    task_path, page_path = scratch_path(spark, "task-stream"), scratch_path(spark, "page-stream")
+    _time_files(tasks, "issued_at", task_path, {"task_id": -1, "kind": -1, "url": "close:"})
+    _time_files(captures, "fetched_at", page_path, {"page_id": -1, "url": "close:", "status": 0})
+    task_stream = spark.readStream.schema(tasks.schema).option("maxFilesPerTrigger", 1).parquet(task_path)
+    page_stream = spark.readStream.schema(captures.schema).option("maxFilesPerTrigger", 1).parquet(page_path)
+    met = streams.await_pages(task_stream, page_stream, f"{WAIT_S} seconds", f"{WAIT_S} seconds")
+    out, checkpoint = scratch_path(spark, "awaited"), scratch_path(spark, "awaited-checkpoint")
+    # the closing marks are dropped only from what was written: a filter in the stream would reach below the watermark
+    streams.stream_to(met.select("task_id", "kind", "url", "page_id", "result"), out, checkpoint).awaitTermination()
+    return spark.read.schema("task_id bigint, kind int, url string, page_id bigint, result string").parquet(out).where("task_id >= 0")
+
+
 # --- the stages on the rendered site
 
 
@@ -736,7 +788,7 @@ QUERIES = {
         enumerate_sparse, assemble_list, first_seen, dup_report, unseen, add_to_set, claim, claim_rest, latest_fields,
         upsert_catalogue, merge_metrics, merge_sources, delete_where, pending_scan, start_requests, facet_lists,
         frontier_product, page_expansion, union_tasks, ok_pages, fetch_join, frontier_rounds, retry_ledger,
-        task_roundtrip, write_missing, image_files, stream_dedup, stream_upsert, stream_commit, site_facets, seed_tasks,
+        task_roundtrip, write_missing, image_files, stream_dedup, stream_upsert, stream_commit, await_pages, site_facets, seed_tasks,
         pagination, pages_with_more, site_cards, site_covers, tracklist, tracklist_past_gaps, index_rows,
         index_rejects, index_outcomes, follow_up_tasks, stage_outcomes, linkless_cards, seed_tasks_ok, detail_rows, cover_rows, gallery_store, crawl_catalogue,
         crawl_covers, crawl_gallery, stage_streams, requeue_failed,

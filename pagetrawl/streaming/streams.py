@@ -10,8 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagetrawl.functions.urls import url_key
 from pagetrawl.operators.dedup import dedup_first, unseen
+from pagetrawl.operators.retry import fetch_result
 from pagetrawl.operators.upsert import Upsert
 from pagetrawl.session import settle
 from pagetrawl.sources.catalogue import complete_parts, write_catalogue
@@ -102,3 +105,32 @@ def commit_after_success(
 def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str):
     writer = stream.writeStream.foreachBatch(step).trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint).start()
+
+
+def await_pages(tasks: DataFrame, captures: DataFrame, wait: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Tasks joined with the captures of their URL that arrive within ``wait`` after issue, as a stream.
+
+    A stream-stream left outer join on the URL's fetch key and event time: ``tasks`` has ``url`` and
+    ``issued_at``, ``captures`` has ``page_id``, ``url``, ``status`` and ``fetched_at``. A task waits in
+    state for its pages; each capture within the wait gives a row with ``result`` from its status.
+    Once the watermark passes ``issued_at + wait``, a task that met none is released with a null page
+    and ``result`` ``failed`` (no page). Tasks leave the state ``wait`` plus ``late`` after issue and
+    captures ``late`` after their fetch, so the state holds a window, not the history.
+    """
+    t = tasks.withColumn("_task_key", url_key(F.col("url"))).withWatermark("issued_at", late)
+    c = captures.select(
+        url_key(F.col("url")).alias("_page_key"), "page_id", "status", "fetched_at"
+    ).withWatermark("fetched_at", late)
+    within = (
+        (F.col("_task_key") == F.col("_page_key"))
+        & (F.col("fetched_at") >= F.col("issued_at"))
+        & (F.col("fetched_at") <= F.col("issued_at") + F.expr(f"interval {wait}"))
+    )
+    joined = t.join(c, within, "leftOuter")
+    return joined.withColumn("result", fetch_result(F.col("status"))).drop("_task_key", "_page_key")
+
+
+def stream_to(rows: DataFrame, path: str, checkpoint: str):
+    """Append a stream's rows to Parquet at ``path``, taking what is there and ending."""
+    writer = rows.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    return writer.option("checkpointLocation", checkpoint).start(path)

@@ -174,3 +174,26 @@ def test_the_seen_set_is_folded(spark, tmp_path, monkeypatch):
     assert complete_parts(spark, seen, "v=") == [2, 5]
     found = [r.fp for r in streams.seen_tasks(spark, seen).collect()]
     assert len(found) == len(set(found)) == 9
+
+
+def test_tasks_wait_for_pages_that_arrive_later(spark, tmp_path):
+    """Pages come in later batches than their tasks; one within the wait, one past it, one never."""
+    task_schema = "task_id bigint, url string, issued_at timestamp"
+    page_schema = "page_id bigint, url string, status int, fetched_at timestamp"
+
+    def file(folder, schema, rows):
+        at = schema.split(", ")[-1].split()[0]
+        df = spark.createDataFrame(rows, schema.replace("timestamp", "long"))
+        df.withColumn(at, F.timestamp_seconds(F.lit(1_704_067_200) + F.col(at))).coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
+
+    file("tasks", task_schema, [(1, "http://a.example/x#frag", 0), (2, "http://a.example/y", 0), (3, "http://a.example/z", 10)])
+    file("pages", page_schema, [(10, "http://a.example/x", 200, 100)])
+    file("pages", page_schema, [(11, "http://a.example/y", 200, 900), (12, "http://a.example/x", 201, 500)])
+    for days in (1, 2):  # closing marks
+        file("tasks", task_schema, [(-1, "close:", 86_400 * days)])
+        file("pages", page_schema, [(-1, "close:", 0, 86_400 * days)])
+    read = lambda folder, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / folder))
+    met = streams.await_pages(read("tasks", task_schema), read("pages", page_schema), "600 seconds", "60 seconds")
+    streams.stream_to(met.select("task_id", "page_id", "result"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).where("task_id >= 0")
+    assert rows(got) == [(1, 10, "ok"), (1, 12, "unhandled"), (2, None, "failed"), (3, None, "failed")]
