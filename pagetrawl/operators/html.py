@@ -206,29 +206,79 @@ def html_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(*rest, html).mapInArrow(_parse, schema)
 
 
+#: Element rows handed back to Spark at a time.
+ROWS_OUT = 8_192
+
+
+def _element_rows(batches):
+    """Each element of each page as a row; its ancestors come from a stack of open elements.
+
+    Elements are in document order and ``last`` is an element's last descendant, so an element's
+    ancestors are the stacked ones whose ``last`` reaches it: one push and at most one pop per
+    element, and the work is the size of what is written, not the square of a page.
+    """
+    names = ("key", "node_id", "parent_id", "last", "depth", "tag", "attrs", "text", "path", "anc")
+    out = {n: [] for n in names}
+
+    def flush(schema):
+        batch = pa.RecordBatch.from_arrays([pa.array(out[n], f.type) for n, f in zip(names, schema)], schema=schema)
+        for n in names:
+            out[n] = []
+        return batch
+
+    schema = None
+    for batch in batches:
+        if schema is None:
+            schema = pa.schema([batch.schema.field(0), *[f for f in _ROW_SCHEMA]])
+        keys, pages = batch.column(0).to_pylist(), batch.column(1)
+        for key, nodes in zip(keys, pages):
+            if not nodes.is_valid:
+                continue
+            stack = []  # (id, last, tag, path), outermost first
+            for n in nodes.values.to_pylist():
+                while stack and stack[-1][1] < n["id"]:
+                    stack.pop()
+                path = f"{stack[-1][3]}/{n['tag']}" if stack else n["tag"]
+                for name, value in (
+                    ("key", key), ("node_id", n["id"]), ("parent_id", n["parent"]), ("last", n["last"]), ("depth", len(stack)),
+                    ("tag", n["tag"]), ("attrs", n["attrs"]), ("text", n["text"]), ("path", path), ("anc", [a[0] for a in stack]),
+                ):
+                    out[name].append(value)
+                stack.append((n["id"], n["last"], n["tag"], path))
+                if len(out["key"]) >= ROWS_OUT:
+                    yield flush(schema)
+    if schema is not None:
+        yield flush(schema)
+
+
+def _row_schema() -> list:
+    return [
+        pa.field("node_id", pa.int32()), pa.field("parent_id", pa.int32()), pa.field("last", pa.int32()),
+        pa.field("depth", pa.int32()), pa.field("tag", pa.string()), pa.field("attrs", pa.map_(pa.string(), pa.string())),
+        pa.field("text", pa.string()), pa.field("path", pa.string()), pa.field("anc", pa.list_(pa.int32())),
+    ]
+
+
+_ROW_SCHEMA = _row_schema()
+
+
 def node_rows(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per element: the tree of :func:`html_nodes` as a plain table.
 
-    Ancestors are the elements whose interval holds the element; they are looked up here, for
-    those who want them as columns, and not kept in the tree.
+    Adds ``depth``, ``path`` (tags from the root, ``/``-joined) and ``anc`` (ancestor ids,
+    outermost first), found in one pass over each page with a stack of open elements.
+    Pages without nodes (null HTML) give no rows.
     """
-    nodes = F.col("nodes")
-
-    def row(n):
-        around = F.filter(nodes, lambda m: (m["id"] < n["id"]) & (m["last"] >= n["id"]))
-        return F.struct(
-            n["id"].alias("node_id"),
-            n["parent"].alias("parent_id"),
-            n["last"].alias("last"),
-            n["tag"].alias("tag"),
-            n["attrs"].alias("attrs"),
-            n["text"].alias("text"),
-            F.transform(around, lambda m: F.struct(m["id"].alias("id"), m["tag"].alias("tag"))).alias("around"),
-        )
-
-    # built before the explode, so that no row carries the whole page
-    rows = parsed.select(key, F.inline(F.transform(nodes, row)))
-    return rows.select(
-        key, "node_id", "parent_id", "last", F.size("around").alias("depth"), "tag", "attrs", "text",
-        F.concat_ws("/", "around.tag", "tag").alias("path"), F.col("around.id").alias("anc"),
-    )
+    field = parsed.schema[key]
+    plain = [("node_id", T.IntegerType()), ("parent_id", T.IntegerType()), ("last", T.IntegerType()), ("depth", T.IntegerType()), ("tag", T.StringType())]
+    schema = T.StructType(
+        [T.StructField(key, field.dataType, field.nullable), *[T.StructField(n, t) for n, t in plain]]
+        + [
+            T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("text", T.StringType()),
+            T.StructField("path", T.StringType()),
+            T.StructField("anc", T.ArrayType(T.IntegerType())),
+        ]
+    )
+    found = parsed.select(key, "nodes").mapInArrow(_element_rows, schema)
+    return found.select(key, "node_id", "parent_id", "last", "depth", "tag", "attrs", "text", "path", "anc")

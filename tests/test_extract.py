@@ -232,3 +232,39 @@ def test_any_soup_makes_a_consistent_tree(sources):
             # the slice up to last is exactly the subtree
             assert all(i <= m["parent"] for m in nodes[i + 1 : n["last"] + 1])
             assert all(not i <= m["parent"] <= n["last"] for m in nodes[n["last"] + 1 :])
+
+
+def test_ancestors_are_the_enclosing_elements_and_linear(spark, parse):
+    """Ancestors from the stack walk equal the elements whose interval holds the element; time grows with the rows."""
+    import random
+    import time
+
+    rng = random.Random(4)
+
+    def page(n):
+        parts, open_ = [], []
+        for _ in range(n):
+            if open_ and rng.random() < 0.45:
+                parts.append(f"</{open_.pop()}>")
+            tag = rng.choice(["div", "section", "span", "br", "p"])
+            parts.append(f"<{tag}>t")
+            if tag != "br":
+                open_.append(tag)
+        return "".join(parts) + "".join(f"</{t}>" for t in reversed(open_))
+
+    found = node_rows(parse(page(1_500)))
+    nodes = {r.node_id: r for r in found.collect()}
+    for r in nodes.values():
+        around = sorted(m.node_id for m in nodes.values() if m.node_id < r.node_id and m.last >= r.node_id)
+        assert r.anc == around and r.depth == len(around)
+        assert r.path == "/".join([nodes[a].tag for a in around] + [r.tag])
+
+    def seconds(n):
+        parsed = parse(*[page(n)] * 4).cache()
+        parsed.count()
+        start = time.time()
+        node_rows(parsed).agg(F.sum("depth")).collect()
+        return time.time() - start
+
+    seconds(1_000)
+    assert seconds(16_000) < 40 * max(seconds(1_000), 0.05)
