@@ -30,6 +30,8 @@ from pagetrawl.session import settle
 LEAST_COSINE = 0.93
 CHUNK_BITS, TABLES = 12, 60
 #: Codes that differ in more than this share of their bits are not compared; 12 % are expected at the threshold.
+#: Only codes of at least ``CHUNK_BITS`` bits a rotation are cut so: shorter codes (vectors of fewer dimensions)
+#: have rotations too alike for the share to be a fair count, and all their candidates are compared.
 MOST_BITS = 0.33
 SAMPLE = 20_000
 
@@ -116,9 +118,10 @@ def close_pairs(vectors: DataFrame, codes: Codes) -> DataFrame:
     first = F.coalesce(
         *[F.when(differ[r].bitwiseAND(F.lit(mask << (width * c))) == 0, F.lit(r * codes.chunks + c)) for r in range(n) for c in range(codes.chunks)]
     )
+    near = distance <= int(MOST_BITS * codes.bits * n) if codes.bits >= CHUNK_BITS else F.lit(True)
     pairs = (
         entered.join(other, ["label", "bucket"])
-        .where((F.col("vec_id") < F.col("b")) & (distance <= int(MOST_BITS * codes.bits * n)))
+        .where((F.col("vec_id") < F.col("b")) & near)
         .where(first == F.shiftright("bucket", width))
         .select(F.col("vec_id").alias("a"), "b")
     )

@@ -214,3 +214,24 @@ def test_pipeline_takes_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.settle(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("dim", [2, 3])
+def test_short_vectors_lose_no_link(spark, dim):
+    """Pairs of cosine 0.93 to 0.95 at 2 and 3 dimensions: every link that brute force finds."""
+    draw = np.random.default_rng(dim)
+    a = draw.standard_normal((300, dim))
+    turn = np.linalg.qr(draw.standard_normal((dim, dim)))[0]
+    b = []
+    for v in a:
+        angle = np.arccos(draw.uniform(0.93, 0.95))
+        w = draw.standard_normal(dim)
+        w -= (w @ v) / (v @ v) * v
+        b.append(np.cos(angle) * v / np.linalg.norm(v) + np.sin(angle) * w / np.linalg.norm(w))
+    data = np.concatenate([a, np.array(b)]) @ turn
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(data)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93) & ~np.eye(len(data), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(frame).collect()}
+    assert [got[k] for k in range(len(data))] == links.sum(1).tolist()
