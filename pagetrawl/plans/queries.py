@@ -759,8 +759,7 @@ def stage_streams(spark, d):
     captures = settle(frontier.newest_captures(pages), "captures")
     facts = settle(stages.page_facts(pages, stages.INDEX_FACTS + stages.DETAIL_FACTS), "facts")
     task_source.append_tasks(stages.seed_stage(site.facet_pages(spark, d), YEARS).drop("fp"), path, "search")
-    for _ in range(2):  # the seeds, then the pages they lead to
-        stage_stream.index_stream(spark, path, captures, facts, at=AT, per_page=site.PER_PAGE).awaitTermination()
+    stage_stream.index_until_empty(spark, path, captures, facts, at=AT, per_page=site.PER_PAGE)
     stage_stream.detail_stream(spark, path, captures, facts, at=AT).awaitTermination()
     docs = stage_stream.streamed_catalogue(spark, path)
     return docs.drop("base64url").withColumn("title_list", F.array_join("title_list", "\n"))

@@ -62,6 +62,26 @@ def index_stream(
     return commit_after_success(tasks, work, ("page",), f"{path}/seen-index", f"{path}/checkpoint-index")
 
 
+def until_empty(start) -> int:
+    """Runs ``start()``, an ``availableNow`` query over a queue, again while a run still takes rows.
+
+    Work that a run appends to its own queue (follow-up pages) is taken by the next run; the loop
+    ends with the first run that finds no new task. Returns the number of runs.
+    """
+    runs = 0
+    while True:
+        query = start()
+        query.awaitTermination()
+        runs += 1
+        if not sum(p["numInputRows"] for p in query.recentProgress):
+            return runs
+
+
+def index_until_empty(spark: SparkSession, path: str, captures: DataFrame, facts: DataFrame, **options) -> int:
+    """:func:`index_stream` until the search queue holds no task that was not taken."""
+    return until_empty(lambda: index_stream(spark, path, captures, facts, **options))
+
+
 def detail_stream(
     spark: SparkSession,
     path: str,
