@@ -38,18 +38,24 @@ def local_session(cores="*", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and every executor reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    The cluster names a folder every executor can reach. Only a local session
-    without that setting gets a folder of this machine.
+    A session without one fails on a cluster. Only a local session (tests, benchmarks) gets a
+    folder of this machine, set once as the session's checkpoint folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="pagetrawl-")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagetrawl-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name below :func:`shared_folder`."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
