@@ -269,3 +269,14 @@ def test_product_counts(spark, styles, formats, countries):
     data = [(f, [], [f"{f}{i}" for i in range(n)], []) for f, n in sides.items() if n]
     lists = spark.createDataFrame(data, "facet string, names array<string>, url_names array<string>, counts array<string>")
     assert frontier_product(lists, [2000, 2001]).distinct().count() == 2 * styles * formats * countries
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 500, 999, 1003, 5000])
+def test_claim_by_prefix_counts(spark, n):
+    keys = [f"{k * 2654435761 % 2**32:08x}" for k in range(1000)] + [None, None, "0000ab", "0000aa"]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "fp string, i int")
+    taken, left = claim(df, n)
+    order = sorted(keys, key=lambda k: (k is not None, k or ""))
+    got = [r.fp for r in taken.collect()]
+    assert sorted(got, key=lambda k: (k is not None, k or "")) == order[:n]
+    assert taken.count() + left.count() == len(keys) and taken.join(left, "i").count() == 0
