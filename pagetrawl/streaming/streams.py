@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrawl.functions.urls import url_key
-from pagetrawl.operators.dedup import dedup_first, unseen
+from pagetrawl.operators.dedup import dedup_first
 from pagetrawl.operators.retry import fetch_result
 from pagetrawl.operators.upsert import Upsert
 from pagetrawl.session import settle
@@ -54,25 +54,82 @@ FOLD_AFTER = 32
 SEEN = "fp string"
 
 
-def seen_tasks(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """Fingerprints seen so far (before batch ``below``), None if there are none yet.
+#: Leading characters of a fingerprint that name its bucket folder in a snapshot.
+BUCKET_CHARS = 2
+#: A batch of at most this many fingerprints asks the seen set by a list: only its buckets and row groups are read.
+IN_LIST = 10_000
+
+
+def _bucket(fp: str = "fp"):
+    return F.substring(F.col(fp), 1, BUCKET_CHARS)
+
+
+def _seen_parts(spark: SparkSession, path: str, below: int | None) -> tuple[str | None, list[str]]:
+    """The snapshot (or None) and the log batches of the seen set before batch ``below``; folds a long log first.
 
-    The set is a log of batches (``batch=N``) over a snapshot (``v=N``, batches up to N), ordered by
-    fingerprint. A log of many batches is folded into the next snapshot first: batches before
-    ``below`` are final.
+    A snapshot is written in bucket folders ``b=`` of the fingerprint's first characters, sorted by
+    fingerprint within, with a Parquet Bloom filter on it: a lookup of a few fingerprints reads the
+    footers of its buckets and the row groups that may hold them, not the history.
     """
-    before = lambda prefix: [n for n in complete_parts(spark, path, prefix) if below is None or n < below]
+    before = lambda prefix: [n for n in complete_parts(spark, path, prefix) if below is None or n < below]
     base = before("v=")[-1:]
     log = [n for n in before("batch=") if not base or n > base[0]]
-    parts = [f"{path}/v={n}" for n in base] + [f"{path}/batch={n}" for n in log]
-    if not parts:
-        return None
-    seen = spark.read.schema(SEEN).parquet(*parts)
+    snapshot = f"{path}/v={base[0]}" if base else None
+    logs = [f"{path}/batch={n}" for n in log]
     if below is not None and len(log) >= FOLD_AFTER:
         folded = f"{path}/v={log[-1]}"
-        seen.distinct().repartitionByRange("fp").sortWithinPartitions("fp").write.mode("overwrite").parquet(folded)
-        return spark.read.schema(SEEN).parquet(folded)
-    return seen
+        everything = _read_seen(spark, snapshot, logs).distinct()
+        everything.withColumn("b", _bucket()).repartitionByRange("fp").sortWithinPartitions("fp").write.mode("overwrite").option(
+            "parquet.bloom.filter.enabled#fp", "true"
+        ).partitionBy("b").parquet(folded)
+        return folded, []
+    return snapshot, logs
+
+
+def _read_seen(spark: SparkSession, snapshot: str | None, logs: list[str], asked: list[str] | None = None) -> DataFrame | None:
+    parts = []
+    if snapshot:
+        seen = spark.read.schema(SEEN + ", b string").parquet(snapshot)
+        if asked is not None:
+            seen = seen.where(F.col("b").isin(sorted({a[:BUCKET_CHARS] for a in asked})) & F.col("fp").isin(asked))
+        parts.append(seen.select("fp"))
+    if logs:
+        seen = spark.read.schema(SEEN).parquet(*logs)
+        parts.append(seen.where(F.col("fp").isin(asked)) if asked is not None else seen)
+    if not parts:
+        return None
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def seen_tasks(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """Fingerprints seen so far (before batch ``below``), None if there are none yet.
+
+    The set is a log of batches (``batch=N``) over a snapshot (``v=N``, batches up to N) in bucket
+    folders of the fingerprint. A log of many batches is folded into the next snapshot first:
+    batches before ``below`` are final.
+    """
+    return _read_seen(spark, *_seen_parts(spark, path, below))
+
+
+def seen_among(spark: SparkSession, path: str, below: int, fresh: DataFrame) -> DataFrame | None:
+    """The fingerprints of ``fresh`` that were seen before batch ``below``.
+
+    A batch of at most ``IN_LIST`` distinct fingerprints asks for them by list (pushed to the scan:
+    bucket folders, row group statistics, Bloom filters), so what it reads does not grow with the
+    history; a larger batch is semi-joined with the whole set.
+    """
+    snapshot, logs = _seen_parts(spark, path, below)
+    if snapshot is None and not logs:
+        return None
+    asked = fresh.select("fp").distinct()
+    few = asked.limit(IN_LIST + 1).collect()
+    if len(few) <= IN_LIST:
+        found = _read_seen(spark, snapshot, logs, [r.fp for r in few if r.fp is not None])
+        return found.distinct()
+    return _read_seen(spark, snapshot, logs).join(asked, "fp", "left_semi").distinct()
 
 
 def commit_after_success(
@@ -91,10 +148,10 @@ def commit_after_success(
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        earlier = seen_tasks(batch.sparkSession, seen_path, number)
         fresh = settle(dedup_first(batch, order), "batch")
-        if earlier is not None:
-            fresh = settle(unseen(fresh, earlier), "fresh")
+        known = seen_among(batch.sparkSession, seen_path, number, fresh)
+        if known is not None:
+            fresh = settle(fresh.join(known, "fp", "left_anti"), "fresh")
         outcome = work(fresh, number)
         done = outcome.where("ok").select("fp").distinct()
         done.write.mode("overwrite").parquet(f"{seen_path}/batch={number}")

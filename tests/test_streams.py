@@ -1,5 +1,7 @@
 """Streams against batch: drops, restarts, redelivery, the stages on queues."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +199,17 @@ def test_tasks_wait_for_pages_that_arrive_later(spark, tmp_path):
     streams.stream_to(met.select("task_id", "page_id", "result"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).where("task_id >= 0")
     assert rows(got) == [(1, 10, "ok"), (1, 12, "unhandled"), (2, None, "failed"), (3, None, "failed")]
+
+
+def test_small_batches_ask_the_seen_set_by_list(spark, tmp_path, monkeypatch):
+    """After a fold, a batch of few fingerprints reads only their buckets, by a list pushed to the scan."""
+    monkeypatch.setattr(streams, "FOLD_AFTER", 3)
+    path = str(tmp_path / "seen")
+    for n in range(4):
+        spark.range(n * 500, n * 500 + 500).select(F.sha2(F.col("id").cast("string"), 256).alias("fp")).write.parquet(f"{path}/batch={n}")
+    fresh = spark.range(0, 3000, 250).select(F.sha2(F.col("id").cast("string"), 256).alias("fp"))
+    known = streams.seen_among(spark, path, 10, fresh)
+    assert known.count() == 8  # ids 0 to 1750 were seen
+    assert streams.seen_tasks(spark, path).count() == 2000
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[b#\d+ INSET", plan) and "PushedFilters: [In(fp" in plan
