@@ -235,3 +235,27 @@ def test_short_vectors_lose_no_link(spark, dim):
     links = (unit @ unit.T >= 0.93) & ~np.eye(len(data), dtype=bool)
     got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(frame).collect()}
     assert [got[k] for k in range(len(data))] == links.sum(1).tolist()
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components_by_distributed_rounds(spark, monkeypatch, seed):
+    """A block of 8 links sends even small inputs through the rounds of large and small stars."""
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    rng = np.random.default_rng(seed)
+    chain = [(k + 1, k) for k in range(60)]
+    rand = [tuple(map(int, rng.integers(100, 220, 2))) for _ in range(120)]
+    pairs = chain + rand + [(500, 500)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            ra, rb = root(a), root(b)
+            parent[max(ra, rb)] = min(ra, rb)
+    expected = {x: root(x) for x in parent if any(x in p and p[0] != p[1] for p in pairs)}
+    found = graph.components(spark.createDataFrame(pairs, "a long, b long").repartition(5))
+    assert {r["id"]: r["component"] for r in found.collect()} == expected
