@@ -79,6 +79,12 @@ class Upsert:
         names = [f.name for f in _fields(self.types)]
         return state.select(*[n if n == self.key else f"{where[n]}.{n}" for n in names])
 
+    def document(self) -> Column:
+        """A merged state row's catalogue fields (the key left out) as one struct."""
+        where = {f.name: n for n, (_, kind) in self.groups.items() for f in kind.fields[1:]}
+        names = [f.name for f in _fields(self.types) if f.name != self.key]
+        return F.struct(*[F.col(f"{where[n]}.{n}").alias(n) for n in names])
+
     def latest_fields(self, updates: DataFrame, source: str | Column) -> DataFrame:
         """Catalogue rows from updates alone: per key and field the last write."""
         return self.documents(self.merge(self.state(updates, source)))

@@ -59,6 +59,11 @@ def catalogue_state(spec: Upsert, spark: SparkSession, *paths: str) -> DataFrame
     return _merged(spec, spark, [part for path in paths for part in _parts(spark, path)])
 
 
+def state_before(spec: Upsert, spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """The merged rows of what one writer stored before batch ``batch``."""
+    return _merged(spec, spark, _parts(spark, path, batch))
+
+
 def read_catalogue(spec: Upsert, spark: SparkSession, *paths: str) -> DataFrame:
     """The catalogue: one row per key, every field as last written."""
     return spec.documents(catalogue_state(spec, spark, *paths))

@@ -17,7 +17,7 @@ from pagetrawl.operators.dedup import dedup_first
 from pagetrawl.operators.retry import fetch_result
 from pagetrawl.operators.upsert import Upsert
 from pagetrawl.session import settle
-from pagetrawl.sources.catalogue import complete_parts, write_catalogue
+from pagetrawl.sources.catalogue import complete_parts, state_before, write_catalogue
 
 
 def stream_dedup(tasks: DataFrame, path: str, checkpoint: str, within: tuple[str, str] | None = None):
@@ -36,19 +36,57 @@ def stream_dedup(tasks: DataFrame, path: str, checkpoint: str, within: tuple[str
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
-def stream_upsert(spec: Upsert, updates: DataFrame, source, path: str, checkpoint: str):
+def stream_upsert(spec: Upsert, updates: DataFrame, source, path: str, checkpoint: str, metrics: str | None = None):
     """Upsert every micro-batch into the catalogue at ``path``.
 
     Offsets are committed after the batch is stored, and a batch that is
-    repeated replaces itself: each update counts once.
+    repeated replaces itself: each update counts once. With ``metrics``, each
+    batch also stores how many documents it inserted, modified and left as they
+    were (see :func:`observed_upsert`).
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        write_catalogue(spec, spec.state(batch, source), path, number)
+        if metrics is None:
+            write_catalogue(spec, spec.state(batch, source), path, number)
+        else:
+            observed_upsert(spec, spec.state(batch, source), path, number, metrics)
 
     return _start(updates, store, checkpoint)
 
 
+METRICS = "batch long, inserted long, modified long, unchanged long"
+
+
+def observed_upsert(spec: Upsert, state: DataFrame, path: str, number: int, metrics: str) -> dict:
+    """Store one batch and count its effect in the same pass, by ``observe``.
+
+    Only the batch's keys are read from what was stored before; their merged rows are written as the
+    batch (merging is idempotent, so this is the same catalogue) and, on the way, compared with the
+    documents they replace: inserted (a new key), modified, unchanged. The counts go to
+    ``metrics/batch=N``; a repeated batch replaces both.
+    """
+    from pyspark.sql import Observation
+
+    spark = state.sparkSession
+    batch = spec.merge(state)
+    old = state_before(spec, spark, path, number).join(batch.select(spec.key), spec.key, "left_semi")
+    after = spec.merge(old.unionByName(batch))
+    previous = old.select(spec.key, spec.document().alias("_old"))
+    flagged = after.join(previous, spec.key, "left").withColumn("_new", spec.document())
+    seen = Observation(f"upsert-{number}")
+    counted = flagged.observe(
+        seen,
+        F.count_if(F.col("_old").isNull()).alias("inserted"),
+        F.count_if(F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.col("_new"))).alias("modified"),
+        F.count_if(F.col("_old").eqNullSafe(F.col("_new"))).alias("unchanged"),
+    )
+    counted.select(*spec.schema.names).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    found = seen.get
+    row = (number, found["inserted"], found["modified"], found["unchanged"])
+    spark.createDataFrame([row], METRICS).coalesce(1).write.mode("overwrite").parquet(f"{metrics}/batch={number}")
+    return found
+
+
 #: Batches of the seen set after which it is folded into a snapshot.
 FOLD_AFTER = 32
 SEEN = "fp string"

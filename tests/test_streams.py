@@ -213,3 +213,26 @@ def test_small_batches_ask_the_seen_set_by_list(spark, tmp_path, monkeypatch):
     assert streams.seen_tasks(spark, path).count() == 2000
     plan = known._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[b#\d+ INSET", plan) and "PushedFilters: [In(fp" in plan
+
+
+def test_upsert_counts_each_batch_in_its_write(spark, tmp_path):
+    """Inserted, modified and unchanged per batch, observed while writing, equal the full join of before and after."""
+    from pagetrawl.operators.upsert import merge_metrics
+
+    source, out, cp, metrics = (str(tmp_path / p) for p in ("in", "out", "cp", "metrics"))
+    data = [(f"k{i % 5}", "index" if i % 3 else "detail", f"v{i}", f"v{i}", f"{i:03}", i * 7 % 20, i) for i in range(20)]
+    data += [data[0], data[3]]  # writes that change nothing
+    parts = (data[:8], data[8:14], data[14:] + [(f"k{9}", "index", "x", "x", "000", 1, 99)])
+    expected = []
+    for number, part in enumerate(parts):
+        before = read_catalogue(SPEC, spark, out) if number else None
+        drop(spark, part, source, UPDATE)
+        stream_upsert(SPEC, read_pages_stream(spark, source, 1, UPDATE), F.col("source"), out, cp, metrics).awaitTermination()
+        after = read_catalogue(SPEC, spark, out)
+        keys = spark.createDataFrame(part, UPDATE).select(SPEC.key).distinct()
+        old = before.join(keys, SPEC.key, "left_semi") if before is not None else after.limit(0)
+        counts = merge_metrics(old, after.join(keys, SPEC.key, "left_semi"), SPEC.key).first()
+        expected.append((number, *counts))
+    got = spark.read.parquet(metrics).select("batch", "inserted", "modified", "unchanged")
+    assert rows(got) == sorted(expected, key=str)
+    assert rows(read_catalogue(SPEC, spark, out)) == rows(SPEC.latest_fields(spark.createDataFrame(data + list(parts[2][-1:]), UPDATE), F.col("source")))
