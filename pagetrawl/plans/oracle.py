@@ -171,6 +171,16 @@ ORACLE = {
       count(*) filter (where b.user_id is not null and (a.event_id, a.value, a.props) is distinct from (b.event_id, b.value, b.props)) as modified,
       count(*) filter (where b.user_id is not null and (a.event_id, a.value, a.props) is not distinct from (b.event_id, b.value, b.props)) as unchanged
       from a left join b using (user_id)""",
+    "stream_metrics": " union all ".join(
+        f"""select cast({k} as bigint) as batch,
+          count(*) filter (where b.user_id is null) as inserted,
+          count(*) filter (where b.user_id is not null and (a.event_id, a.value, a.props) is distinct from (b.event_id, b.value, b.props)) as modified,
+          count(*) filter (where b.user_id is not null and (a.event_id, a.value, a.props) is not distinct from (b.event_id, b.value, b.props)) as unchanged
+        from (select distinct user_id from events where event_id % 4 = {k}) keys
+          join ({_latest(f"event_id % 4 <= {k}")}) a using (user_id)
+          left join ({_latest(f"event_id % 4 < {k}")}) b using (user_id)"""
+        for k in range(4)
+    ),
     "merge_sources": """select coalesce(o_orderkey, l_orderkey) as order_key, o_orderstatus as status, o_totalprice as total,
         l_partkey as part, l_quantity as quantity
       from orders full join (select *, row_number() over (partition by l_orderkey

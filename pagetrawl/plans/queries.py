@@ -511,6 +511,22 @@ def stream_upsert(spark, d):
     return catalogue.read_catalogue(EVENT_DOCS, spark, path)
 
 
+#: Drops of events that ``stream_metrics`` upserts one after another: those with ``event_id % DROPS == k``.
+DROPS = 4
+
+
+def stream_metrics(spark, d):
+    """Events upserted in drops, one streamed batch each: per batch its inserted, modified and unchanged documents."""
+    events = _table(spark, d, "events")
+    source, path = scratch_path(spark, "metric-events"), scratch_path(spark, "metric-docs")
+    checkpoint, metrics = scratch_path(spark, "metric-checkpoint"), scratch_path(spark, "metrics")
+    for k in range(DROPS):
+        events.where(F.col("event_id") % DROPS == k).coalesce(1).write.mode("append").parquet(source)
+        stream = page_source.read_pages_stream(spark, source, 1, EVENT)
+        streams.stream_upsert(EVENT_DOCS, stream, F.col("event_type"), path, checkpoint, metrics).awaitTermination()
+    return spark.read.schema(streams.METRICS).parquet(metrics)
+
+
 def stream_commit(spark, d):
     """Items tried by error and purchase events: seen once a purchase was among a batch."""
     events = _event_stream(spark, d, 2).where("event_type in ('error', 'purchase')")
@@ -787,7 +803,7 @@ QUERIES = {
         enumerate_sparse, assemble_list, first_seen, dup_report, unseen, add_to_set, claim, claim_rest, latest_fields,
         upsert_catalogue, merge_metrics, merge_sources, delete_where, pending_scan, start_requests, facet_lists,
         frontier_product, page_expansion, union_tasks, ok_pages, fetch_join, frontier_rounds, retry_ledger,
-        task_roundtrip, write_missing, image_files, stream_dedup, stream_upsert, stream_commit, await_pages, site_facets, seed_tasks,
+        task_roundtrip, write_missing, image_files, stream_dedup, stream_upsert, stream_metrics, stream_commit, await_pages, site_facets, seed_tasks,
         pagination, pages_with_more, site_cards, site_covers, tracklist, tracklist_past_gaps, index_rows,
         index_rejects, index_outcomes, follow_up_tasks, stage_outcomes, linkless_cards, seed_tasks_ok, detail_rows, cover_rows, gallery_store, crawl_catalogue,
         crawl_covers, crawl_gallery, stage_streams, requeue_failed,
