@@ -542,27 +542,34 @@ def stream_commit(spark, d):
 
 #: Event time of the streamed fetches: a task every 10 s from this instant; its page some 0 to 15 minutes later.
 EPOCH, EVERY_S, WAIT_S, FILE_S = 1_704_067_200, 10, 600, 3_600
+#: Files a stream is written in at most: each is a batch, whose cost is mostly fixed, so a longer span has longer files.
+TIME_FILES = 4
 
 
 def _time_files(rows: DataFrame, at: str, path: str, close: dict) -> None:
-    """``rows`` as Parquet files of one hour of event time each, written in time order, then two closing marks.
+    """``rows`` as Parquet files of one or more whole hours of event time each, written in time order, then two closing marks.
 
+    The rows are dealt to their files in one pass; a file is then written from its own rows alone.
     A closing mark is a row a day (two days) after all others: the watermarks of a stream pass
     every waiting row, as the next hours of a running crawl would.
     """
     spark = rows.sparkSession
-    hour = F.floor(F.unix_timestamp(at) / FILE_S)
-    low, high = rows.agg(F.min(hour), F.max(hour)).first()
-    for k in range(low or 0, (high if high is not None else -1) + 1):
-        rows.where(hour == k).coalesce(1).write.mode("append").parquet(path)
-    last = rows.agg(F.max(F.unix_timestamp(at))).first()[0]
+    timed = settle(rows.where(F.col(at).isNotNull()).withColumn("_hour", F.floor(F.unix_timestamp(at) / FILE_S)), "timed")
+    low, high, last = timed.agg(F.min("_hour"), F.max("_hour"), F.max(F.unix_timestamp(at))).first()
+    if last is not None:
+        hours = -(-(high - low + 1) // TIME_FILES)
+        dealt = scratch_path(spark, "dealt")
+        by_file = timed.withColumn("_file", F.floor((F.col("_hour") - low) / hours)).drop("_hour")
+        by_file.repartition("_file").write.partitionBy("_file").parquet(dealt)
+        for k in [r[0] for r in by_file.select("_file").distinct().sort("_file").collect()]:
+            spark.read.schema(rows.schema).parquet(f"{dealt}/_file={k}").coalesce(1).write.mode("append").parquet(path)
     for days in (1, 2):
         when = F.timestamp_seconds(F.lit((EPOCH if last is None else last) + days * 86_400))
         cols = [
             when.alias(c) if c == at else F.lit(close.get(c)).cast(rows.schema[c].dataType).alias(c)
             for c in rows.columns
         ]
-        spark.range(1).select(*cols).write.mode("append").parquet(path)
+        spark.range(1).select(*cols).coalesce(1).write.mode("append").parquet(path)
 
 
 def await_pages(spark, d):

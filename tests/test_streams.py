@@ -236,3 +236,16 @@ def test_upsert_counts_each_batch_in_its_write(spark, tmp_path):
     got = spark.read.parquet(metrics).select("batch", "inserted", "modified", "unchanged")
     assert rows(got) == sorted(expected, key=str)
     assert rows(read_catalogue(SPEC, spark, out)) == rows(SPEC.latest_fields(spark.createDataFrame(data + list(parts[2][-1:]), UPDATE), F.col("source")))
+
+
+def test_time_files_are_few_and_in_order(spark, tmp_path):
+    """Forty hours of event time: a few files of whole hours, earlier hours in earlier files, every row once."""
+    from pagetrawl.plans import queries
+
+    path = str(tmp_path / "timed")
+    at = F.timestamp_seconds(F.lit(queries.EPOCH) + F.col("id") * 1800).alias("at")
+    queries._time_files(spark.range(80).select("id", at).union(spark.sql("select 99L, cast(null as timestamp)")), "at", path, {"id": -1})
+    files = sorted((tmp_path / "timed").glob("part-*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    ids = [[r.id for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(files) <= queries.TIME_FILES + 2 and ids[-2:] == [[-1], [-1]]
+    assert [i for part in ids[:-2] for i in sorted(part)] == list(range(80))
