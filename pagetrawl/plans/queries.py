@@ -482,9 +482,9 @@ def image_files(spark, d):
     """A file per supplier, read back as images by name."""
     path = scratch_path(spark, "image-files")
     rows = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.lower(F.hex(F.encode("s_name", "utf-8"))).alias("value"))
-    rows.repartition("key").write.partitionBy("key").text(path)
+    images.write_files(rows, path, "key", "value", ".txt")
     files = page_source.read_images(spark, path, "*.txt")
-    key = F.regexp_extract("path", "key=([0-9]+)/", 1).cast("long").alias("s_suppkey")
+    key = F.regexp_extract("path", r"key=([0-9]+)\.txt", 1).cast("long").alias("s_suppkey")
     return files.select(key, F.md5("content").alias("digest"))
 
 

@@ -19,8 +19,21 @@ def read_pages_stream(spark: SparkSession, path: str, max_files: int = 1000, sch
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+#: Tasks that list folders at most, per core: Spark's own choice is a task for each folder up to 10,000.
+LIST_TASKS = 4
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
 def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Image files as rows ``path, content``, subfolders included."""
+    """Image files as rows ``path, content``, subfolders included.
+
+    The files are listed once, here: by a few tasks of many folders each rather than a task a folder.
+    """
     reader = spark.read.format("binaryFile").schema(BINARY_FILE)
     options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
-    return reader.options(**options).load(path).select("path", "content")
+    before = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, LIST_TASKS * spark.sparkContext.defaultParallelism)
+    try:
+        return reader.options(**options).load(path).select("path", "content")
+    finally:
+        spark.conf.set(_LISTING, before)

@@ -10,6 +10,7 @@ from pagetrawl.operators.dedup import absent_only
 from pagetrawl.schemas import IMAGE, PAGE, SEED_TASK
 from pagetrawl.session import scratch_path, settle
 from pagetrawl.sources.catalogue import compact, complete_parts, read_catalogue, write_catalogue
+from pagetrawl.sources import images
 from pagetrawl.sources.images import write_missing_images
 from pagetrawl.sources.pages import read_images, read_pages, read_pages_stream
 from pagetrawl.sources.tasks import append_batch, append_tasks, queue_path, read_tasks
@@ -110,3 +111,17 @@ def test_data_without_commit_marks_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="_SUCCESS"):
         complete_parts(spark, path, "batch=")
     assert complete_parts(spark, str(tmp_path / "none"), "batch=") == []
+
+
+def test_files_of_many_keys_in_few_folders(spark, tmp_path):
+    """A file a key, its lines together, but no folder a key; listing leaves the session's setting as it was."""
+    data = [(i, f"t{i}") for i in range(600)] + [(7, "t7"), (8, None), (None, "n")]
+    path = str(tmp_path / "files")
+    images.write_files(spark.createDataFrame(data, "key long, value string"), path, "key", "value", ".txt")
+    assert len(list((tmp_path / "files").iterdir())) <= images.FOLDERS
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    found = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in read_images(spark, path, "*.txt").collect()}
+    assert spark.conf.get(listing) == before
+    assert len(found) == 601 and found["key=599.txt"] == b"t599\n" and found["key=7.txt"] == b"t7\nt7\n"
+    assert sorted(found["key=8.txt"]) == sorted(b"t8\n\n") and found[f"key={images.NULL_KEY}.txt"] == b"n\n"
