@@ -16,7 +16,7 @@ from pagetrawl.operators.html import html_nodes, node_rows
 from pagetrawl.operators.select import anywhere, child, node_attrs, node_texts, select_nodes
 from pagetrawl.plans import site, stages
 from pagetrawl.schemas import SEED_TASK
-from pagetrawl.session import scratch_path, settle, spread
+from pagetrawl.session import bucketed, scratch_path, settle, spread
 from pagetrawl.sources import catalogue, images, pages as page_source, tasks as task_source
 from pagetrawl.streaming import stage_streams as stage_stream, streams
 
@@ -426,15 +426,18 @@ def _edges(spark, d):
 
 def frontier_rounds(spark, d):
     """Every node reached from one region, with the round that finds it."""
-    edges = settle(_edges(spark, d).distinct(), "edges")
     region = _table(spark, d, "region").where("r_name = 'ASIA'")
     key = fn.fingerprint("node").alias("fp")
     seeds = region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node")).select(key, "node")
 
-    def expand(tasks):
-        return tasks.join(edges, tasks.node == edges.src).select(F.col("dst").alias("node")).select(key, "node")
+    with bucketed(_edges(spark, d), "src") as edges:
 
-    return frontier.frontier_rounds(seeds, expand, ("node",)).select("node", "round")
+        def expand(tasks):
+            # only the tasks move, to the buckets; the edges are neither shuffled nor sorted
+            asked = tasks.hint("shuffle_hash")
+            return asked.join(edges, asked.node == edges.src).select(F.col("dst").alias("node")).select(key, "node")
+
+        return frontier.frontier_rounds(seeds, expand, ("node",)).select("node", "round")
 
 
 def retry_ledger(spark, d):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +72,32 @@ def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """The distinct rows of ``df``, written once in buckets of ``key``: joins on it do not shuffle them again.
+
+    For a frame that a loop joins over and over. The table is known to the session's catalogue
+    inside the block only; its files are scratch files.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    # dealt by the key first: the rows to compare are together then, one shuffle does for both
+    rows = df.repartition(n, key).distinct()
+    rows.write.bucketBy(n, key).option("path", scratch_path(spark, name)).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table {name}")
+
+
+def page_batches(spark: SparkSession) -> None:
+    """Few wide rows per Arrow batch, as in ``DEFAULTS``, in a session that names no number itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, DEFAULTS[key])
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` on all cores, for work that costs far more than moving its rows.
 

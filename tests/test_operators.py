@@ -280,3 +280,18 @@ def test_claim_by_prefix_counts(spark, n):
     got = [r.fp for r in taken.collect()]
     assert sorted(got, key=lambda k: (k is not None, k or "")) == order[:n]
     assert taken.count() + left.count() == len(keys) and taken.join(left, "i").count() == 0
+
+
+def test_bucketed_edges_stay_where_they_are(spark):
+    """A join on the buckets' key shuffles the tasks alone; rows are distinct and the catalogue is left as it was."""
+    from pagetrawl.session import bucketed
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), (None, "d")], "src string, dst string")
+    with bucketed(edges, "src") as kept:
+        tasks = spark.createDataFrame([("a",), ("x",)], "node string").hint("shuffle_hash")
+        found = tasks.join(kept, tasks.node == kept.src)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange") < plan.index("FileScan")
+        assert rows(found.select("node", "dst")) == [("a", "b"), ("a", "c")]
+        assert kept.count() == 4
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
