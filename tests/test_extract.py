@@ -268,3 +268,17 @@ def test_ancestors_are_the_enclosing_elements_and_linear(spark, parse):
 
     seconds(1_000)
     assert seconds(16_000) < 40 * max(seconds(1_000), 0.05)
+
+
+def test_parsed_pages_leave_in_small_pieces():
+    """Pages go back to Spark piece by piece, however many come in one batch: all of them, in order."""
+    import pyarrow as pa
+
+    from pagetrawl.operators import html
+
+    pages = [None if i == 5 else "<p>x</p>" * 3_000 for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array(range(40), pa.int64()), "html": pa.array(pages)})
+    out = list(html._parse(iter([batch])))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(40))
+    sizes = [len(b.column(1).flatten()) for b in out]
+    assert sum(sizes) == 39 * 3_000 and max(sizes) <= html.FLUSH_NODES + 3_000
