@@ -199,40 +199,59 @@ def construct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(m), lengths)
     table[np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), owner] = code[flat]
     bwt, lcp, rows = np.zeros(m, np.uint8), np.zeros(m, np.uint8), np.arange(m)
+    # rows by symbol, but for the ends, and how many of each symbol: kept from round to round instead of sorted anew
+    order, counts = np.zeros(0, np.int32), np.zeros(256, np.int64)
     for column in range(longest - 1, -1, -1):
         active = np.flatnonzero(lengths > column)
         at = rows[active]
         bwt[at] = table[column, active]
         n, size = len(bwt), len(bwt) + len(active)
-        order = np.argsort(bwt, kind="stable").astype(np.int32)
-        shift = m - (n - np.count_nonzero(bwt))  # ranks to rows of the new table
-        rank = np.empty(n, np.int32)
-        rank[order] = np.arange(n, dtype=np.int32)
-        place = rank[at] + shift
-        # the common prefix of two new neighbours is one more than the least between their old rows
         sort = np.argsort(at)
-        new_at, new_place = at[sort], place[sort]
+        new_at = at[sort].astype(np.int32)
         symbol = bwt[new_at]
-        own = new_place - shift
+        by = np.argsort(symbol, kind="stable")
+        ascending = gaps(order, counts, symbol, new_at, by) + np.arange(len(by))
+        own = np.empty(len(by), np.int64)
+        own[by] = ascending
+        counts += np.bincount(symbol, minlength=256)
+        stays = np.ones(len(order) + len(by), bool)
+        stays[ascending] = False
+        order, old = np.empty(len(stays), np.int32), order
+        order[stays], order[ascending] = old, new_at[by]
+        new_place = own + m  # the ends come first in the new table
+        rows[active[sort]] = new_place
+        # the common prefix of two new neighbours is one more than the least between their old rows
         before = order[np.maximum(own - 1, 0)]
         joined = (own > 0) & (bwt[before] == symbol)
-        after = order[np.minimum(own + 1, n - 1)]
-        follows = (own + 1 < n) & (bwt[after] == symbol)
+        after = order[np.minimum(own + 1, len(order) - 1)]
+        follows = (own + 1 < len(order)) & (bwt[after] == symbol)
         stays = np.ones(size, bool)
-        stays[place] = False
+        stays[new_place] = False
         grown, prefixes = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         grown[stays], prefixes[stays] = bwt, lcp
-        prefixes[new_place] = 0
         for some, low, high, target in (
             (joined, before + 1, new_at + 1, new_place), (follows, new_at + 1, after + 1, new_place + 1),
         ):
             if some.any():
                 prefixes[target[some]] = np.minimum(range_minima(lcp, low[some], high[some]) + 1, SPAN)
+        # the rows of the old table move down by the new ones above them
+        moved = np.diff(ascending + m - np.arange(len(by)), prepend=0, append=n)
+        order = (np.arange(n, dtype=np.int32) + np.repeat(np.arange(len(moved), dtype=np.int32), moved))[order]
         bwt, lcp = grown, prefixes
-        rows[active] = place
     return bwt, lcp, rows
 
 
+def gaps(order: np.ndarray, counts: np.ndarray, symbol: np.ndarray, at: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Where new rows ``at`` of some symbols, taken in the order ``by`` of symbol and row, come in ``order`` (``counts`` by symbol)."""
+    firsts = np.cumsum(counts) - counts
+    edges = np.cumsum(np.bincount(symbol, minlength=len(counts)))
+    found = np.empty(len(by), np.int64)
+    for c in np.flatnonzero(np.diff(edges, prepend=0)).tolist():
+        some = slice(edges[c - 1] if c else 0, edges[c])
+        found[some] = firsts[c] + np.searchsorted(order[firsts[c] : firsts[c] + counts[c]], at[by[some]])
+    return found
+
+
 def range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The least of ``values[low:high]`` for each non-empty range."""
     order = np.argsort(low, kind="stable")
@@ -285,6 +304,9 @@ def _constructed(batches):
         text, start, group = classes(texts)
         doc, first, salt = (np.array([r[k] for r in rows]) for k in (2, 3, 1))
         h = np.array([r[0] for r in rows])
+        # a string that is alone here is no repeat, and told only for split anchors
+        some = (np.bincount(group)[group] > 1) | (salt[text] >= 0)
+        text, start, group = text[some], start[some], group[some]
         order = np.lexsort((first[text] + start, doc[text], group))
         earliest = np.append(True, group[order][1:] != group[order][:-1])
         lead = order[np.maximum.accumulate(np.where(earliest, np.arange(len(order)), 0))]

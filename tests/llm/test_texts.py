@@ -354,3 +354,21 @@ def test_edit_distance():
 
 def test_helpers():
     assert common.numbered([["a", "b"], ["a"]]) == (["a", "b"], [0, 1, 0])
+
+
+def test_construction_sorts_the_new_rows_only(monkeypatch):
+    draw = random.Random(5)
+    base = words(draw, 200).encode()
+    some = [base[a : a + draw.randint(100, 170)] for a in (draw.randrange(len(base) - 170) for _ in range(60))]
+    sizes, sort = [], np.argsort
+
+    def argsort(x, *args, **kwargs):
+        sizes.append(len(x))
+        return sort(x, *args, **kwargs)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "argsort", argsort)
+        _, _, rows = suffix_dedup.construct(some)
+    assert max(sizes) <= len(some)
+    # the ends of whole texts stand in the order of their texts
+    assert [some[k] for k in np.argsort(rows)] == sorted(some)
