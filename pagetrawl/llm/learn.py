@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrawl.llm.common import held_out, slices, strings
+from pagetrawl.session import text_batches
 
 
 def sigmoid(x):
@@ -50,6 +51,7 @@ def score_texts(docs: DataFrame, score, held: int = 256) -> DataFrame:
             scores = np.asarray(score(strings(batch.column(1))), float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
@@ -61,4 +63,5 @@ def only(docs: DataFrame, choose, held: int = 256) -> DataFrame:
         for batch in slices(batches, held, at):
             yield batch.filter(pa.array(np.asarray(choose(strings(batch.column(at))), bool)))
 
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagetrawl.llm.common import slices, strings
 from pagetrawl.llm.graph import components
-from pagetrawl.session import settle
+from pagetrawl.session import settle, text_batches
 
 SHINGLE, SLOTS, BAND = 5, 128, 4
 #: Links need 100 * intersection >= LEAST_PERCENT * union.
@@ -294,6 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links of all of them; a row without an id is linked with nothing and kept, its component is null.
     Other columns are ignored. An empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     signed = settle(texts.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "signatures")
     linked = signed.where("n_shingles > 0 and doc_id is not null")

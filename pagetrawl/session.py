@@ -98,6 +98,17 @@ def page_batches(spark: SparkSession) -> None:
         spark.conf.set(key, DEFAULTS[key])
 
 
+#: Bytes of an Arrow batch of texts: both ends of the pipe to Python hold a batch, and buffers of about twice its size.
+TEXT_BATCH = "2m"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes for whole texts, in a session that names no size itself; narrow rows are batched as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, TEXT_BATCH)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` on all cores, for work that costs far more than moving its rows.
 
