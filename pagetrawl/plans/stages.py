@@ -191,10 +191,10 @@ def detail_stage(
         told = settle(told, "hits")
         asked = told.select("cover_url").distinct()
         found = images.withColumnRenamed("url", "cover_url").join(asked, "cover_url", "left_semi")
-        coded = found.select("cover_url", image_data_uri(F.col("content")).alias("base64url"))
-        told = told.join(coded, "cover_url", "left")
-        told = told.withColumn("reject", F.coalesce("reject", F.when(F.col("base64url").isNull(), "no image")))
-        extra = ["base64url"]
+        told = told.join(found.select("cover_url", F.col("content").alias("_image")), "cover_url", "left")
+        told = told.withColumn("reject", F.coalesce("reject", F.when(F.col("_image").isNull(), "no image")))
+        # coded when the rows are made: base64 is longer than the bytes and does not compress
+        extra = [image_data_uri(F.col("_image")).alias("base64url")]
     told = settle(told, "told")  # rows, rejects and outcomes read it
     valid, rejects = split_valid(told)
 
@@ -286,7 +286,7 @@ def crawl(
     queued = read_tasks(spark, queues, "detail", "url string, fp string")
     done = detail_stage(dedup_first(queued, ("url",)), captures, facts, at, base, images)
     source = "detail" if images is None else "cover"
-    write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, source), detail_store, 0)
+    write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, source), detail_store, 0, wide=True)
     if images is not None:
         found = gallery_stage(captures, facts, images, base, done.read)
         write_missing_images(found, f"{path}/images", "img_url")

@@ -12,8 +12,13 @@ over with a fresh checkpoint.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagetrawl.operators.upsert import Upsert
+from pagetrawl.session import settle
+
+#: Up to so many keys that come several times in a wide batch are broadcast; with more, all rows are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def complete_parts(spark: SparkSession, path: str, prefix: str) -> list[int]:
@@ -34,9 +39,24 @@ def complete_parts(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName()[len(prefix) :]) for f in files or [])
 
 
-def write_catalogue(spec: Upsert, state: DataFrame, path: str, batch: int) -> None:
-    """Upsert one batch of updates (``spec.state`` rows, any number per key)."""
-    spec.merge(state).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def write_catalogue(spec: Upsert, state: DataFrame, path: str, batch: int, wide: bool = False) -> None:
+    """Upsert one batch of updates (``spec.state`` rows, any number per key).
+
+    With ``wide`` (texts, images) keys are counted first, and rows whose key comes once are written where
+    they are: only the others are shuffled and merged. ``state`` is then read twice; settle it first when it is costly.
+    """
+    merged = _merged_repeats(spec, state) if wide else spec.merge(state)
+    merged.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def _merged_repeats(spec: Upsert, state: DataFrame) -> DataFrame:
+    """``spec.merge(state)`` that moves only the rows of keys that come several times."""
+    counts = state.groupBy(F.col(spec.key).alias("_key")).agg(F.count("*").alias("_n"))
+    repeated = settle(counts.where("_n > 1").select("_key"), "repeated-keys")
+    if repeated.count() > BROADCAST_KEYS:
+        return spec.merge(state)
+    again, same = F.broadcast(repeated), F.col(spec.key).eqNullSafe(F.col("_key"))
+    return state.join(again, same, "left_anti").unionByName(spec.merge(state.join(again, same, "left_semi")))
 
 
 def _parts(spark: SparkSession, path: str, below: int | None = None) -> list[str]:

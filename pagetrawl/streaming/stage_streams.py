@@ -104,7 +104,7 @@ def detail_stream(
 
 def _store(done: Fetched, source: str, path: str, number: int) -> DataFrame:
     stage = "index" if source == "index" else "detail"
-    write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, source), f"{path}/catalogue-{stage}", number)
+    write_catalogue(CATALOGUE, CATALOGUE.state(done.rows, source), f"{path}/catalogue-{stage}", number, wide=stage == "detail")
     outcomes = done.outcomes.withColumn("attempt", F.lit(number)).select("fp", "attempt", "ok", "error")
     append_batch(outcomes, path, f"outcomes-{stage}", number)
     return outcomes

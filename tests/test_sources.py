@@ -125,3 +125,38 @@ def test_files_of_many_keys_in_few_folders(spark, tmp_path):
     assert spark.conf.get(listing) == before
     assert len(found) == 601 and found["key=599.txt"] == b"t599\n" and found["key=7.txt"] == b"t7\nt7\n"
     assert sorted(found["key=8.txt"]) == sorted(b"t8\n\n") and found[f"key={images.NULL_KEY}.txt"] == b"n\n"
+
+
+def test_wide_batches_merge_repeated_keys_only(spark, tmp_path, monkeypatch):
+    from pagetrawl.operators.upsert import Upsert
+    from pagetrawl.sources.catalogue import read_catalogue, write_catalogue
+
+    spec = Upsert("k", "at int", "k string, v string", {"one": ("v",)})
+    data = [(f"k{i}", 1, "x") for i in range(50)] + [("k7", 3, "y"), ("k7", 2, "z"), (None, 1, "n"), (None, 2, None)]
+    state = spec.state(spark.createDataFrame(data, "k string, at int, v string"), "one")
+    expected, moved, merge = rows(spec.documents(spec.merge(state))), [], Upsert.merge
+
+    def counted(self, *states):
+        moved.append(states[0].count())
+        return merge(self, *states)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Upsert, "merge", counted)
+        write_catalogue(spec, state, str(tmp_path / "c"), 0, wide=True)
+    assert moved == [5]  # three rows of k7, two without a key
+    assert rows(read_catalogue(spec, spark, str(tmp_path / "c"))) == expected
+
+
+def test_images_are_coded_after_the_last_write_of_a_stage(spark, monkeypatch):
+    from pagetrawl.plans import queries, stages
+
+    written, settle = [], stages.settle
+
+    def noted(df, label, path=None):
+        written.append(df.columns)
+        return settle(df, label, path)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(stages, "settle", noted)
+        assert queries.cover_rows(spark, "/root/testdata/sf0.001").count() > 0
+    assert written and not any("base64url" in c for c in written)
