@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import string
 import struct
+import sys
 import unicodedata
 
 import numpy as np
@@ -166,14 +169,33 @@ class TextEncoder:
             return b"".join(map(self.plain.__getitem__, self.runs(text)))
 
 
-_encoders: dict = {}
+_kept: dict = {}
+
+
+def release() -> None:
+    """Lets go what ``kept`` holds, and hands free memory back to the system.
+
+    Python workers go from one operator's tasks to the next one's, and would otherwise hold the caches of all.
+    """
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
+def kept(name, make):
+    """What ``make`` gives, once a Python worker: kept between its tasks until one keeps or releases something else."""
+    if name not in _kept:
+        release()
+        _kept[name] = make()
+    return _kept[name]
 
 
 def encoder(path: str, keeps_space: bool) -> TextEncoder:
-    """One encoder a Python worker, kept between its tasks."""
-    if (path, keeps_space) not in _encoders:
-        _encoders[path, keeps_space] = TextEncoder(path, keeps_space)
-    return _encoders[path, keeps_space]
+    """One encoder a Python worker, kept between the tasks of one operator."""
+    return kept((path, keeps_space), lambda: TextEncoder(path, keeps_space))
 
 
 class Words(dict):

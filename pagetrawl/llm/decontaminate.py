@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrawl.llm.common import slices, strings
+from pagetrawl.llm.common import release, slices, strings
 from pagetrawl.llm.learn import only
 
 #: Share of an item's length that edits may take.
@@ -275,6 +275,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for rows in item_blocks(benchmark):
 
         def run(batches, rows=rows):
+            release()
             items = Items(rows)
             for batch in slices(batches, 256, 1):
                 ids = batch.column(0).to_pylist()

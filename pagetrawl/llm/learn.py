@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrawl.llm.common import held_out, slices, strings
+from pagetrawl.llm.common import held_out, release, slices, strings
 from pagetrawl.session import text_batches
 
 
@@ -47,6 +47,7 @@ def score_texts(docs: DataFrame, score, held: int = 256) -> DataFrame:
     """doc_id and score of every row of ``docs``; ``score`` takes a list of texts, at most ``held`` at once."""
 
     def run(batches):
+        release()
         for batch in slices(batches, held, 1):
             scores = np.asarray(score(strings(batch.column(1))), float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
@@ -60,6 +61,7 @@ def only(docs: DataFrame, choose, held: int = 256) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        release()
         for batch in slices(batches, held, at):
             yield batch.filter(pa.array(np.asarray(choose(strings(batch.column(at))), bool)))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetrawl.llm.common import slices, strings
+from pagetrawl.llm.common import kept, slices, strings
 from pagetrawl.llm.graph import components
 from pagetrawl.session import settle, text_batches
 
@@ -66,9 +66,6 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
-
-
 def words_of(text: str) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -78,7 +75,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a shorter text is one shingle, an empty one none."""
     lists = [words_of(t) for t in texts]
     counts = [len(x) for x in lists]
-    hashed = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(lists)), np.uint64, sum(counts))
+    hashed = np.fromiter(map(kept("word hashes", WordHashes).__getitem__, itertools.chain.from_iterable(lists)), np.uint64, sum(counts))
     total = max(len(hashed) - SHINGLE + 1, 0)
     rolled = np.zeros(total, np.uint64)
     for k in range(SHINGLE):

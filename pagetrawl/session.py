@@ -100,13 +100,16 @@ def page_batches(spark: SparkSession) -> None:
 
 #: Bytes of an Arrow batch of texts: both ends of the pipe to Python hold a batch, and buffers of about twice its size.
 TEXT_BATCH = "2m"
+#: Rows that the Parquet reader holds at once: with Spark's 4096, a column of texts is an array of 8 to 16 MB in each task.
+TEXT_ROWS = "512"
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes for whole texts, in a session that names no size itself; narrow rows are batched as before."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if key not in spark.conf.getAll:
-        spark.conf.set(key, TEXT_BATCH)
+    """Few whole texts at once, in a session that names no sizes itself: Arrow batches of bounded bytes (narrow rows are
+    batched as before), and short batches of the Parquet reader."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH), ("spark.sql.parquet.columnarReaderBatchSize", TEXT_ROWS)):
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, value)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Batches of texts between Spark and Python have bounded bytes."""
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagetrawl.llm import learn
+from pagetrawl.llm import common, learn, near_dedup, packing
+from pagetrawl.llm.queries import vocabulary
 from pagetrawl.session import TEXT_BATCH, text_batches
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -26,3 +29,51 @@ def test_batches_of_texts_are_bounded(spark):
     finally:
         spark.conf.unset(KEY)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _alive(kind) -> int:
+    gc.collect()
+    return sum(isinstance(x, kind) and (not isinstance(x, dict) or len(x) > 0) for x in gc.get_objects())
+
+
+def test_a_worker_keeps_the_caches_of_one_operator():
+    path = vocabulary("byte_bpe_50k.json")
+    assert common.encoder(path, True) is common.encoder(path, True)
+    near_dedup.shingle_sets(["one two three four five six"])
+    assert _alive(common.TextEncoder) == 0 and _alive(near_dedup.WordHashes) == 1
+    near_dedup.shingle_sets(["seven eight"])
+    assert _alive(near_dedup.WordHashes) == 1
+    assert len(common.encoder(path, True)("seven eight")) > 0
+    assert _alive(near_dedup.WordHashes) == 0
+
+
+def test_classifiers_begin_without_caches(spark):
+    """After packing, in the workers that packed."""
+    docs = spark.range(0, 40, 1, 4).selectExpr("id as doc_id", "'some words' as text")
+    assert packing.pack(docs, vocabulary("byte_bpe_50k.json")).count() >= 40
+
+    def empty(texts):
+        import gc
+
+        gc.collect()
+        found = [x for x in gc.get_objects() if type(x).__name__ == "TextEncoder"]
+        return [not found] * len(texts)
+
+    assert learn.only(docs, empty).count() == 40
+    found = learn.score_texts(docs, lambda texts: [float(x) for x in empty(texts)])
+    assert found.agg(F.min("score")).first()[0] == 1.0
+
+
+def test_the_reader_holds_few_texts(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    named = key in spark.conf.getAll
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        text_batches(spark)
+        assert int(spark.conf.get(key)) <= 512
+        spark.conf.set(key, "1000")
+        text_batches(spark)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before) if named else spark.conf.unset(key)
