@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrawl.operators.ordered import ranked
-from pagetrawl.session import settle
+from pagetrawl.session import settle, text_batches
 
 FANOUT = 16
 SEGMENT = "array<struct<l:string,r:string>>"
@@ -116,6 +116,7 @@ def manifest(
     whether that equals the root.
     """
     spark = rows.sparkSession
+    text_batches(spark)
     leaf = leaf_digest(*[F.col(c) for c in fields])
     changed = F.coalesce(tamper, leaf) if tamper is not None else leaf
     leaves = rows.select(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetrawl.llm import merkle, queries
+from pagetrawl.session import TEXT_ROWS
 
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, leaf string, tree int, _n int"
 
@@ -108,3 +109,19 @@ def test_query_on_the_given_table(spark):
     got = queries.op11_merkle(spark, "/root/testdata/sf0.001")
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*queries.LEAF_FIELDS).collect()]
     assert sorted((tuple(r) for r in got.drop("source").collect()), key=str) == brute(rows, 16, lowered)
+
+
+def test_texts_are_read_in_short_batches(spark, tmp_path):
+    """The Parquet reader of the leaves holds few whole texts at once, unless the session names a number."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    rows = [(i, f"s{i % 2}", "en", 2000, f"Text {i} " * 200) for i in range(40)]
+    spark.createDataFrame(rows, SCHEMA.split(", leaf")[0]).write.parquet(str(tmp_path / "documents.parquet"))
+    named = spark.conf.get(key) if key in spark.conf.getAll else None
+    try:
+        for before, after in ((None, TEXT_ROWS), ("1000", "1000")):
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+            got = queries.op11_merkle(spark, str(tmp_path))
+            assert sorted((tuple(r) for r in got.drop("source").collect()), key=str) == brute(rows, 16, lowered)
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.unset(key) if named is None else spark.conf.set(key, named)
